@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, simhash_dedup
+from . import bpe, exact_dedup, huffman_ids, langid, packing, simhash_dedup, toxicity
 
 
 def queries() -> dict:
     return {
+        "op2_best_fit_packing": packing.op2_best_fit_packing,
+        "op3_toxicity": toxicity.op3_toxicity,
+        "op6_language_id": langid.op6_language_id,
+        "op7_bpe_codec": bpe.op7_bpe_codec,
         "op8_exact_dedup": exact_dedup.op8_exact_dedup,
         "op9_simhash_dedup": simhash_dedup.op9_simhash_dedup,
+        "op10_huffman_ids": huffman_ids.op10_huffman_ids,
     }
 
 
