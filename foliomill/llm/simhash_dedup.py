@@ -12,9 +12,9 @@ At most 4 differing bits over segments A, B and C (pigeonhole) leave five cases,
 If C is equal, A or B has at most 2 errors.  If it isn't, A and B share at most 3: both within 2, or three in one,
 none in the other and one in C.  So every pair within 4 bits meets under some key, and each is verified.
 
-Only distinct fingerprints are joined.  First every key's least fingerprint is linked to the others under the key
-that verify, which is linear in the keys and settles dense groups; then only keys that still hold several components
-are joined, members of the largest component there against those of others, so no group emits all its pairs.
+Only distinct fingerprints are joined.  A key with few of them is joined with itself, pair by pair.  Under a key with
+more than `CROWD`, its least fingerprint is linked to all others that verify, which is linear, and settles dense
+groups; then members of the largest component there are compared with those of the others only.
 """
 
 from __future__ import annotations
@@ -33,6 +33,8 @@ from .common import Scratch, connected_components, in_small_batches, load
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
+#: Fingerprints under one key up to which all its pairs are compared.
+CROWD = 24
 #: Widths of the segments A, B and C.
 SEGMENTS = (23, 23, 18)
 
@@ -149,34 +151,33 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -
         raise ValueError("the keys find pairs of at most 4 differing bits")
     near = lambda x, y: F.expr(f"bit_count({x} ^ {y}) <= {bits}")
     keys = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    pivots = keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where("n > 1").select("key", "pivot")
-    stars = keys.join(pivots, "key").where("fp <> pivot").where(near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    first = scratch.keep(connected_components(spark, stars, scratch), "first")
+    crowds = scratch.keep(keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", "pivot"), "crowds")
+    link = [F.col("fp").alias("a"), F.col("fp2").alias("b")]
+    few = keys.join(crowds, "key", "left_anti")
+    pairs = few.join(few.select("key", F.col("fp").alias("fp2")), "key").where("fp < fp2").where(near("fp", "fp2")).select(*link)
+    in_crowd = keys.join(crowds, "key")
+    stars = in_crowd.where("fp <> pivot").where(near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
+    known = scratch.keep(pairs.unionByName(stars).distinct(), "known")
+    first = scratch.keep(connected_components(spark, known, scratch), "first")
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
-    labelled = scratch.keep(
-        fps.join(first.withColumnRenamed("node", "fp"), "fp", "left")
-        .withColumn("component", F.coalesce("component", "fp"))
-        .join(sizes, "component", "left")
-        .select("fp", "component", F.coalesce("size", F.lit(1)).alias("size")),
-        "labelled",
-    )
-    wide = labelled.mapInArrow(_keyed, "key long, fp long, component long, size long")
-    stats = (
+    labels = first.join(sizes, "component").select(F.col("node").alias("fp"), "component", "size")
+    wide = in_crowd.select("key", "fp").join(labels, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    wide = scratch.keep(wide, "wide")
+    mixed = (
         wide.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most"))
         .where("lo <> hi")
         .select("key", F.col("most.component").alias("main"))
     )
-    mixed = wide.select("key", "fp", "component").join(stats, "key")
-    others = mixed.where("component <> main").select(F.col("key").alias("k"), F.col("fp").alias("fp2"), F.col("component").alias("component2"))
-    bridges = (
-        mixed.join(others, (F.col("key") == F.col("k")) & (F.col("component") != F.col("component2")) & near("fp", "fp2"))
-        .select(F.greatest("component", "component2").alias("a"), F.least("component", "component2").alias("b"))
-    )
-    second = connected_components(spark, bridges, scratch)
-    return labelled.join(second.withColumnRenamed("component", "root"), labelled["component"] == second["node"], "left").select(
-        "fp", F.coalesce("root", "component").alias("root")
-    )
+    others = wide.join(mixed, "key").where("component <> main").select("key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
+    bridges = wide.join(others, "key").where("component <> component2").where(near("fp", "fp2")).select(F.greatest("component", "component2").alias("a"), F.least("component", "component2").alias("b"))
+    bridges = scratch.keep(bridges.distinct(), "bridges")
+    roots = first
+    if not bridges.isEmpty():
+        second = connected_components(spark, bridges, scratch).withColumnRenamed("component", "root")
+        roots = first.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
+        roots = roots.join(second.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
 def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = WORDS, seed: int = SEED, bits: int = BITS) -> DataFrame:
