@@ -3,12 +3,13 @@
 Texts are restored first: letters spaced out one by one are drawn together, and a chunk with digits or symbols among
 its letters, or a letter three times over, becomes a lattice of what each character may stand for.  Viterbi finds the
 likeliest reading under a character trigram model counted over the whole corpus.  The restored words are then scored:
-words and word beginnings whose share of toxic documents, by a lower confidence bound, is high in a bounded sample of
-labelled rows form the lexicon, and a text's score combines the distinct entries that it holds.
+words and word beginnings whose share of toxic documents is high in a bounded sample of labelled rows, by more than
+chance among so many candidates, form the lexicon, and a text's score combines the distinct entries that it holds.
 """
 
 from __future__ import annotations
 
+import math
 import re
 from collections import Counter
 
@@ -21,9 +22,9 @@ from .common import bounded_sample, fold, in_small_batches, load
 
 #: Labelled rows of each class that the lexicon is learned from, and its largest size.
 SAMPLE_PER_CLASS, MAX_ENTRIES = 15_000, 20_000
-#: Prefix lengths of words that are entries beside whole words, least toxic documents of one, confidence (in standard
-#: deviations) and share at which it counts, and the score from which a text is called toxic.
-PREFIXES, LEAST, CONFIDENCE, SHARE, THRESHOLD = range(3, 9), 5, 2.0, 0.6, 0.7
+#: Prefix lengths of words that are entries beside whole words, least toxic documents and least share of an entry, and
+#: the score from which a text is called toxic.
+PREFIXES, LEAST, SHARE, THRESHOLD = range(3, 9), 4, 0.8, 0.7
 REMEMBERED = 300_000
 #: The letters that digits and symbols are used for.
 LEET = {
@@ -205,13 +206,14 @@ class Lexicon:
         toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(10 * MAX_ENTRIES).collect()}
         clean = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
         weight = rates[1] / rates[0]  # clean rows that a sampled clean row stands for, against toxic ones
-        shares, z = {}, CONFIDENCE
+        base = size[1] / (size[1] + size[0] * weight)
+        shares, chance = {}, math.log(len(toxic) + 1) + 1
         for e, t in toxic.items():
-            c = clean.get(e, 0) * weight
-            n, p = t + c, t / (t + c)
-            low = (p + z * z / (2 * n) - z * (p * (1 - p) / n + z * z / (4 * n * n)) ** 0.5) / (1 + z * z / n)
-            if low >= SHARE:
-                shares[e] = (t + 0.5) / (n + 1)
+            n = t + clean.get(e, 0) * weight
+            p = (t + 0.5) / (n + 1)
+            surprise = t * math.log(t / n / base) + (n - t) * math.log(max((1 - t / n) / (1 - base), 1e-300))
+            if p >= SHARE and t / n > base and surprise >= chance:
+                shares[e] = p
         best = dict(sorted(shares.items(), key=lambda x: (-toxic[x[0]], x[0]))[:MAX_ENTRIES])
         return cls(best, 0.02)
 
