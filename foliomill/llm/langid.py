@@ -161,6 +161,22 @@ def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: st
     return rows.mapInArrow(_predicted(model), "id long, held_out boolean, lang_pred string, score double").withColumnRenamed("id", id_col)
 
 
+def _passed(model: Model, text_col: str, sure: float):
+    def run(batches):
+        scorer = Scorer(model)
+        for b in batches:
+            found = [scorer.predict(t) for t in b.column(b.schema.get_field_index(text_col)).to_pylist()]
+            yield b.filter(pa.array([lang != UNDETERMINED and score >= sure for lang, score in found], pa.bool_()))
+
+    return run
+
+
+def kept(docs: DataFrame, model: Model, sure: float, text_col: str = "text") -> DataFrame:
+    """Rows of docs in a language that the model is sure of, all columns as they are."""
+    in_small_batches(docs.sparkSession)
+    return docs.mapInArrow(_passed(model, text_col, sure), docs.schema)
+
+
 def learnable(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
     """Rows that a model may learn from: not those of the fold that is held out."""
     return docs.where(fold(id_col, 4) != 2)

@@ -4,7 +4,8 @@ Texts are restored first: letters spaced out one by one are drawn together, and
 its letters, or a letter three times over, becomes a lattice of what each character may stand for.  Viterbi finds the
 likeliest reading under a character trigram model counted over the whole corpus.  The restored words are then scored:
 words and word beginnings whose share of toxic documents is high in a bounded sample of labelled rows, by more than
-chance among so many candidates, form the lexicon, and a text's score combines the distinct entries that it holds.
+chance among so many candidates and in documents that aren't each other's copies, form the lexicon; a text's score
+combines the distinct entries that it holds.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,8 +26,12 @@ from .common import bounded_sample, fold, in_small_batches, load
 SAMPLE_PER_CLASS, MAX_ENTRIES = 15_000, 20_000
 #: Prefix lengths of words that are entries beside whole words, least toxic documents and least share of an entry, and
 #: the score from which a text is called toxic.
-PREFIXES, LEAST, SHARE, THRESHOLD = range(3, 9), 4, 0.8, 0.7
+PREFIXES, LEAST, SHARE, THRESHOLD = range(3, 9), 4, 0.95, 0.7
+#: Score of a text without any entry; independent toxic documents that an entry must occur in.
+REST, SUPPORT = 0.02, 2.5
 REMEMBERED = 300_000
+#: Odd multipliers that make eight orders of words out of one hash.
+MULTIPLIERS = np.array([0x9E3779B97F4A7C15 * (2 * k + 1) & (1 << 64) - 1 for k in range(8)], np.uint64)
 #: The letters that digits and symbols are used for.
 LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
@@ -170,7 +176,7 @@ def _restored_chunks(text: str | None, restore: Restorer, known: dict) -> set[st
     return out
 
 
-def _documents_with(model: np.ndarray, of_class: int, wanted: frozenset | None):
+def _documents_with(model: np.ndarray, wanted: frozenset | None):
     def run(batches):
         restore, known, counts = Restorer(model), {}, Counter()
         for b in batches:
@@ -185,6 +191,21 @@ def _documents_with(model: np.ndarray, of_class: int, wanted: frozenset | None):
     return run
 
 
+def _entries_of(model: np.ndarray, wanted: frozenset):
+    def run(batches):
+        restore, known = Restorer(model), {}
+        for b in batches:
+            found, signatures = [], []
+            for t in b.column(0).to_pylist():
+                words = _restored_chunks(t, restore, known)
+                found.append(sorted({e for w in words for e in entries(w[:40])} & wanted))
+                hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)
+                signatures.append([int((hashes * k).min() >> np.uint64(1)) for k in MULTIPLIERS])
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(signatures, pa.list_(pa.int64()))], names=["entries", "signature"])
+
+    return run
+
+
 class Lexicon:
     """Entries with the estimated share of toxic documents, and the share without any entry."""
 
@@ -201,7 +222,7 @@ class Lexicon:
 
         def counted(kind: int, wanted: frozenset | None) -> DataFrame:
             texts = sample.where(F.col("toxic") == kind).select("text")
-            return texts.mapInArrow(_documents_with(model, kind, wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
+            return texts.mapInArrow(_documents_with(model, wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
         toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(10 * MAX_ENTRIES).collect()}
         clean = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
@@ -212,10 +233,37 @@ class Lexicon:
             n = t + clean.get(e, 0) * weight
             p = (t + 0.5) / (n + 1)
             surprise = t * math.log(t / n / base) + (n - t) * math.log(max((1 - t / n) / (1 - base), 1e-300))
-            if p >= SHARE and t / n > base and surprise >= chance:
+            if t / n >= SHARE and t / n > base and surprise >= chance:
                 shares[e] = p
-        best = dict(sorted(shares.items(), key=lambda x: (-toxic[x[0]], x[0]))[:MAX_ENTRIES])
-        return cls(best, 0.02)
+        shares = longest({e: toxic[e] for e in shares}, shares)
+        held = sample.where("toxic = 1").select("text").mapInArrow(_entries_of(model, frozenset(shares)), "entries array<string>, signature array<long>").collect()  # bounded by the sample
+        of: dict[str, list[list[int]]] = {}
+        for r in held:
+            for e in r["entries"]:
+                of.setdefault(e, []).append(r["signature"])
+        alone = {e: p for e, p in shares.items() if independent(of.get(e, [])) >= SUPPORT}
+        return cls(dict(sorted(alone.items(), key=lambda x: (-toxic[x[0]], x[0]))[:MAX_ENTRIES]), REST)
+
+
+def longest(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
+    """Entries but for beginnings that hardly occur other than in one longer entry."""
+    covered: dict[str, int] = {}
+    for e, n in counts.items():
+        word = e[1:] if e[0] == "=" else e
+        for k in range(1, len(word) + (e[0] == "=")):
+            covered[word[:k]] = max(covered.get(word[:k], 0), n)
+    return {e: p for e, p in shares.items() if e[0] == "=" or covered.get(e, 0) < 0.95 * counts[e]}
+
+
+def independent(signatures: list[list[int]], most: int = 40) -> float:
+    """How many independent documents these are worth: copies and near copies, whose words agree, count as one."""
+    n = len(signatures)
+    if n < 2:
+        return float(n)
+    some = np.array(sorted(signatures)[:: -(-n // most)])
+    alike = (some[:, None, :] == some[None, :, :]).mean(axis=2)
+    np.fill_diagonal(alike, 0)
+    return n / (1 + (n - 1) * alike.sum() / (len(some) * (len(some) - 1))) if len(some) > 1 else 1.0
 
 
 class Scorer:
@@ -277,6 +325,22 @@ def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") ->
     return docs.where(fold(id_col, 3) != 1).select(F.col(id_col).alias("doc_id"), "text").join(of, "doc_id")
 
 
+def _passed(model: np.ndarray, lexicon: Lexicon, text_col: str, below: float):
+    def run(batches):
+        scorer = Scorer(model, lexicon)
+        for b in batches:
+            texts = b.column(b.schema.get_field_index(text_col)).to_pylist()
+            yield b.filter(pa.array([scorer.score(t) < below for t in texts], pa.bool_()))
+
+    return run
+
+
+def kept(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, text_col: str = "text", below: float = THRESHOLD) -> DataFrame:
+    """Rows of docs that aren't predicted toxic, all columns as they are."""
+    in_small_batches(docs.sparkSession)
+    return docs.mapInArrow(_passed(model, lexicon, text_col, below), docs.schema)
+
+
 def score_toxicity(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, held_out, score, predicted.
 
