@@ -19,6 +19,7 @@ groups; then members of the largest component there are compared with those of t
 
 from __future__ import annotations
 
+import math
 from functools import lru_cache
 from itertools import combinations
 
@@ -33,6 +34,8 @@ from .common import Scratch, connected_components, in_small_batches, load
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
+#: For similarities: tables of keys, and plain bits beside a codeword index.
+TABLES, PLAIN = 24, 7
 #: Fingerprints under one key up to which all its pairs are compared.
 CROWD = 24
 #: Widths of the segments A, B and C.
@@ -144,24 +147,27 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(b.num_columns))], names=["key", *b.schema.names])
 
 
-def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
-    """(fp, root) for distinct fingerprints: root is the least fingerprint reachable by steps of at most `bits` <= 4 bits."""
-    spark = fps.sparkSession
-    if bits > 4:
-        raise ValueError("the keys find pairs of at most 4 differing bits")
-    near = lambda x, y: F.expr(f"bit_count({x} ^ {y}) <= {bits}")
-    keys = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    crowds = scratch.keep(keys.groupBy("key").agg(F.min("fp").alias("pivot"), F.count("*").alias("n")).where(F.col("n") > CROWD).select("key", "pivot"), "crowds")
-    link = [F.col("fp").alias("a"), F.col("fp2").alias("b")]
+def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratch, verify=lambda pairs: pairs) -> DataFrame:
+    """(node, component) of nodes that links join.
+
+    keys: (key, *cols), the first of cols the node and the last what `near` compares, as SQL over `x` and `y`.
+    Pairs (a, b) of nodes that share a key and are near go through `verify`, which returns those that are links.
+    """
+    node, fp = cols[0], cols[-1]
+    spark, other = keys.sparkSession, [F.col(c).alias(c + "_2") for c in cols]
+    close = F.expr(near.format(x=fp, y=fp + "_2"))
+    ends = [F.least(node, node + "_2").alias("a"), F.greatest(node, node + "_2").alias("b")]
+    crowds = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowds")
     few = keys.join(crowds, "key", "left_anti")
-    pairs = few.join(few.select("key", F.col("fp").alias("fp2")), "key").where("fp < fp2").where(near("fp", "fp2")).select(*link)
-    in_crowd = keys.join(crowds, "key")
-    stars = in_crowd.where("fp <> pivot").where(near("fp", "pivot")).select(F.col("fp").alias("a"), F.col("pivot").alias("b"))
-    known = scratch.keep(pairs.unionByName(stars).distinct(), "known")
+    pairs = few.join(few.select("key", *other), "key").where(F.col(node) < F.col(node + "_2")).where(close).select(*ends)
+    crowded = scratch.keep(keys.join(crowds, "key"), "crowded")
+    pivots = crowded.groupBy("key").agg(F.min(F.struct(*cols)).alias("p")).select("key", *(F.col("p." + c).alias(c + "_2") for c in cols))
+    stars = crowded.join(pivots, "key").where(F.col(node) != F.col(node + "_2")).where(close).select(*ends)
+    known = verify(scratch.keep(pairs.unionByName(stars).distinct(), "pairs"))
     first = scratch.keep(connected_components(spark, known, scratch), "first")
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
-    labels = first.join(sizes, "component").select(F.col("node").alias("fp"), "component", "size")
-    wide = in_crowd.select("key", "fp").join(labels, "fp", "left").select("key", "fp", F.coalesce("component", "fp").alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
+    labels = first.join(sizes, "component").select(F.col("node").alias(node), "component", "size")
+    wide = crowded.join(labels, node, "left").select("key", *cols, F.coalesce("component", node).alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
     wide = scratch.keep(wide, "wide")
     mixed = (
         wide.groupBy("key")
@@ -169,14 +175,25 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -
         .where("lo <> hi")
         .select("key", F.col("most.component").alias("main"))
     )
-    others = wide.join(mixed, "key").where("component <> main").select("key", F.col("fp").alias("fp2"), F.col("component").alias("component2"))
-    bridges = wide.join(others, "key").where("component <> component2").where(near("fp", "fp2")).select(F.greatest("component", "component2").alias("a"), F.least("component", "component2").alias("b"))
-    bridges = scratch.keep(bridges.distinct(), "bridges")
-    roots = first
-    if not bridges.isEmpty():
-        second = connected_components(spark, bridges, scratch).withColumnRenamed("component", "root")
-        roots = first.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
-        roots = roots.join(second.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+    others = wide.join(mixed, "key").where("component <> main").select("key", *other, F.col("component").alias("component_2"))
+    between = wide.join(others, "key").where("component <> component_2").where(close)
+    bridges = verify(scratch.keep(between.select(*ends).distinct(), "between"))
+    of = first.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
+    of = scratch.keep(of, "of")
+    a, b = of.select(F.col("node").alias("a"), F.col("component").alias("ca")), of.select(F.col("node").alias("b"), F.col("component").alias("cb"))
+    bridges = scratch.keep(bridges.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
+    if bridges.isEmpty():
+        return of
+    second = connected_components(spark, bridges, scratch).toDF("component", "root")
+    return of.join(second, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+
+
+def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
+    """(fp, root) for distinct fingerprints: root is the least fingerprint reachable by steps of at most `bits` <= 4 bits."""
+    if bits > 4:
+        raise ValueError("the keys find pairs of at most 4 differing bits")
+    keys = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
+    roots = candidate_links(keys, ["fp"], f"bit_count({{x}} ^ {{y}}) <= {bits}", scratch)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
@@ -199,5 +216,80 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
+    """Four 64-bit fingerprints of the same shingles, under four mixings of their hashes."""
+    mixed = []
+    for k in range(4):
+        h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (1 << 64) - 1)
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        mixed.append(fingerprint(h ^ (h >> np.uint64(31))))
+    return np.array(mixed, np.uint64)
+
+
+def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of (n, 4) words: in each of TABLES tables a segment's codeword indices beside a few bits as they are."""
+    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8), axis=1, bitorder="little")[:, : 11 * 23].reshape(len(words), 11, 23).astype(np.int64)
+    segments = bits @ (1 << np.arange(23))
+    rows, keys = [], []
+    for base in range(11):
+        index, mask = codeword_indices(segments[:, base])
+        r, j = np.nonzero(mask)
+        for table in range(base, TABLES, 11):
+            turn = table // 11
+            plain = segments[:, (base + 1 + turn) % 11] >> (PLAIN * turn) & ((1 << PLAIN) - 1)
+            rows.append(r)
+            keys.append((table << 40) | (plain[r] << 12) | index[r, j])
+    return np.concatenate(rows), np.concatenate(keys)
+
+
+def _wide(words: int, seed: int):
+    def run(batches):
+        for b in batches:
+            found = np.array([wide_fingerprint(shingle_hashes(t, words, seed)) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 4).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(4))], names=["id", "w0", "w1", "w2", "w3"])
+
+    return run
+
+
+def _wide_keyed(batches):
+    for b in batches:
+        words = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5)], axis=1)
+        for at in range(0, len(words), 4096):
+            rows, keys = wide_keys(words[at : at + 4096])
+            take = pa.array(rows + at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(take), b.column(1).take(take)], names=["key", "node", "w0"])
+
+
+def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """One row per input row: id, component_id, for near copies whose shingle sets have about this Jaccard similarity.
+
+    At 0.8 two 64-bit fingerprints differ in some 10 bits, beyond what the exact keys can find.  So texts have four
+    fingerprints of other mixings, 256 bits; Golay keys of their segments find pairs (of similarity 0.8: 99 in 100,
+    of 0.9: nearly all), the first 64 bits sieve them and all 256 decide, to within about 0.03 of the similarity.
+    Equal fingerprints are linked first.  Null and empty texts are alike; other cases are as in near_copies.
+    """
+    spark = docs.sparkSession
+    in_small_batches(spark)
+    scratch = Scratch(spark, "similar")
+    differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of bits, from the cosine of equal-sized sets
+    most, sieve = round(256 * differ) + 2, round(64 * differ + 3 * (64 * differ * (1 - differ)) ** 0.5)
+    w = ["w0", "w1", "w2", "w3"]
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, " + ", ".join(c + " long" for c in w)), "prints")
+    nodes = scratch.keep(prints.groupBy(*w).agg(F.min("id").alias("node")), "nodes")
+    named = nodes.where("node is not null")
+    keys = named.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, w0 long")
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        a, b = (named.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in w)) for x in "ab")
+        apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in w), F.lit(0))
+        return scratch.keep(pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b"), "links")
+
+    roots = candidate_links(keys, ["node", "w0"], f"bit_count({{x}} ^ {{y}}) <= {sieve}", scratch, verify)
+    named = scratch.keep(nodes.join(roots, "node", "left").select(*w, F.coalesce("component", "node").alias("component_id")), "components")
+    return prints.join(named, w).select(F.col("id").alias(id_col), "component_id")
+
+
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_copies(load(spark, sf_dir, "documents"))
