@@ -2,18 +2,16 @@
 
 from __future__ import annotations
 
-FLAGSHIP = "q01_boilerplate_lines"
-
+from .plans import boilerplate, cleanup, headings, lexicon, links, outline, quality, structure
+from .streaming import jobs
 
-def _modules():
-    from .plans import boilerplate
-
-    return (boilerplate,)
+FLAGSHIP = "q01_boilerplate_lines"
+MODULES = (boilerplate, cleanup, lexicon, structure, headings, links, outline, quality, jobs)
 
 
 def queries() -> dict:
-    return {name: q for m in _modules() for name, q in m.QUERIES.items()}
+    return {name: q for m in MODULES for name, q in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {name: sql for m in _modules() for name, sql in m.SQL.items()}
+    return {name: sql for m in MODULES for name, sql in m.SQL.items()}
