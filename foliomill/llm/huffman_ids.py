@@ -18,6 +18,7 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import Scratch, in_small_batches, load
 from .tokens import public_path, word_level
 
-MAX_BITS, BLOCK, SEGMENT_IDS, END_ID = 18, 1024, 1 << 20, 2
+MAX_BITS, BLOCK, SEGMENT_IDS, END_ID = 18, 256, 1 << 20, 2
 
 
 def code_lengths(counts: np.ndarray, limit: int = MAX_BITS) -> np.ndarray:
@@ -65,30 +66,31 @@ class CodeBook:
         order = order[self.bits[order] > 0]
         n = self.bits[order]
         ends = np.cumsum(1 << (self.limit - n))  # of the stretch of the decoding table that a code takes
-        self.codes = np.zeros(len(bits), np.int64)
-        self.codes[order] = (ends - (1 << (self.limit - n))) >> (self.limit - n)
-        self.table = np.zeros(1 << self.limit, np.int64)  # the next bits to symbol << 5 | length
+        self.codes = np.zeros(len(bits), np.uint64)  # each code's bits at the top of 64
+        self.codes[order] = ((ends - (1 << (self.limit - n))) << (64 - self.limit)).astype(np.uint64) if self.limit < 64 else 0
+        self.table = np.zeros(1 << self.limit, np.uint32)  # the next bits to symbol << 5 | length
         self.table[: ends[-1] if len(ends) else 0] = np.repeat(order << 5 | n, 1 << (self.limit - n))
+        self.bits = self.bits.astype(np.uint8)
 
-    def encode(self, docs: list[np.ndarray], block: int = BLOCK) -> list[tuple[bytes, np.ndarray]]:
-        """For each document its bits, padded to a byte, and the bit offsets of its blocks."""
-        ids = np.concatenate([*docs, np.empty(0, np.int64)]).astype(np.int64)
-        sizes = np.array(list(map(len, docs)), np.int64)
+    def encode(self, ids: np.ndarray, sizes: np.ndarray, block: int = BLOCK) -> tuple[bytes, np.ndarray, list[np.ndarray]]:
+        """Documents of these sizes, one after another: their bits, each padded to a byte, where each one's bytes
+        start (and where the last one's end), and the bit offsets of each one's blocks from its start."""
         n = self.bits[ids]
-        upto = np.concatenate([[0], np.cumsum(n)])
+        upto = np.zeros(len(ids) + 1, np.int64)
+        np.cumsum(n, dtype=np.int64, out=upto[1:])
         first = np.concatenate([[0], np.cumsum(sizes)])
-        n_bytes = (upto[first[1:]] - upto[first[:-1]] + 7) >> 3
-        starts = np.concatenate([[0], np.cumsum(n_bytes)])
+        starts = np.concatenate([[0], np.cumsum((upto[first[1:]] - upto[first[:-1]] + 7) >> 3)])
         at = upto[:-1] + np.repeat(starts[:-1] * 8 - upto[first[:-1]], sizes)
-        value = self.codes[ids] << (63 - n - (at & 31)) << 1
-        words, total = at >> 5, int(starts[-1] // 4 + 2)
-        # codes of one word share no bits, so their sum, exact below 2^53, is their union
-        out = np.bincount(words, (value >> 32) & 0xFFFFFFFF, total) + np.bincount(words + 1, value & 0xFFFFFFFF, total)
-        stream = out.astype(np.uint64).astype(">u4").tobytes()
-        return [
-            (stream[a:b], (at[f : f + s : block] - a * 8).astype(np.uint64))
-            for a, b, f, s in zip(starts[:-1].tolist(), starts[1:].tolist(), first[:-1].tolist(), sizes.tolist())
-        ]
+        words = at >> 5
+        heads = np.nonzero(np.diff(words, prepend=-1))[0]
+        out = np.zeros(int(starts[-1] // 4 + 2), np.uint64)
+        if len(heads):
+            # codes that begin in one word share no bits, so their sum is their union; it may reach into the next word
+            sums = np.add.reduceat(self.codes[ids] >> (at & 31).astype(np.uint64), heads)
+            out[words[heads]] = sums >> np.uint64(32)
+            out[words[heads] + 1] |= sums & np.uint64(0xFFFFFFFF)
+        marks = [(at[f : f + s : block] - a * 8).astype(np.uint64) for a, f, s in zip(starts.tolist(), first.tolist(), sizes.tolist())]
+        return out.astype(">u4").tobytes(), starts, marks
 
     def decode(self, payload: bytes, checkpoints: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Ids of all blocks in order: all blocks advance together, one table look-up a symbol."""
@@ -99,11 +101,11 @@ class CodeBook:
         longest = int(n[0]) if len(n) else 0
         out = np.zeros((longest, len(n)), np.uint32)
         live = len(n) - np.searchsorted(n[::-1], np.arange(longest), "right")  # blocks with more than so many ids
-        drop, mask = 32 - self.limit, (1 << 32) - 1
+        drop, table = np.uint32(32 - self.limit), self.table
         for k in range(longest):
             p = pos[: live[k]]
-            entry = self.table[((window[p >> 3].astype(np.int64) << (p & 7)) & mask) >> drop]
-            out[k, : live[k]] = entry >> 5
+            entry = table[(window[p >> 3] << (p & 7).astype(np.uint32)) >> drop]
+            np.right_shift(entry, 5, out=out[k, : live[k]])
             p += entry & 31
         back = np.argsort(order, kind="stable")
         flat = out.T[back]
@@ -123,7 +125,7 @@ def _ids(path: str, end_id: int):
         encode = word_level(path).encode
         for b in batches:
             rows = [np.append(encode(t or ""), np.uint32(end_id)) for t in b.column(1).to_pylist()]
-            kind = np.uint16 if max((int(x.max()) for x in rows), default=0) < 1 << 16 else np.uint32
+            kind = np.uint16 if all(int(x.max()) < 1 << 16 for x in rows) else np.uint32
             yield pa.RecordBatch.from_arrays(
                 [b.column(0), pa.array(list(map(len, rows)), pa.int64()), pa.array([x.astype(kind).tobytes() for x in rows], pa.binary())], names=["id", "n", "ids"]
             )
@@ -131,14 +133,21 @@ def _ids(path: str, end_id: int):
     return run
 
 
-def _arrays(b: pa.RecordBatch) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32) for n, x in zip(b.column(1).to_pylist(), b.column(2).to_pylist())]
+def _flat(b: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    """All ids of a batch one after another, without copying where all rows have the same width, and ids per row."""
+    sizes, column = b.column(1).to_numpy(zero_copy_only=False), b.column(2)
+    widths = pc.binary_length(column).to_numpy(zero_copy_only=False)
+    if len(sizes) and (widths == 2 * sizes).all():
+        offsets = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1]
+        return np.frombuffer(column.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].view(np.uint16), sizes
+    rows = [np.frombuffer(x, np.uint16 if len(x) == 2 * n else np.uint32) for n, x in zip(sizes.tolist(), column.to_pylist())]
+    return np.concatenate([*rows, np.empty(0, np.uint16)]).astype(np.int64), sizes
 
 
 def _counted(batches):
     total = np.zeros(1, np.int64)
     for b in batches:
-        found = np.bincount(np.concatenate([*_arrays(b), np.empty(0, np.uint16)]))
+        found = np.bincount(_flat(b)[0])
         if len(found) > len(total):
             found, total = total, found.astype(np.int64)
         total[: len(found)] += found
@@ -150,10 +159,9 @@ def _coded(bits: bytes, block: int):
     def run(batches):
         book = _book(bits)
         for b in batches:
-            rows = book.encode(_arrays(b), block)
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(1), pa.array([x for x, _ in rows], pa.binary()), pa.array([m.tobytes() for _, m in rows], pa.binary())], names=["id", "n", "bits", "marks"]
-            )
+            stream, starts, marks = book.encode(*_flat(b), block)
+            each = [stream[a:z] for a, z in zip(starts[:-1].tolist(), starts[1:].tolist())]
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(each, pa.binary()), pa.array([m.tobytes() for m in marks], pa.binary())], names=["id", "n", "bits", "marks"])
 
     return run
 

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from functools import lru_cache
 
 import numpy as np
@@ -80,24 +81,33 @@ class ByteLevel:
     def encode(self, text: str) -> np.ndarray:
         if not self.special.search(text):
             try:
-                return np.array(self.fast.encode_ordinary(text), np.uint32)
+                return self.fast.encode_to_numpy(text, allowed_special=set(), disallowed_special=())
             except BaseException as e:  # the pattern engine gives up on some endless runs, with a panic
                 if isinstance(e, (KeyboardInterrupt, SystemExit, MemoryError)):
                     raise
         return np.array(by_library(self.path, text), np.uint32)
 
 
+def _latin() -> tuple[np.ndarray, re.Pattern]:
+    """Which characters below U+0250 the libraries may treat differently when lower-casing, normalising or classing
+    them; and the pattern of what stands apart from letters: contractions, single digits, runs of other signs."""
+    chars = list(map(chr, range(0x250)))
+    kind = list(map(unicodedata.category, chars))
+    unusual = [k in ("Cc", "Lt", "Cn") and c not in "\n\r\t" or c in "\xa0\xadİŉǰ" or len(c.lower()) > 1 or k[0] == "M" for c, k in zip(chars, kind)]
+    digits = "".join(c for c, k in zip(chars, kind) if k[0] == "N")
+    signs = "".join(c for c, k in zip(chars, kind) if k[0] in "PS")
+    return np.array(unusual), re.compile(f"('(?:s|t|re|ve|m|ll|d)|[{digits}]|[{re.escape(signs)}]+)")
+
+
+UNUSUAL, BREAKS = _latin()
+
+
 class WordLevel:
     """Ids under a lower-cased vocabulary whose words end in a suffix; white space is dropped.
 
     A word's end is written as a space, which no token holds, so one merge table serves both kinds of token.
     """
 
-    #: Characters on which lower-casing, normalisation and character classes agree between the libraries.
-    UNUSUAL = re.compile("[^\\n\\r\\t\x20-\x7e¡-įı-ǃǍ-ǰǴ-ȳ]|<\\|")
-    #: Breaks between words that white space doesn't show: as the file's own pattern has them, letters aside.
-    BREAKS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼-¾]|(?:[^\s\w]|_)+")
-
     def __init__(self, path: str):
         import tiktoken
 
@@ -107,10 +117,11 @@ class WordLevel:
         self.fast = tiktoken.Encoding("own", pat_str=r"[^ ]+ ", mergeable_ranks=ranks, special_tokens={})
 
     def encode(self, text: str) -> np.ndarray:
-        if self.UNUSUAL.search(text):
+        codes = np.frombuffer(text.encode("utf-16-le"), np.uint16)
+        if len(codes) and (codes.max() >= len(UNUSUAL) or UNUSUAL[codes].any()) or "<|" in text:
             return np.array(by_library(self.path, text), np.uint32)
-        words = self.BREAKS.sub(r" \g<0> ", text.lower()).replace("\n", " ").replace("\t", " ").replace("\r", " ")
-        return np.array(self.fast.encode_ordinary(words + " "), np.uint32)
+        words = " ".join(BREAKS.split(text.lower())).replace("\n", " ").replace("\t", " ").replace("\r", " ")
+        return self.fast.encode_to_numpy(words + " ", allowed_special=set(), disallowed_special=())
 
 
 @lru_cache
