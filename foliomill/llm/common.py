@@ -90,11 +90,11 @@ def fold(id_col: str, parts: int) -> F.Column:
 
 
 def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id", max_values: int = 512) -> tuple[DataFrame, dict]:
-    """About `bound` rows of each value of `by` (all, where there are fewer), picked by a hash of the id, and the rate
-    of each value.  The `max_values` most frequent values are sampled.  No row moves for this."""
+    """About `bound` rows of each value of `by` (all, where there are fewer), picked by a hash of the id, and of each
+    value its rate and how many rows have it.  The `max_values` most frequent values are sampled.  No row moves for this."""
     counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(max_values).collect()}
-    rates = {k: min(1.0, bound / n) for k, n in counts.items()}
+    rates = {k: (min(1.0, bound / n), n) for k, n in counts.items()}
     pick = F.lit(False)
-    for value, rate in rates.items():
+    for value, (rate, _) in rates.items():
         pick = pick | ((F.col(by) == F.lit(value)) & (F.pmod(F.xxhash64(F.col(id_col), F.lit(by)), F.lit(1 << 30)) < int(rate * (1 << 30))))
     return rows.where(pick), rates

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, in_small_batches, load
+from .common import Scratch, bounded_sample, fold, in_small_batches, load
 
 #: Labelled rows of each class that the lexicon is learned from, and its largest size.
 SAMPLE_PER_CLASS, MAX_ENTRIES = 15_000, 20_000
@@ -213,9 +213,12 @@ class Lexicon:
         self.shares, self.rest = shares, rest
 
     @classmethod
-    def learn(cls, labelled: DataFrame, model: np.ndarray, bound: int = SAMPLE_PER_CLASS) -> Lexicon:
-        """From rows (doc_id, text, toxic), toxic 0 or 1."""
-        sample, rates = bounded_sample(labelled.where("toxic in (0, 1)"), "toxic", bound)
+    def learn(cls, docs: DataFrame, labels: DataFrame, model: np.ndarray, bound: int = SAMPLE_PER_CLASS) -> Lexicon:
+        """From the texts of docs and labels (doc_id, toxic 0 or 1).  Labels are sampled before anything is joined, so
+        what is broadcast is bounded and no text moves; the sample's texts are written once."""
+        of, rates = bounded_sample(labels.where("toxic in (0, 1)"), "toxic", bound)
+        texts = docs.select(F.col("doc_id").alias("id"), "text")
+        sample = Scratch(docs.sparkSession, "toxic").keep(texts.join(F.broadcast(of.select(F.col("doc_id").alias("id"), "toxic")), "id").select("text", "toxic"), "sample")
         size = {r["toxic"]: r["n"] for r in sample.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
         if not size.get(1) or not size.get(0):
             return cls({}, 0.5 if not size else float(0 not in size))
@@ -226,7 +229,7 @@ class Lexicon:
 
         toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(10 * MAX_ENTRIES).collect()}
         clean = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
-        weight = rates[1] / rates[0]  # clean rows that a sampled clean row stands for, against toxic ones
+        weight = rates[1][0] / rates[0][0]  # clean rows that a sampled clean row stands for, against toxic ones
         base = size[1] / (size[1] + size[0] * weight)
         shares, chance = {}, math.log(len(toxic) + 1) + 1
         for e, t in toxic.items():
@@ -318,11 +321,9 @@ def restore_texts(docs: DataFrame, model: np.ndarray, id_col: str = "doc_id", te
     return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col)).mapInArrow(_restored(model), "id long, restored string").withColumnRenamed("id", id_col)
 
 
-def labelled_rows(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """(doc_id, text, toxic) of rows that may be learned from; of several labels the highest counts.  The labels' fold
-    is cut on both sides, so nothing held out is even read into the join."""
-    of = labels.where((fold(id_col, 3) != 1) & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").alias("toxic"))
-    return docs.where(fold(id_col, 3) != 1).select(F.col(id_col).alias("doc_id"), "text").join(of, "doc_id")
+def learnable_labels(labels: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(doc_id, toxic) outside the fold that is held out; of several labels of a document the highest counts."""
+    return labels.where((fold(id_col, 3) != 1) & F.col("toxic").isNotNull()).groupBy(F.col(id_col).alias("doc_id")).agg(F.max("toxic").alias("toxic"))
 
 
 def _passed(model: np.ndarray, lexicon: Lexicon, text_col: str, below: float):
@@ -354,7 +355,7 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, id_col:
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, Lexicon]:
     model = character_model(docs)
-    return model, Lexicon.learn(labelled_rows(docs, labels), model)
+    return model, Lexicon.learn(docs, learnable_labels(labels), model)
 
 
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
