@@ -59,23 +59,23 @@ def q53_block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q54_inline_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Sentences of each document's first hundred characters as an inline list, and taken apart again.
+    """The parts of every line, between marks, as an inline list, and taken apart again.
 
     Three kinds by document: numbered, bulleted, semicolons; a list needs two markers, numbers that count up, and
     for semicolons three items of at most 140 characters.
     """
-    head = F.left(T.squeeze(F.coalesce("text", F.lit(""))), F.lit(100))
-    items = F.filter(F.transform(F.split(head, r"[.,;:!?()]"), lambda s: F.btrim(s)), lambda s: s != "")
-    rows = load(spark, sf_dir, "documents").select("doc_id", (F.col("doc_id") % 3).alias("kind"), items.alias("items"))
+    items = F.filter(F.transform(F.split(T.squeeze(F.col("line")), r"[.,;:!?()]"), lambda s: F.btrim(s)), lambda s: s != "")
+    lines = load(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    rows = lines.select("doc_id", "pos", ((F.col("doc_id") + F.col("pos")) % 3).alias("kind"), items.alias("items"))
     inline = F.when(F.col("kind") == 0, F.array_join(F.transform("items", lambda s, i: F.concat((i + 1).cast("string"), F.lit(") "), s)), " ")).when(F.col("kind") == 1, F.array_join(F.transform("items", lambda s: F.concat(F.lit("• "), s)), " ")).otherwise(F.array_join("items", "; "))
-    rows = rows.select("doc_id", "kind", inline.alias("x"))
+    rows = rows.select("doc_id", "pos", "kind", inline.alias("x"))
     split = F.when(F.col("kind") == 0, F.split("x", r" ?[0-9]+\) ")).when(F.col("kind") == 1, F.split("x", r" ?• ")).otherwise(F.split("x", "; "))
-    rows = rows.select("doc_id", "kind", "x", F.filter(split, lambda s: s != "").alias("found"))
+    rows = rows.select("doc_id", "pos", "kind", "x", F.filter(split, lambda s: s != "").alias("found"))
     numbers = F.transform(F.regexp_extract_all("x", F.lit(r"([0-9]+)\) "), 1), lambda n: n.cast("int"))
     counts_up = F.forall(F.transform(numbers, lambda n, i: n - i), lambda d: d == 1)
     short = F.forall("found", lambda s: F.length(s) <= 140)
     is_list = F.when(F.col("kind") == 0, (F.size("found") >= 2) & counts_up).when(F.col("kind") == 1, F.size("found") >= 2).otherwise((F.size("found") >= 3) & short)
-    return rows.select("doc_id", F.size("found").alias("n_items"), is_list.alias("is_list"), F.md5(F.array_join("found", "|")).alias("items"))
+    return rows.select("doc_id", "pos", F.size("found").alias("n_items"), is_list.alias("is_list"), F.md5(F.array_join("found", "|")).alias("items"))
 
 
 def q55_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -151,8 +151,9 @@ SQL = {
     "q53_block_kinds": _F + rf""", k AS (SELECT doc_id, x, CASE WHEN len(list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')) BETWEEN 2 AND 6 THEN 'table' WHEN {_S['definition']} THEN 'definitions' WHEN {_S['ordered_item']} THEN 'ordered' WHEN {_S['bullet_item']} THEN 'bullet'
  WHEN len(regexp_extract_all(x, ';')) >= 2 THEN 'semicolons' WHEN {_S['index_entry']} THEN 'index' WHEN {_S['figure_caption']} THEN 'caption' WHEN {_S['reference_title']} THEN 'references' WHEN {_HEADING} THEN 'heading' ELSE 'paragraph' END AS kind FROM f)
 SELECT kind, count(*) AS n, min(doc_id) AS first_doc, sum(length(x))::bigint AS n_chars FROM k GROUP BY kind""",
-    "q54_inline_lists": r"""WITH i AS (SELECT doc_id, doc_id % 3 AS kind, list_filter(list_transform(regexp_split_to_array(left(trim(regexp_replace(coalesce(text, ''), '[ \t\r\n]+', ' ', 'g')), 100), '[.,;:!?()]'), lambda s: trim(s)), lambda s: s <> '') AS items FROM documents)
-SELECT doc_id, len(items)::int AS n_items, CASE WHEN kind = 2 THEN len(items) >= 3 AND len(list_filter(items, lambda s: length(s) > 140)) = 0 ELSE len(items) >= 2 END AS is_list, md5(coalesce(array_to_string(items, '|'), '')) AS items FROM i""",
+    "q54_inline_lists": r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+i AS (SELECT doc_id, pos, (doc_id + pos) % 3 AS kind, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g')), '[.,;:!?()]'), lambda s: trim(s)), lambda s: s <> '') AS items FROM l)
+SELECT doc_id, pos, len(items)::int AS n_items, CASE WHEN kind = 2 THEN len(items) >= 3 AND len(list_filter(items, lambda s: length(s) > 140)) = 0 ELSE len(items) >= 2 END AS is_list, md5(coalesce(array_to_string(items, '|'), '')) AS items FROM i""",
     "q55_unique_ids": _F + f""", s AS (SELECT doc_id, source, left({_SLUG}, 12) AS slug FROM f JOIN documents USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS k FROM s)
 SELECT doc_id, source, CASE WHEN k > 1 THEN slug || '-' || k ELSE slug END AS id FROM k""",
     "q56_package_ids": _F + """, h AS (SELECT doc_id, concat_ws('|', lower(coalesce(x, '')), source, lang) AS seed FROM f JOIN documents USING (doc_id)),

@@ -82,10 +82,10 @@ def q05_decision_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q06_number_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repaired tail of every text."""
+    """Every text repaired: its digest, its tail and its length."""
     rough = roughened(load(spark, sf_dir, "documents"))
     fixed = T.close_up_units(T.close_up_percent(F.col("numbers")))
-    return rough.select("doc_id", F.right(fixed, F.lit(20)).alias("tail"), F.length(fixed).cast("long").alias("n_chars"))
+    return rough.select("doc_id", F.md5(fixed).alias("fixed"), F.right(fixed, F.lit(20)).alias("tail"), F.length(fixed).cast("long").alias("n_chars"))
 
 
 def q07_protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,11 +102,11 @@ def q08_stripped_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q14_camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first eight words glued together as camel case, and split again."""
+    """All words of a text glued together as camel case, and split again."""
     docs = load(spark, sf_dir, "documents").where("text is not null")
-    first = F.slice(T.letters_only(F.replace("text", F.lit("ß"), F.lit("ss"))), 1, 8)
-    glued = F.array_join(F.transform(first, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
-    return docs.select("doc_id", glued.alias("glued")).select("doc_id", "glued", T.split_camel(F.col("glued")).alias("split"))
+    every = T.letters_only(F.replace("text", F.lit("ß"), F.lit("ss")))
+    glued = F.array_join(F.transform(every, lambda w: F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))), "")
+    return docs.select("doc_id", glued.alias("glued")).select("doc_id", F.md5("glued").alias("glued"), F.md5(T.split_camel(F.col("glued"))).alias("split"), T.count(F.col("glued"), r"\p{Ll}\p{Lu}").alias("n_joins"))
 
 
 QUERIES = {q.__name__: q for q in (q04_repair_decisions, q05_decision_summary, q06_number_repair, q07_protected_tokens, q08_stripped_emails, q14_camel_split)}
@@ -132,7 +132,7 @@ decided AS (SELECT doc_id, error_class, n_hits, round(points::double, 6) AS scor
 SQL = {
     "q04_repair_decisions": _ROUGH + "SELECT doc_id, error_class, n_hits, score, status, fixed FROM decided",
     "q05_decision_summary": _ROUGH + "SELECT status, error_class, count(*) AS n_decisions, sum(n_hits)::bigint AS n_hits, count(DISTINCT doc_id) AS n_docs, status = 'blocked' AS blocks FROM decided GROUP BY status, error_class",
-    "q06_number_repair": _ROUGH + "SELECT doc_id, right(u, 20) AS tail, length(u) AS n_chars FROM units",
+    "q06_number_repair": _ROUGH + "SELECT doc_id, md5(u) AS fixed, right(u, 20) AS tail, length(u) AS n_chars FROM units",
     "q07_protected_tokens": r"""
 WITH d AS (SELECT source, coalesce(text, '') || ' see www.example.com/' || doc_id || ' doi 10.1000/x' || doc_id AS t FROM documents)
 SELECT source, sum(len(regexp_extract_all(t, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')))::bigint AS emails, sum(len(regexp_extract_all(t, '[vV]?[0-9]+\.[0-9]+\.[0-9]+')))::bigint AS versions,
@@ -142,7 +142,7 @@ SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[
   md5(trim(regexp_replace(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '', 'g'), '[ \t\r\n]+', ' ', 'g'))) AS stripped
 FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')""",
     "q14_camel_split": r"""
-WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(text, 'ß', 'ss'), '\p{L}+')[1:8], lambda w: upper(w[1:1]) || lower(substr(w, 2))) AS ws FROM documents WHERE text IS NOT NULL),
+WITH w AS (SELECT doc_id, list_transform(regexp_extract_all(replace(text, 'ß', 'ss'), '\p{L}+'), lambda w: upper(w[1:1]) || lower(substr(w, 2))) AS ws FROM documents WHERE text IS NOT NULL),
 g AS (SELECT doc_id, coalesce(array_to_string(ws, ''), '') AS glued FROM w)
-SELECT doc_id, glued, regexp_replace(glued, '(\p{Ll})(\p{Lu})', '\1 \2', 'g') AS split FROM g""",
+SELECT doc_id, md5(glued) AS glued, md5(regexp_replace(glued, '(\p{Ll})(\p{Lu})', '\1 \2', 'g')) AS split, len(regexp_extract_all(glued, '\p{Ll}\p{Lu}')) AS n_joins FROM g""",
 }

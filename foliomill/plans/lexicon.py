@@ -87,17 +87,17 @@ def q12_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_glued_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Adjacent long words of the first sentence glued and split again where both halves are best known.
+    """The first two long words of every line glued and split again where both halves are best known.
 
     Cut points are exploded and joined to the lexicon on either half; the best has the greatest sum of zipfs, the
-    leftmost first.  The vocabulary is the words of four letters and more that occur ten times.
+    leftmost first.  The vocabulary is the words of four letters and more that a language has ten times.
     """
-    docs = load(spark, sf_dir, "documents").where("lang = 'en' and text is not null")
+    docs = load(spark, sf_dir, "documents").where("text is not null")
     lexicon = with_zipf(frequencies(docs)).where((F.col("n") >= 10) & (F.length("token") >= 4)).select("token", "zipf")
     lexicon = lexicon.groupBy("token").agg(F.max("zipf").alias("zipf"))
-    first = F.transform(T.letters_only(F.col("text")), F.lower)
-    long_ = F.slice(F.filter(first, lambda w: F.length(w) >= 4), 1, 2)
-    glued = docs.select(F.array_join(long_, "").alias("glued"), F.size(long_).alias("k")).where("k = 2").select("glued").distinct()
+    lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
+    long_ = F.slice(F.filter(F.transform(T.letters_only(F.col("line")), F.lower), lambda w: F.length(w) >= 4), 1, 2)
+    glued = lines.select(F.array_join(long_, "").alias("glued"), F.size(long_).alias("k")).where("k = 2").select("glued").distinct()
     cuts = glued.select("glued", F.explode(F.sequence(F.lit(4), F.greatest(F.length("glued") - 4, F.lit(4)))).alias("cut"))
     halves = cuts.select("glued", "cut", F.left("glued", F.col("cut")).alias("l"), F.expr("substr(glued, cut + 1)").alias("r"))
     left, right = lexicon.toDF("l", "zl"), lexicon.toDF("r", "zr")
@@ -122,9 +122,11 @@ HAVING (n >= 12 AND n_headings >= 1) OR n_headings >= 2 OR n_acronyms >= 3 OR (n
     "q12_language_vote": r"WITH d AS (SELECT lang, list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+'), lambda x: lower(x)) AS w FROM documents), v AS (SELECT lang, " + _VOTE.replace(" AS ", " AS v_") + r""" FROM d),
 s AS (SELECT lang, list_sort([{'n': v_de, 'l': 'de'}, {'n': v_en, 'l': 'en'}, {'n': v_es, 'l': 'es'}, {'n': v_fr, 'l': 'fr'}], 'DESC') AS r FROM v)
 SELECT lang, CASE WHEN r[1].n >= r[2].n + 2 THEN r[1].l ELSE 'mixed' END AS voted, count(*) AS n_docs FROM s GROUP BY ALL""",
-    "q13_glued_words": r"""WITH d AS (SELECT text FROM documents WHERE lang = 'en' AND text IS NOT NULL), tok AS (SELECT lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS token FROM d),
-f AS (SELECT token, count(*) AS n FROM tok GROUP BY token), lex AS (SELECT token, round(log10(n / (SELECT sum(n) FROM f)::double * 1e9), 6) AS zipf FROM f WHERE n >= 10 AND length(token) >= 4),
-g AS (SELECT DISTINCT array_to_string(l, '') AS glued FROM (SELECT list_filter(list_transform(regexp_extract_all(text, '\p{L}+'), lambda x: lower(x)), lambda x: length(x) >= 4)[1:2] AS l FROM d) WHERE len(l) = 2),
+    "q13_glued_words": r"""WITH d AS (SELECT lang, text FROM documents WHERE text IS NOT NULL), tok AS (SELECT lang, lower(unnest(regexp_extract_all(text, '\p{L}+'))) AS token FROM d),
+f AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM f GROUP BY lang),
+lex AS (SELECT token, max(round(log10(n / total::double * 1e9), 6)) AS zipf FROM f JOIN t USING (lang) WHERE n >= 10 AND length(token) >= 4 GROUP BY token),
+i AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
+g AS (SELECT DISTINCT array_to_string(l, '') AS glued FROM (SELECT list_filter(list_transform(regexp_extract_all(line, '\p{L}+'), lambda x: lower(x)), lambda x: length(x) >= 4)[1:2] AS l FROM i) WHERE len(l) = 2),
 c AS (SELECT glued, unnest(range(4, length(glued) - 3)) AS cut FROM g),
 s AS (SELECT glued, cut, a.zipf + b.zipf AS points FROM c JOIN lex a ON a.token = left(glued, cut) JOIN lex b ON b.token = substr(glued, cut + 1))
 SELECT glued, cut::int AS cut FROM s QUALIFY row_number() OVER (PARTITION BY glued ORDER BY points DESC, cut) = 1""",

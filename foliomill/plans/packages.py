@@ -158,7 +158,7 @@ def q69_stray_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q70_case_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases in which any wanted token occurs, in language, source or text, and where."""
     tokens = ("es", "src3", "licen")
-    hay = {"lang": F.lower(F.coalesce("lang", F.lit(""))), "source": F.lower(F.coalesce("source", F.lit(""))), "text": F.lower(F.left(F.coalesce("text", F.lit("")), F.lit(400)))}
+    hay = {"lang": F.lower(F.coalesce("lang", F.lit(""))), "source": F.lower(F.coalesce("source", F.lit(""))), "text": F.lower(F.coalesce("text", F.lit("")))}
     hit = {k: sum(((F.contains(x, F.lit(t))).cast("int") for t in tokens), F.lit(0)) > 0 for k, x in hay.items()}
     rows = load(spark, sf_dir, "documents").select("doc_id", *(v.alias(k) for k, v in hit.items())).where("lang OR source OR text")
     return rows.groupBy("lang", "source", "text").agg(F.count("*").alias("n_cases"), F.min("doc_id").alias("first_doc"))
@@ -213,7 +213,7 @@ d AS (SELECT user_id, (sum(CASE WHEN early THEN -n ELSE n END))::bigint AS n_del
 SELECT *, CASE WHEN bad_delta > 0 THEN 'worse' ELSE 'not_worse' END AS verdict FROM d""",
     "q69_stray_files": """SELECT o_orderpriority, count(*) AS n_files, min(o_orderkey) AS first_file FROM orders WHERE o_orderdate < (SELECT max(o_orderdate) FROM orders) - INTERVAL 12 HOURS
 AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity >= 45) GROUP BY o_orderpriority""",
-    "q70_case_filters": """WITH h AS (SELECT doc_id, lower(coalesce(lang, '')) AS l, lower(coalesce(source, '')) AS s, lower(left(coalesce(text, ''), 400)) AS t FROM documents),
+    "q70_case_filters": """WITH h AS (SELECT doc_id, lower(coalesce(lang, '')) AS l, lower(coalesce(source, '')) AS s, lower(coalesce(text, '')) AS t FROM documents),
 f AS (SELECT doc_id, contains(l, 'es') OR contains(l, 'src3') OR contains(l, 'licen') AS lang, contains(s, 'es') OR contains(s, 'src3') OR contains(s, 'licen') AS source, contains(t, 'es') OR contains(t, 'src3') OR contains(t, 'licen') AS text FROM h)
 SELECT lang, source, text, count(*) AS n_cases, min(doc_id) AS first_doc FROM f WHERE lang OR source OR text GROUP BY ALL""",
     "q71_event_properties": "WITH k AS (SELECT unnest(json_keys(props)) AS key, props FROM events) SELECT key, count(*) AS n, count(DISTINCT json_extract_string(props, '$.' || key)) AS n_values FROM k GROUP BY key",
