@@ -4,7 +4,8 @@ Documents are cut into pieces of at most `capacity` tokens and written once as (
 counted per task and length.  Only the histogram of lengths, `capacity` numbers at most, reaches the driver.  There an
 index of the single, pair and triple length sums that the available counts allow is consulted for each length from
 the longest down: combinations that fill its gap exactly are consumed as often as their counts last, and what has no
-exact complement is packed best-fit, bins with equal contents at a time.  The plan is a list of patterns with
+exact complement is packed best-fit, bins with equal contents at a time.  A few such plans are made and the one with the
+fewest sequences is taken.  The plan is a list of patterns with
 multiplicities.  Each piece's rank among all pieces of its length then tells its sequence and offset.
 """
 
@@ -60,22 +61,23 @@ class SumIndex:
                 return (c, *rest)
         return ()
 
-    def complement(self, gap: int) -> tuple[int, ...]:
-        """One, two or three available lengths that fill the gap exactly, the fewest and then the longest first."""
+    def complement(self, gap: int, most: int = 3) -> tuple[int, ...]:
+        """One to `most` available lengths that fill the gap exactly, the fewest and then the longest first."""
         if self.n[gap] > 0:
             return (gap,)
-        return self.pair(gap) or (self.triple(gap) if gap > 2 else ())
+        return (most > 1 and self.pair(gap)) or (most > 2 and gap > 2 and self.triple(gap)) or ()
 
 
-def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
-    """Patterns (lengths in one sequence) with multiplicities that use up all counts.  Lengths are 1 to capacity."""
+def complements_first(counts: dict[int, int], capacity: int, most: int, least: int) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns that exact complements of up to `most` lengths make, for lengths above `least` from the longest down,
+    then best-fit for the rest."""
     index, patterns = SumIndex({k: v for k, v in counts.items() if k < capacity}, capacity), []
     if counts.get(capacity):
         patterns.append(((capacity,), counts[capacity]))
-    for length in range(capacity - 1, 0, -1):
+    for length in range(capacity - 1, least, -1):
         while index.n[length] > 0:
             index.set(length, int(index.n[length]) - 1)
-            found = index.complement(capacity - length)
+            found = index.complement(capacity - length, most)
             index.set(length, int(index.n[length]) + 1)
             if not found:
                 break
@@ -87,6 +89,25 @@ def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tupl
     return patterns + best_fit({k: int(index.n[k]) for k in range(1, capacity) if index.n[k]}, capacity)
 
 
+def plan_patterns(counts: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tuple[int, ...], int]]:
+    """Patterns (lengths in one sequence) with multiplicities that use up all counts.  Lengths are 1 to capacity.
+
+    Pairs and triples can use up short pieces that long ones would need later, so the plan is made with complements of
+    up to three, two and one lengths and for all lengths or those over half; what isn't full is then pooled and planned
+    once more.  The plan with the fewest sequences is taken, and of equals the one with the most complements.
+    """
+    n = lambda plan: sum(times for _, times in plan)
+    plans = [complements_first(counts, capacity, most, least) for most in (3, 2, 1) for least in (0, capacity // 2)]
+    for plan in list(plans):
+        pool: Counter = Counter()
+        for lengths, times in plan:
+            if sum(lengths) < capacity:
+                for k in lengths:
+                    pool[k] += times
+        plans.append([x for x in plan if sum(x[0]) == capacity] + min((complements_first(pool, capacity, 3, least) for least in (0, capacity // 2)), key=n))
+    return min(plans, key=n)
+
+
 def best_fit(counts: dict[int, int], capacity: int) -> list[tuple[tuple[int, ...], int]]:
     """Best fit with lengths in falling order; bins of equal contents are handled together."""
     bins: dict[int, list[list]] = {}  # gap: [contents, how many]
