@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import blocks, boilerplate, cleanup, epub, headings, lexicon, links, outline, packages, quality, structure
+from .plans import blocks, boilerplate, cleanup, epub, headings, lexicon, links, normalise, outline, packages, quality, structure
 from .streaming import jobs
 
 FLAGSHIP = "q01_boilerplate_lines"
-MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, jobs)
+MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, normalise, jobs)
 
 
 def queries() -> dict:
