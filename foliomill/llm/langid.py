@@ -17,12 +17,15 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold, in_small_batches, load
 
-#: Labelled rows of each language that the model is fitted on; words and n-grams that it holds, by relative frequency.
-SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 8_000, 60_000, 120_000
+#: Labelled rows of each language that the model is fitted on; words and n-grams that it holds, the most
+#: frequent ones, of those that occur twice.
+SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 4_000, 40_000, 60_000
 ORDER, ADDED = 5, 0.5
 #: Chunks of text that a worker remembers.
 REMEMBERED = 300_000
 UNDETERMINED = "und"
+#: Signs that words carry at their ends.
+EDGES = ".,;:!?\"'()[]*%#$&"
 LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -70,27 +73,28 @@ class Model:
         rows = rows.where(F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text"))
         sample, rates = bounded_sample(rows.where("text is not null"), "lang", bound, "id")
         languages = sorted(rates)
+        if not languages:
+            return cls([], np.empty(0), {}, np.empty((0, 0)))
         counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
         counts = counts.persist()
         totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
         share = F.lit(0.0)
         for (lang, kind), n in totals.items():
             share = F.when((F.col("lang") == lang) & (F.col("kind") == kind), F.col("n") / F.lit(float(n))).otherwise(share)
-        items: dict[str, np.ndarray] = {}
-        at = {lang: i for i, lang in enumerate(languages)}
+        per_language = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
+        keys, logs = [], []
         for kinds, most in ((F.col("kind") == 0, MAX_WORDS), (F.col("kind") > 0, MAX_GRAMS)):
-            found = counts.where(kinds).withColumn("share", share).groupBy("kind", "item").agg(F.max("share").alias("top"), F.collect_list(F.struct("lang", "n")).alias("of"))
-            for r in found.orderBy(F.desc("top"), "kind", "item").limit(most).collect():
-                v = np.zeros(len(languages))
-                for lang, n in r["of"]:
-                    v[at[lang]] = n
-                items[f"{r['kind']}{r['item']}"] = v
+            found = counts.where(kinds).withColumn("share", share).groupBy("kind", "item").agg(F.max("share").alias("top"), F.sum("n").alias("n"), *per_language)
+            rows = found.where("n > 1").orderBy(F.desc("top"), "kind", "item").limit(most).drop("top", "n").toArrow()
+            kind = rows["kind"].to_pylist()
+            keys += [f"{k}{item}" for k, item in zip(kind, rows["item"].to_pylist())]
+            size = np.array([[totals.get((lang, k), 0) + ADDED * most for lang in languages] for k in range(ORDER + 1)])
+            n = np.array([rows[f"n{k}"].to_numpy() for k in range(len(languages))], float).T
+            logs.append(np.log((n + ADDED) / size[kind]) if len(kind) else np.empty((0, len(languages))))
         counts.unpersist()
-        table = np.array(list(items.values())).reshape(-1, len(languages))
-        size = np.array([[totals.get((lang, int(k[0])), 0) + ADDED * most for lang in languages] for k in items for most in [MAX_WORDS if k[0] == "0" else MAX_GRAMS]]).reshape(table.shape)
-        n_docs = np.array([1 / rates[lang] for lang in languages])
-        prior = np.log(n_docs / n_docs.sum()) if languages else n_docs
-        return cls(languages, prior, {k: i for i, k in enumerate(items)}, np.log((table + ADDED) / size))
+        n_docs = np.array([rates[lang][1] for lang in languages], float)
+        prior = np.log(n_docs / n_docs.sum())
+        return cls(languages, prior, {k: i for i, k in enumerate(keys)}, np.concatenate(logs))
 
     def word(self, word: str) -> np.ndarray | None:
         """Log frequencies of a word, or the mean of those of its longest known n-grams; None if it knows neither."""
@@ -100,7 +104,7 @@ class Model:
         for k in range(ORDER, 0, -1):
             found = [i for g in grams(word, k) if (i := self.rows.get(f"{k}{g}")) is not None]
             if found:
-                return self.table[found].mean(axis=0)
+                return np.add.reduce(self.table[found]) / len(found)
         return None
 
 
@@ -109,18 +113,22 @@ class Scorer(dict):
 
     def __init__(self, model: Model):
         super().__init__()
-        self.model, self.scores = model, np.zeros((1024, len(model.languages) + 1))
+        self.model, self.scores, self.used = model, np.zeros((1024, len(model.languages) + 1)), 0
 
     def __missing__(self, chunk: str) -> int:
-        row = len(self)
+        core = chunk.strip(EDGES)
+        if core != chunk and core.isalpha():
+            row = self[chunk] = self[core]
+            return row
+        row, self.used = self.used, self.used + 1
         if row == len(self.scores):
             self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-        self.scores[row] = 0
+        total, n = 0.0, 0
         for w in LETTERS.findall(chunk):
             v = self.model.word(w)
             if v is not None:
-                self.scores[row, :-1] += v
-                self.scores[row, -1] += 1
+                total, n = total + v, n + 1
+        self.scores[row, :-1], self.scores[row, -1] = total, n
         self[chunk] = row
         return row
 
@@ -129,6 +137,7 @@ class Scorer(dict):
             return UNDETERMINED, 0.0
         if len(self) > REMEMBERED:
             self.clear()
+            self.used = 0
         chunks = text.lower().split()
         total = self.scores[0] * 0
         for i in range(0, len(chunks), 1 << 16):
