@@ -147,45 +147,48 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(b.num_columns))], names=["key", *b.schema.names])
 
 
-def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratch, verify=lambda pairs: pairs) -> DataFrame:
+def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratch, full: tuple[DataFrame, list[str], str] | None = None, crowd: int | None = None) -> DataFrame:
     """(node, component) of nodes that links join.
 
-    keys: (key, *cols), the first of cols the node and the last what `near` compares, as SQL over `x` and `y`.
-    Pairs (a, b) of nodes that share a key and are near go through `verify`, which returns those that are links.
+    keys: (key, *cols), the first of cols the node; `near` is SQL over the columns and those of the other side, which
+    end in _2.  Where `near` only sieves, `full` has the nodes' further columns, their names and the SQL that decides;
+    pairs from crowded keys are decided in the join itself, others once they are distinct, for which fewer to a key are
+    a crowd.
     """
-    node, fp = cols[0], cols[-1]
-    spark, other = keys.sparkSession, [F.col(c).alias(c + "_2") for c in cols]
-    close = F.expr(near.format(x=fp, y=fp + "_2"))
+    node, spark = cols[0], keys.sparkSession
+    more, decides = (full[1], full[2]) if full else ([], near)
+    second = lambda names: [F.col(c).alias(c + "_2") for c in names]
     ends = [F.least(node, node + "_2").alias("a"), F.greatest(node, node + "_2").alias("b")]
-    crowds = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > CROWD).select("key"), "crowds")
+    crowds = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd)).select("key"), "crowds")
     few = keys.join(crowds, "key", "left_anti")
-    pairs = few.join(few.select("key", *other), "key").where(F.col(node) < F.col(node + "_2")).where(close).select(*ends)
-    crowded = scratch.keep(keys.join(crowds, "key"), "crowded")
-    pivots = crowded.groupBy("key").agg(F.min(F.struct(*cols)).alias("p")).select("key", *(F.col("p." + c).alias(c + "_2") for c in cols))
-    stars = crowded.join(pivots, "key").where(F.col(node) != F.col(node + "_2")).where(close).select(*ends)
-    known = verify(scratch.keep(pairs.unionByName(stars).distinct(), "pairs"))
-    first = scratch.keep(connected_components(spark, known, scratch), "first")
+    pairs = few.join(few.select("key", *second(cols)), "key").where(F.col(node) < F.col(node + "_2")).where(near).select(*ends).distinct()
+    if full:
+        sides = [full[0].select(F.col(node).alias(x), *(F.col(c).alias(c + suffix) for c in [*cols[1:], *more])) for x, suffix in (("a", ""), ("b", "_2"))]
+        pairs = scratch.keep(pairs, "pairs").join(sides[0], "a").join(sides[1], "b").where(decides).select("a", "b")
+    crowded = keys.join(crowds, "key")
+    if full:
+        crowded = crowded.join(full[0].select(node, *more), node)
+    crowded = scratch.keep(crowded.select("key", *cols, *more), "crowded")
+    pivots = crowded.groupBy("key").agg(F.min(F.struct(*cols, *more)).alias("p")).select("key", *(F.col("p." + c).alias(c + "_2") for c in [*cols, *more]))
+    stars = crowded.join(pivots, "key").where(F.col(node) != F.col(node + "_2")).where(decides).select(*ends)
+    first = scratch.keep(connected_components(spark, pairs.unionByName(stars).distinct(), scratch), "first")
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
     labels = first.join(sizes, "component").select(F.col("node").alias(node), "component", "size")
-    wide = crowded.join(labels, node, "left").select("key", *cols, F.coalesce("component", node).alias("component"), F.coalesce("size", F.lit(1)).alias("size"))
-    wide = scratch.keep(wide, "wide")
+    wide = scratch.keep(crowded.join(labels, node, "left").withColumns({"component": F.coalesce("component", node), "size": F.coalesce("size", F.lit(1))}), "wide")
     mixed = (
         wide.groupBy("key")
         .agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.max(F.struct("size", "component")).alias("most"))
         .where("lo <> hi")
         .select("key", F.col("most.component").alias("main"))
     )
-    others = wide.join(mixed, "key").where("component <> main").select("key", *other, F.col("component").alias("component_2"))
-    between = wide.join(others, "key").where("component <> component_2").where(close)
-    bridges = verify(scratch.keep(between.select(*ends).distinct(), "between"))
-    of = first.unionByName(bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("component")))
-    of = scratch.keep(of, "of")
-    a, b = of.select(F.col("node").alias("a"), F.col("component").alias("ca")), of.select(F.col("node").alias("b"), F.col("component").alias("cb"))
-    bridges = scratch.keep(bridges.join(a, "a").join(b, "b").select(F.col("ca").alias("a"), F.col("cb").alias("b")).distinct(), "bridges")
+    others = wide.join(mixed, "key").where("component <> main").select("key", *second([*cols, *more, "component"]))
+    between = wide.join(others, "key").where("component <> component_2").where(decides)
+    bridges = scratch.keep(between.select(F.greatest("component", "component_2").alias("a"), F.least("component", "component_2").alias("b")).distinct(), "bridges")
     if bridges.isEmpty():
-        return of
-    second = connected_components(spark, bridges, scratch).toDF("component", "root")
-    return of.join(second, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
+        return first
+    second_round = connected_components(spark, bridges, scratch).toDF("component", "root")
+    lone = bridges.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(first, "node", "left_anti").select("node", F.col("node").alias("component"))
+    return first.unionByName(lone).join(second_round, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
 def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
@@ -193,7 +196,7 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -
     if bits > 4:
         raise ValueError("the keys find pairs of at most 4 differing bits")
     keys = fps.select("fp").mapInArrow(_keyed, "key long, fp long")
-    roots = candidate_links(keys, ["fp"], f"bit_count({{x}} ^ {{y}}) <= {bits}", scratch)
+    roots = candidate_links(keys, ["fp"], f"bit_count(fp ^ fp_2) <= {bits}", scratch)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
@@ -281,12 +284,8 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     named = nodes.where("node is not null")
     keys = named.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, w0 long")
 
-    def verify(pairs: DataFrame) -> DataFrame:
-        a, b = (named.select(F.col("node").alias(x), *(F.col(c).alias(c + x) for c in w)) for x in "ab")
-        apart = sum((F.bit_count(F.col(c + "a").bitwiseXOR(F.col(c + "b"))) for c in w), F.lit(0))
-        return scratch.keep(pairs.join(a, "a").join(b, "b").where(apart <= most).select("a", "b"), "links")
-
-    roots = candidate_links(keys, ["node", "w0"], f"bit_count({{x}} ^ {{y}}) <= {sieve}", scratch, verify)
+    decides = " + ".join(f"bit_count({c} ^ {c}_2)" for c in w) + f" <= {most}"
+    roots = candidate_links(keys, ["node", "w0"], f"bit_count(w0 ^ w0_2) <= {sieve}", scratch, (named, w[1:], decides), CROWD // 4)
     named = scratch.keep(nodes.join(roots, "node", "left").select(*w, F.coalesce("component", "node").alias("component_id")), "components")
     return prints.join(named, w).select(F.col("id").alias(id_col), "component_id")
 

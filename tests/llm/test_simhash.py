@@ -94,3 +94,23 @@ def test_similar_copies(docs, empty):
     assert {(34, 33), (35, 33), (36, 33), (33, 33)} <= found
     assert (1, 1) in found and (38, 38) in found
     assert S.similar_copies(empty).count() == 0 and S.near_copies(empty).count() == 0
+
+
+def test_similar_copies_in_crowds(spark, monkeypatch):
+    """A dense group of near copies of different nearness: crowded keys or not, the groups are the same."""
+    import random
+
+    rng = random.Random(8)
+    base = [f"w{rng.randint(0, 5000)}" for _ in range(150)]
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rng.randint(0, 12)):
+            words[rng.randint(0, 149)] = f"x{rng.randint(0, 5000)}"
+        rows.append((i, " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    found = []
+    for crowd in (2, 10_000):
+        monkeypatch.setattr(S, "CROWD", crowd)
+        found.append(sorted((r["doc_id"], r["component_id"]) for r in S.similar_copies(frame).collect()))
+    assert found[0] == found[1] and 1 < len({c for _, c in found[0]}) < 120
