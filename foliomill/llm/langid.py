@@ -17,9 +17,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_sample, fold, in_small_batches, load
 
-#: Labelled rows of each language that the model is fitted on; words and n-grams that it holds, the most
-#: frequent ones, of those that occur twice.
-SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 4_000, 40_000, 60_000
+#: Labelled rows of each language that the model is fitted on; words and n-grams of each order that it
+#: holds, the most frequent ones, of those that occur twice.
+SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 4_000, 80_000, 25_000
 ORDER, ADDED = 5, 0.5
 #: Chunks of text that a worker remembers.
 REMEMBERED = 300_000
@@ -83,14 +83,14 @@ class Model:
             share = F.when((F.col("lang") == lang) & (F.col("kind") == kind), F.col("n") / F.lit(float(n))).otherwise(share)
         per_language = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
         keys, logs = [], []
-        for kinds, most in ((F.col("kind") == 0, MAX_WORDS), (F.col("kind") > 0, MAX_GRAMS)):
-            found = counts.where(kinds).withColumn("share", share).groupBy("kind", "item").agg(F.max("share").alias("top"), F.sum("n").alias("n"), *per_language)
-            rows = found.where("n > 1").orderBy(F.desc("top"), "kind", "item").limit(most).drop("top", "n").toArrow()
-            kind = rows["kind"].to_pylist()
-            keys += [f"{k}{item}" for k, item in zip(kind, rows["item"].to_pylist())]
-            size = np.array([[totals.get((lang, k), 0) + ADDED * most for lang in languages] for k in range(ORDER + 1)])
+        for kind in range(ORDER + 1):
+            most = MAX_GRAMS if kind else MAX_WORDS
+            found = counts.where(F.col("kind") == kind).withColumn("share", share).groupBy("item").agg(F.max("share").alias("top"), F.sum("n").alias("n"), *per_language)
+            rows = found.where("n > 1").orderBy(F.desc("top"), "item").limit(most).drop("top", "n").toArrow()
+            keys += [f"{kind}{item}" for item in rows["item"].to_pylist()]
+            size = np.array([totals.get((lang, kind), 0) + ADDED * most for lang in languages])
             n = np.array([rows[f"n{k}"].to_numpy() for k in range(len(languages))], float).T
-            logs.append(np.log((n + ADDED) / size[kind]) if len(kind) else np.empty((0, len(languages))))
+            logs.append(np.log((n + ADDED) / size))
         counts.unpersist()
         n_docs = np.array([rates[lang][1] for lang in languages], float)
         prior = np.log(n_docs / n_docs.sum())
