@@ -285,7 +285,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     keys = named.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, w0 long")
 
     decides = " + ".join(f"bit_count({c} ^ {c}_2)" for c in w) + f" <= {most}"
-    roots = candidate_links(keys, ["node", "w0"], f"bit_count(w0 ^ w0_2) <= {sieve}", scratch, (named, w[1:], decides), CROWD // 4)
+    roots = candidate_links(keys, ["node", "w0"], f"bit_count(w0 ^ w0_2) <= {sieve}", scratch, (named, w[1:], decides), CROWD // 6)
     named = scratch.keep(nodes.join(roots, "node", "left").select(*w, F.coalesce("component", "node").alias("component_id")), "components")
     return prints.join(named, w).select(F.col("id").alias(id_col), "component_id")
 
