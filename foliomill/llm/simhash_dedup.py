@@ -20,6 +20,7 @@ groups; then members of the largest component there are compared with those of t
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from functools import lru_cache
 from itertools import combinations
 
@@ -29,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, in_small_batches, load
+from .common import Scratch, connected_components, in_small_batches, load, text_or_empty
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -147,31 +148,25 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(b.num_columns))], names=["key", *b.schema.names])
 
 
-def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratch, full: tuple[DataFrame, list[str], str] | None = None, crowd: int | None = None) -> DataFrame:
+def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratch, verify: Callable[[DataFrame], DataFrame] | None = None, crowd: int | None = None) -> DataFrame:
     """(node, component) of nodes that links join.
 
     keys: (key, *cols), the first of cols the node; `near` is SQL over the columns and those of the other side, which
-    end in _2.  Where `near` only sieves, `full` has the nodes' further columns, their names and the SQL that decides;
-    pairs from crowded keys are decided in the join itself, others once they are distinct, for which fewer to a key are
-    a crowd.
+    end in _2.  Where `near` only proposes pairs, `verify` keeps those rows (a, b, ...) that are links.
     """
     node, spark = cols[0], keys.sparkSession
-    more, decides = (full[1], full[2]) if full else ([], near)
     second = lambda names: [F.col(c).alias(c + "_2") for c in names]
     ends = [F.least(node, node + "_2").alias("a"), F.greatest(node, node + "_2").alias("b")]
     crowds = scratch.keep(keys.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (CROWD if crowd is None else crowd)).select("key"), "crowds")
     few = keys.join(crowds, "key", "left_anti")
     pairs = few.join(few.select("key", *second(cols)), "key").where(F.col(node) < F.col(node + "_2")).where(near).select(*ends).distinct()
-    if full:
-        sides = [full[0].select(F.col(node).alias(x), *(F.col(c).alias(c + suffix) for c in [*cols[1:], *more])) for x, suffix in (("a", ""), ("b", "_2"))]
-        pairs = scratch.keep(pairs, "pairs").join(sides[0], "a").join(sides[1], "b").where(decides).select("a", "b")
-    crowded = keys.join(crowds, "key")
-    if full:
-        crowded = crowded.join(full[0].select(node, *more), node)
-    crowded = scratch.keep(crowded.select("key", *cols, *more), "crowded")
-    pivots = crowded.groupBy("key").agg(F.min(F.struct(*cols, *more)).alias("p")).select("key", *(F.col("p." + c).alias(c + "_2") for c in [*cols, *more]))
-    stars = crowded.join(pivots, "key").where(F.col(node) != F.col(node + "_2")).where(decides).select(*ends)
-    first = scratch.keep(connected_components(spark, pairs.unionByName(stars).distinct(), scratch), "first")
+    crowded = scratch.keep(keys.join(crowds, "key").select("key", *cols), "crowded")
+    pivots = crowded.groupBy("key").agg(F.min(F.struct(*cols)).alias("p")).select("key", *(F.col("p." + c).alias(c + "_2") for c in cols))
+    stars = crowded.join(pivots, "key").where(F.col(node) != F.col(node + "_2")).where(near).select(*ends)
+    links = pairs.unionByName(stars).distinct()
+    if verify:
+        links = linking(spark, scratch.keep(links, "pairs"), verify, scratch)
+    first = scratch.keep(connected_components(spark, links, scratch), "first")
     sizes = first.groupBy("component").agg(F.count("*").alias("size"))
     labels = first.join(sizes, "component").select(F.col("node").alias(node), "component", "size")
     wide = scratch.keep(crowded.join(labels, node, "left").withColumns({"component": F.coalesce("component", node), "size": F.coalesce("size", F.lit(1))}), "wide")
@@ -181,8 +176,10 @@ def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratc
         .where("lo <> hi")
         .select("key", F.col("most.component").alias("main"))
     )
-    others = wide.join(mixed, "key").where("component <> main").select("key", *second([*cols, *more, "component"]))
-    between = wide.join(others, "key").where("component <> component_2").where(decides)
+    others = wide.join(mixed, "key").where("component <> main").select("key", *second([*cols, "component"]))
+    between = wide.join(others, "key").where("component <> component_2").where(near)
+    if verify:
+        between = verify(scratch.keep(between.select(*ends, "component", "component_2").distinct(), "between"))
     bridges = scratch.keep(between.select(F.greatest("component", "component_2").alias("a"), F.least("component", "component_2").alias("b")).distinct(), "bridges")
     if bridges.isEmpty():
         return first
@@ -191,6 +188,17 @@ def candidate_links(keys: DataFrame, cols: list[str], near: str, scratch: Scratc
     return first.unionByName(lone).join(second_round, "component", "left").select("node", F.coalesce("root", "component").alias("component"))
 
 
+def linking(spark: SparkSession, pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
+    """Verified links (a, b) that join the same nodes as all verified pairs do: each node is verified against the least
+    of its candidates first, and then only pairs whose ends these links leave apart."""
+    least = scratch.keep(verify(pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")), "least")
+    of = scratch.keep(connected_components(spark, least, scratch), "joined")
+    apart = pairs.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
+    tried = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    rest = scratch.keep(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "apart")
+    return scratch.keep(least.unionByName(verify(rest)), "verified")
+
+
 def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
     """(fp, root) for distinct fingerprints: root is the least fingerprint reachable by steps of at most `bits` <= 4 bits."""
     if bits > 4:
@@ -220,7 +228,7 @@ def near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def wide_fingerprint(hashes: np.ndarray) -> np.ndarray:
-    """Four 64-bit fingerprints of the same shingles, under four mixings of their hashes."""
+    """Four 64-bit fingerprints of a set of shingles, under four mixings of their hashes."""
     mixed = []
     for k in range(4):
         h = hashes + np.uint64((0x9E3779B97F4A7C15 * k) & (1 << 64) - 1)
@@ -246,11 +254,29 @@ def wide_keys(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(rows), np.concatenate(keys)
 
 
+def shingle_set(text: str | None, words: int, seed: int) -> tuple[np.ndarray, int]:
+    """The distinct shingle hashes of a text in order, and a digest of them that stands for the set."""
+    found = np.unique(shingle_hashes(text, words, seed))
+    return found, xxhash.xxh3_64_intdigest(found.tobytes())
+
+
 def _wide(words: int, seed: int):
     def run(batches):
         for b in batches:
-            found = np.array([wide_fingerprint(shingle_hashes(t, words, seed)) for t in b.column(1).to_pylist()], np.uint64).reshape(-1, 4).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(found[:, k]) for k in range(4))], names=["id", "w0", "w1", "w2", "w3"])
+            sets = [shingle_set(t, words, seed) for t in b.column(1).to_pylist()]
+            found = np.array([wide_fingerprint(s) for s, _ in sets], np.uint64).reshape(-1, 4).view(np.int64)
+            nodes = pa.array(np.array([d for _, d in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), nodes, *(pa.array(found[:, k]) for k in range(4))], names=["id", "digest", "node", "w0", "w1", "w2", "w3"])
+
+    return run
+
+
+def _sets(words: int, seed: int):
+    def run(batches):
+        for b in batches:
+            sets = [shingle_set(t, words, seed) for t in b.column(0).to_pylist()]
+            nodes = pa.array(np.array([d for _, d in sets], np.uint64).view(np.int64))
+            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
 
     return run
 
@@ -261,33 +287,51 @@ def _wide_keyed(batches):
         for at in range(0, len(words), 4096):
             rows, keys = wide_keys(words[at : at + 4096])
             take = pa.array(rows + at)
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(take), b.column(1).take(take)], names=["key", "node", "w0"])
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(i).take(take) for i in range(5))], names=["key", "node", "w0", "w1", "w2", "w3"])
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
-    """One row per input row: id, component_id, for near copies whose shingle sets have about this Jaccard similarity.
-
-    At 0.8 two 64-bit fingerprints differ in some 10 bits, beyond what the exact keys can find.  So texts have four
-    fingerprints of other mixings, 256 bits; Golay keys of their segments find pairs (of similarity 0.8: 99 in 100,
-    of 0.9: nearly all), the first 64 bits sieve them and all 256 decide, to within about 0.03 of the similarity.
-    Equal fingerprints are linked first.  Null and empty texts are alike; other cases are as in near_copies.
+    """One row per input row: id, component_id, for near copies whose sets of distinct shingles have this Jaccard
+    similarity or more.
+
+    At 0.8 two 64-bit fingerprints differ in some 10 bits, beyond what the exact keys can find.  So sets have four
+    fingerprints of other mixings, 256 bits; Golay keys of their segments propose pairs (of similarity 0.8: 99 in 100,
+    of 0.9: nearly all), those that differ in more bits than such pairs ever do are left out, and the rest is decided
+    by the sets themselves.  Equal sets are linked first.  Null and empty texts are alike; other cases are as in
+    near_copies.
     """
+    return similar_rows(docs, id_col, text_col, words, similarity, seed).select(F.col("id").alias(id_col), "component_id")
+
+
+def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
+    """similar_copies as (id, digest of the text, root of the group, component_id)."""
     spark = docs.sparkSession
     in_small_batches(spark)
     scratch = Scratch(spark, "similar")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of bits, from the cosine of equal-sized sets
-    most, sieve = round(256 * differ) + 2, round(64 * differ + 3 * (64 * differ * (1 - differ)) ** 0.5)
+    most = round(256 * differ + 6 * (256 * differ * (1 - differ)) ** 0.5)
     w = ["w0", "w1", "w2", "w3"]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, " + ", ".join(c + " long" for c in w)), "prints")
-    nodes = scratch.keep(prints.groupBy(*w).agg(F.min("id").alias("node")), "nodes")
-    named = nodes.where("node is not null")
-    keys = named.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, w0 long")
-
-    decides = " + ".join(f"bit_count({c} ^ {c}_2)" for c in w) + f" <= {most}"
-    roots = candidate_links(keys, ["node", "w0"], f"bit_count(w0 ^ w0_2) <= {sieve}", scratch, (named, w[1:], decides), CROWD // 6)
-    named = scratch.keep(nodes.join(roots, "node", "left").select(*w, F.coalesce("component", "node").alias("component_id")), "components")
-    return prints.join(named, w).select(F.col("id").alias(id_col), "component_id")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("digest"))
+    prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, digest long, node long, " + ", ".join(c + " long" for c in w)), "prints")
+    nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("digest").alias("digest"), *(F.min(c).alias(c) for c in w)), "nodes")
+    keys = nodes.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, " + ", ".join(c + " long" for c in w))
+
+    def verify(pairs: DataFrame) -> DataFrame:
+        """Pairs by the Jaccard similarity of their sets, which are made again, once for each node of a pair."""
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        texts = scratch.keep(nodes.join(ends, "node", "left_semi").select("digest"), "ends")
+        found = rows.join(F.broadcast(texts), "digest", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, shingles array<long>")
+        sets = scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets")
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
+        shared = F.size(F.array_intersect("set_a", "set_b"))
+        return both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select(*pairs.columns)
+
+    near = " + ".join(f"bit_count({c} ^ {c}_2)" for c in w) + f" <= {most}"
+    roots = candidate_links(keys, ["node", *w], near, scratch, verify, CROWD // 6)
+    rooted = scratch.keep(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "roots")
+    ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    named = scratch.keep(rooted.join(ids, "root").select("node", "root", "component_id"), "components")
+    return prints.join(named, "node").select("id", "digest", "root", "component_id")
 
 
 def op9_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

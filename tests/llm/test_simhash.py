@@ -114,3 +114,35 @@ def test_similar_copies_in_crowds(spark, monkeypatch):
         monkeypatch.setattr(S, "CROWD", crowd)
         found.append(sorted((r["doc_id"], r["component_id"]) for r in S.similar_copies(frame).collect()))
     assert found[0] == found[1] and 1 < len({c for _, c in found[0]}) < 120
+
+
+def test_similar_copies_are_those_by_brute_force(spark):
+    """Groups by the Jaccard similarity of distinct shingles: different texts with one line twenty times, and pairs on
+    both sides of 0.8."""
+    import random
+
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randint(0, 10**6)}"
+    line = " ".join(word() for _ in range(10))
+    texts = [" ".join([*[line] * 20, *(word() for _ in range(100))]) for _ in range(12)]
+    for changed in (1, 2, 3, 4, 5, 6, 7, 8, 9, 10):
+        for _ in range(3):
+            words = [word() for _ in range(200)]
+            other = list(words)
+            for k in range(changed):
+                other[10 + 18 * k] = word()
+            texts += [" ".join(words), " ".join(other)]
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    root = list(range(len(texts)))
+    near = 0
+    for i in range(len(texts)):
+        for j in range(i):
+            similarity = len(sets[i] & sets[j]) / len(sets[i] | sets[j])
+            near += 0.7 <= similarity < 0.8
+            if similarity >= 0.8:
+                root = [root[j] if r == root[i] else r for r in root]
+    assert near >= 6 and len(set(root)) < len(texts)
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in S.similar_copies(frame).collect()}
+    assert found == {k: least[r] for k, r in enumerate(root)}
