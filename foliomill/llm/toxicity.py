@@ -1,8 +1,9 @@
 """Toxicity by noisy-channel deobfuscation.
 
-Texts are restored first: letters spaced out one by one are drawn together, and a chunk with digits or symbols among
-its letters, or a letter three times over, becomes a lattice of what each character may stand for.  Viterbi finds the
-likeliest reading under a character trigram model counted over the whole corpus.  The restored words are then scored:
+Texts are restored first: a run of single characters is one chunk with optional word breaks, and a chunk with such
+breaks, digits or symbols among its letters, or a letter repeated, becomes a lattice of what each character may stand
+for.  Viterbi finds the likeliest reading under a character trigram model counted over the whole corpus; a chunk with
+one reading only is that.  The restored words are then scored:
 words and word beginnings whose share of toxic documents is high in a bounded sample of labelled rows, by more than
 chance among so many candidates and in documents that aren't each other's copies, form the lexicon; a text's score
 combines the distinct entries that it holds.
@@ -37,13 +38,17 @@ LEET = {
     "0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "gb", "7": "t", "8": "b", "9": "g",
     "@": "a", "$": "s", "!": "i", "|": "il", "+": "t", "(": "c", "<": "c", "€": "e", "£": "l", "¡": "i",
 }
-#: Costs, in nats, of reading a symbol as a letter, as a break between words, as nothing, and of dropping a repeat.
-AS_LETTER, AS_BREAK, AS_NOTHING, DROP_REPEAT = 1.0, 4.0, 2.5, 1.0
+#: Costs, in nats, of reading a symbol as a letter, as a break between words, as nothing, and of dropping a repeat where
+#: a letter stands three times or more, or twice, as it does in many words.
+AS_LETTER, AS_BREAK, AS_NOTHING, DROP_REPEAT, DROP_DOUBLE = 1.0, 4.0, 2.5, 1.0, 5.0
 #: Letters of the model: 0 is a word's edge, a to z, U+00DF to U+00FF, and one for all others.
 LETTERS = 61
-SPACED = re.compile(r"(?<!\S)\S(?: \S){3,}(?!\S)")
+#: What stands for white space between single characters within a chunk: a break or nothing.
+GAP = "\ue000"
+SPACED = re.compile(r"(?<!\S)[\"'(«“„¿¡]?\S(?:\s+\S)+[.,;:?!)\"'»”…]*(?!\S)")
 PLAIN = re.compile(r"[^\W\d_]+")
-TRIPLE = re.compile(r"([^\W\d_])\1\1")
+DOUBLE = re.compile(r"([^\W\d_])\1")
+LONG_RUN = re.compile(rf"([^{GAP}])(?:{GAP}?\1){{3,}}")
 WORD_ENDS = ".,;:?\"'()[]{}<>«»“”„…–—-_*#%&/\\~^=`"
 
 
@@ -104,14 +109,12 @@ class Restorer:
     def chunk(self, chunk: str) -> str:
         """The words of a chunk between white space, in lower case and restored."""
         core = self._undecorated(chunk.lower().strip(WORD_ENDS))
-        if core.isalpha() and not TRIPLE.search(core):
-            return core
         if not PLAIN.search(core) and not any(c in LEET for c in core):
             return ""
-        if core.strip("!").isalpha() and not TRIPLE.search(core):
-            return core.strip("!")
-        if len(core) > 64:  # longer ones hide no word
-            return " ".join(PLAIN.findall(core))
+        if core.rstrip("!").isalpha():
+            core = core.rstrip("!")
+            if not DOUBLE.search(core):  # its only reading
+                return core
         return self.viterbi(core)
 
     @staticmethod
@@ -124,39 +127,66 @@ class Restorer:
         return core
 
     def viterbi(self, chunk: str) -> str:
-        logs, states = self.logs, {(0, 0): (0.0, "")}
-        for c in chunk:
-            step: dict[tuple[int, int], tuple[float, str]] = {}
-
-            def reach(state: tuple[int, int], score: float, text: str) -> None:
+        """The likeliest reading.  Texts are chains (rest, last character), so that time is linear in the chunk; of a
+        character over three times in a row three are read."""
+        chunk = LONG_RUN.sub(r"\1\1\1", chunk)
+        logs, states = self.logs, {(0, 0): (0.0, (None, ""))}
+        for c, drop in zip(chunk, drop_costs(chunk)):
+            step: dict[tuple[int, int], tuple[float, tuple]] = {}
+
+            def reach(state: tuple[int, int], score: float, text: tuple) -> None:
                 if state not in step or score > step[state][0]:
                     step[state] = (score, text)
 
             k = code(c)
             for (a, b), (score, text) in states.items():
                 if k:
-                    reach((b, k), score + logs[a][b][k], text + c)
-                    if text[-1:] == c:
-                        reach((a, b), score - DROP_REPEAT, text)
+                    reach((b, k), score + logs[a][b][k], (text, c))
+                    if text[1] == c:
+                        reach((a, b), score - drop, text)
+                    continue
+                if c == GAP:
+                    reach((a, b), score, text)
+                    if b:
+                        reach((b, 0), score + logs[a][b][0], (text, " "))
                     continue
                 for x in LEET.get(c, ""):
-                    reach((b, code(x)), score + logs[a][b][code(x)] - AS_LETTER, text + x)
-                    if text[-1:] == x:
+                    reach((b, code(x)), score + logs[a][b][code(x)] - AS_LETTER, (text, x))
+                    if text[1] == x:
                         reach((a, b), score - DROP_REPEAT - AS_LETTER, text)
                 reach((a, b), score - AS_NOTHING, text)
                 if b:
-                    reach((b, 0), score + logs[a][b][0] - AS_BREAK, text + " ")
+                    reach((b, 0), score + logs[a][b][0] - AS_BREAK, (text, " "))
             states = step
-        return max((score + (logs[a][b][0] if b else 0.0), text) for (a, b), (score, text) in states.items())[1].strip()
+        text = max(((score + (logs[a][b][0] if b else 0.0), text) for (a, b), (score, text) in states.items()), key=lambda x: x[0])[1]
+        out = []
+        while text[0] is not None:
+            out.append(text[1])
+            text = text[0]
+        return "".join(reversed(out)).strip()
 
     def text(self, text: str) -> str:
         """A whole text restored, words separated by single spaces."""
         return " ".join(filter(None, map(self.chunk, draw_together(text).split())))
 
 
+def drop_costs(chunk: str) -> list[float]:
+    """Of each character the cost of dropping it as a repeat, by how often it stands in a row, gaps aside."""
+    out, at = [DROP_DOUBLE] * len(chunk), 0
+    while at < len(chunk):
+        end, same = at + 1, 1
+        while end < len(chunk) and chunk[end] in (chunk[at], GAP):
+            same += chunk[end] == chunk[at]
+            end += 1
+        if same > 2:
+            out[at:end] = [DROP_REPEAT] * (end - at)
+        at = end
+    return out
+
+
 def draw_together(text: str) -> str:
-    """Runs of four or more single characters between single spaces become one chunk each."""
-    return SPACED.sub(lambda m: m[0].replace(" ", ""), text)
+    """Runs of single characters between any white space become one chunk each, with gaps between them."""
+    return SPACED.sub(lambda m: GAP.join(m[0].split()), text)
 
 
 def entries(word: str) -> list[str]:

@@ -2,6 +2,9 @@
 
 import random
 
+import numpy as np
+import pyarrow as pa
+
 from foliomill.llm import langid, toxicity
 
 TOXIC = ("idiot", "moron", "scum")
@@ -86,3 +89,29 @@ def test_copies_of_one_document_are_not_evidence():
     same = [[1, 2, 3, 4, 5, 6, 7, 8]] * 30
     apart = [[k * 8 + j for j in range(8)] for k in range(5)]
     assert toxicity.independent(same) < 1.1 and toxicity.independent(apart) == 5 and toxicity.independent([]) == 0
+
+
+def test_spacing_and_repeats_are_read_in_the_lattice():
+    rng = random.Random(4)
+    words = "the of and with they was for were this that from have not are but you all any can her one our out day a is he i see good letter off".split()
+    texts = [" ".join(rng.choice([*words, *TOXIC]) for _ in range(40)) for _ in range(300)]
+    counts = next(toxicity._trigrams([pa.RecordBatch.from_pydict({"text": texts})])).to_pydict()
+    n = np.zeros(toxicity.LETTERS**3)
+    n[counts["gram"]] = counts["n"]
+    n = n.reshape((toxicity.LETTERS,) * 3) + 0.01
+    r = toxicity.Restorer(np.log(n / n.sum(axis=2, keepdims=True)))
+    for text, found in {
+        "he is a m o r o n": "he is a moron",
+        "y o u i d i o t": "you idiot",
+        "i  d  i  o  t": "idiot",
+        "m\to\nr o n.": "moron",
+        "s c u m": "scum",
+        "i d 1 o t": "idiot",
+        "m" + "o" * 100 + "ron": "moron",
+        "idiiot": "idiot",
+        "!diot": "idiot",
+        "off! a letter, good": "off a letter good",
+    }.items():
+        assert r.text(text) == found, text
+    assert "idiot" in r.text("the-good-" * 12 + "1d10t")
+    assert len(r.text("a b " * 3000)) >= 6000
