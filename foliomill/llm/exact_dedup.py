@@ -11,7 +11,7 @@ from __future__ import annotations
 from collections import Counter
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, load, text_or_empty
@@ -90,6 +90,17 @@ def keep_by_id(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> Data
     return once.unionByName(found.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates())
 
 
+def keep_rows(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
+    """Rows of docs whose id and text digest are together in `kept` (id, digest), in docs' own columns.  `digest` makes
+    it of docs.  Of rows that repeat both, one is returned."""
+    rows = docs.withColumn("__digest", digest)
+    same = lambda other: F.col(id_col).eqNullSafe(F.col("__id")) & (F.col("__digest") == F.col(other))
+    found = rows.join(kept.toDF("__id", "__kept").distinct(), same("__kept"), "left_semi")
+    repeated = rows.groupBy(F.col(id_col).alias("__id"), F.col("__digest").alias("__twice")).count().where("count > 1").select("__id", "__twice")
+    once = found.join(repeated, same("__twice"), "left_anti")
+    return once.unionByName(found.join(repeated, same("__twice"), "left_semi").dropDuplicates([id_col, "__digest"])).drop("__digest")
+
+
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_copies(load(spark, sf_dir, "documents"))
 

@@ -27,7 +27,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, in_small_batches, load, text_or_empty
@@ -303,6 +303,11 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return similar_rows(docs, id_col, text_col, words, similarity, seed).select(F.col("id").alias(id_col), "component_id")
 
 
+def digest(text_col: str = "text") -> Column:
+    """What similar_rows tells the texts of one id apart by."""
+    return F.xxhash64(text_or_empty(text_col))
+
+
 def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
     """similar_copies as (id, digest of the text, root of the group, component_id)."""
     spark = docs.sparkSession
@@ -311,7 +316,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of bits, from the cosine of equal-sized sets
     most = round(256 * differ + 6 * (256 * differ * (1 - differ)) ** 0.5)
     w = ["w0", "w1", "w2", "w3"]
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_or_empty(text_col)).alias("digest"))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest(text_col).alias("digest"))
     prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, digest long, node long, " + ", ".join(c + " long" for c in w)), "prints")
     nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("least"), F.min("digest").alias("digest"), *(F.min(c).alias(c) for c in w)), "nodes")
     keys = nodes.select("node", *w).mapInArrow(_wide_keyed, "key long, node long, " + ", ".join(c + " long" for c in w))

@@ -51,3 +51,14 @@ def test_odd_rows(spark, docs, empty, tmp_path):
         for _, stage in C.STAGES:
             at = stage(spark, at, folder)
         at.count()
+
+
+def test_rows_that_share_an_id_are_kept_each_by_its_own_verdict(spark):
+    words = [f"w{k}" for k in range(120)]
+    text, near = " ".join(words), " ".join([*words[:60], "x", *words[61:]])
+    rows = [(1, "one text"), (1, "another text"), (2, "one text"), (None, "another text"), (None, "a third"), (3, text), (None, near), (None, "a third")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = C.exact(spark, frame, "")
+    pairs = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert pairs(got) == sorted([(2, "one text"), (1, "another text"), (None, "a third"), (3, text), (None, near)], key=str)
+    assert pairs(C.near(spark, got, "")) == sorted([(2, "one text"), (1, "another text"), (None, "a third"), (3, text)], key=str)
