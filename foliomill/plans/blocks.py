@@ -9,39 +9,26 @@ from ..functions import predicates as P
 from ..functions import text as T
 from ..sources.tables import load
 
-#: Frames that a document's first words are put into, so that every predicate meets its cases.
-FRAMES = (
-    "{} {} {}", "{}.", "Figure 3. {} {}", "• {} {} {}", "12) {} {} {} {}", "chapter 7", "{} {} of the", "Name / Value / {} / Long Header / {} Total", "Subscribe {} {}", "Anna Maria Nowak",
-    "Kraków, 12.03.2021 {}", "Bibliography", "{} – {}; {} – {}; it means {}", "{}, 12; {} 14-16, {} 200", "Untitled", "{} {} {} {} {} {} {} {} {} {} {} {} {} {} end.", "https://www/{}", "http://{}.example.com/x",
-    "page 12", "{} 3. {} 4. {}", "export_{}.pdf", "doi:{}", "References and {}", "Index", "Copyright {}", "2021-03-12 {}", "{} | {} | {}", "a{}###$$$", "Editor {}", "title",
-)
-WORDS = 16
-
-
-def framed(docs: DataFrame) -> DataFrame:
-    """(doc_id, x): the first words of each document in one of the frames."""
-    first = F.slice(T.letters_only(F.coalesce("text", F.lit(""))), 1, WORDS)
-    rows = docs.select("doc_id", first.alias("w"))
-    out = F.lit(None).cast("string")
-    for k, frame in enumerate(FRAMES):
-        parts = frame.split("{}")
-        pieces = [F.lit(parts[0])]
-        for n, part in enumerate(parts[1:]):
-            pieces += [F.coalesce(F.try_element_at("w", F.lit(n + 1)), F.lit("none")), F.lit(part)]
-        out = F.when(F.col("doc_id") % len(FRAMES) == k, F.concat(*pieces)).otherwise(out)
-    return rows.select("doc_id", out.alias("x"))
+#: A slug that ends in a number as repeats do.
+NUMBERED = "^(.+)-([1-9][0-9]{0,7})$"
+
+
+def lines_of(docs: DataFrame) -> DataFrame:
+    """(doc_id, pos, x): every line of every text, white space single; empty lines are left out."""
+    lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\n")).alias("pos", "line"))
+    return lines.select("doc_id", "pos", T.squeeze(F.col("line")).alias("x")).where("x <> ''")
 
 
 def q51_line_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All predicates of every line."""
     x = F.col("x")
-    return framed(load(spark, sf_dir, "documents")).select("doc_id", *(f(x).alias(name) for name, f in P.BOOLEAN.items()))
+    return lines_of(load(spark, sf_dir, "documents")).select("doc_id", "pos", *(f(x).alias(name) for name, f in P.BOOLEAN.items()))
 
 
 def q52_line_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title quality, context, bucket and source type of every line."""
     x = F.col("x")
-    return framed(load(spark, sf_dir, "documents")).select("doc_id", *(f(x).alias(name) for name, f in P.LABELS.items()))
+    return lines_of(load(spark, sf_dir, "documents")).select("doc_id", "pos", *(f(x).alias(name) for name, f in P.LABELS.items()))
 
 
 def block_kind(x):
@@ -54,7 +41,7 @@ def block_kind(x):
 
 
 def q53_block_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = framed(load(spark, sf_dir, "documents")).withColumn("kind", block_kind(F.col("x")))
+    rows = lines_of(load(spark, sf_dir, "documents")).withColumn("kind", block_kind(F.col("x")))
     return rows.groupBy("kind").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc"), F.sum(F.length("x")).alias("n_chars"))
 
 
@@ -79,19 +66,27 @@ def q54_inline_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q55_unique_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Slugs of lines as ids, unique within a source: repeats are numbered -2, -3 in order."""
-    rows = framed(load(spark, sf_dir, "documents")).join(load(spark, sf_dir, "documents").select("doc_id", "source"), "doc_id")
-    w = Window.partitionBy("source", "slug").orderBy("doc_id")
-    rows = rows.select("doc_id", "source", F.left(T.slug("x"), F.lit(12)).alias("slug")).withColumn("k", F.row_number().over(w))
-    return rows.select("doc_id", "source", F.when(F.col("k") > 1, F.concat("slug", F.lit("-"), F.col("k").cast("string"))).otherwise(F.col("slug")).alias("id"))
+    """Slugs of a document's lines as ids, unique within it: a repeat gets the least number from 2 on that neither an
+    earlier repeat nor a line's own slug has."""
+    w = Window.partitionBy("doc_id", "slug").orderBy("pos")
+    slug = T.slug("x")
+    rows = lines_of(load(spark, sf_dir, "documents")).select("doc_id", "pos", F.when(slug == "", "section").otherwise(slug).alias("slug")).withColumn("k", F.row_number().over(w))
+    own = rows.where("k = 1").select("doc_id", F.regexp_extract("slug", NUMBERED, 1).alias("slug"), F.regexp_extract("slug", NUMBERED, 2).cast("int").alias("n")).where("slug <> ''")
+    taken = own.groupBy("doc_id", "slug").agg(F.collect_list("n").alias("taken"))  # at most a document's lines
+    repeats = rows.where("k > 1").join(taken, ["doc_id", "slug"], "left").withColumn("taken", F.coalesce("taken", F.array().cast("array<int>")))
+    number = F.element_at(F.array_except(F.sequence(F.lit(2), F.col("k") + F.size("taken")), "taken"), F.col("k") - 1)
+    numbered = repeats.select("doc_id", "pos", F.concat("slug", F.lit("-"), number.cast("string")).alias("id"))
+    return rows.where("k = 1").select("doc_id", "pos", F.col("slug").alias("id")).unionByName(numbered)
 
 
 def q56_package_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Name-based UUIDs (version 5, URL namespace) of title, source and language; and digests."""
+    """Name-based UUIDs (version 5, URL namespace) of title, source and language; and digests of whole texts.  The title
+    is the first line that isn't empty."""
     space = F.unhex(F.lit("6ba7b8119dad11d180b400c04fd430c8"))
+    lines = F.filter(F.transform(F.split(F.coalesce("text", F.lit("")), "\n"), T.squeeze), lambda x: x != "")
+    rows = load(spark, sf_dir, "documents").select("doc_id", "source", "lang", "text", F.try_element_at(lines, F.lit(1)).alias("x"))
     seed = F.concat_ws("|", F.lower(F.coalesce("x", F.lit(""))), F.col("source"), F.col("lang"))
-    rows = framed(load(spark, sf_dir, "documents")).join(load(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
-    h = rows.select("doc_id", F.sha1(F.concat(space, F.encode(seed, "utf-8"))).alias("h"), F.sha1(F.encode(seed, "utf-8")).alias("digest"))
+    h = rows.select("doc_id", F.sha1(F.concat(space, F.encode(seed, "utf-8"))).alias("h"), F.sha1(F.encode(F.coalesce("text", F.lit("")), "utf-8")).alias("digest"))
     variant = F.lower(F.hex((F.conv(F.substring("h", 17, 1), 16, 10).cast("int").bitwiseAND(3)).bitwiseOR(8)))
     part = lambda a, n: F.substring("h", a, n)
     return h.select("doc_id", F.concat(F.lit("urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12)).alias("urn"), "digest")
@@ -130,34 +125,26 @@ def q59_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (q51_line_predicates, q52_line_labels, q53_block_kinds, q54_inline_lists, q55_unique_ids, q56_package_ids, q57_running_lines, q58_numbering, q59_metadata)}
 
 
-def _sql_frames() -> str:
-    cases = []
-    for k, frame in enumerate(FRAMES):
-        parts = [p.replace("'", "''") for p in frame.split("{}")]
-        text = f"'{parts[0]}'" + "".join(f" || coalesce(w[{n + 1}], 'none') || '{part}'" for n, part in enumerate(parts[1:]))
-        cases.append(f"WHEN {k} THEN {text}")
-    return rf"""WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '\p{{L}}+')[1:{WORDS}] AS w FROM documents),
-l AS (SELECT doc_id, CASE doc_id % {len(FRAMES)} {" ".join(cases)} END AS x FROM w), f AS (SELECT *, list_filter(string_split(trim(regexp_replace(x, '[ \t\r\n]+', ' ', 'g')), ' '), lambda w: w <> '') AS ws FROM l)
+_F = r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, trim(regexp_replace(unnest(p), '[ \t\r\n]+', ' ', 'g')) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+f AS (SELECT *, list_filter(string_split(x, ' '), lambda w: w <> '') AS ws FROM l WHERE x <> '')
 """
-
-
-_F = _sql_frames()
 _S = P.SQL_FORMS
 _HEADING = r"length(x) <= 90 AND len(ws) <= 12 AND NOT regexp_matches(x, '[.!?;:,]$') AND coalesce(len(list_filter(ws, lambda w: regexp_matches(w, '^\p{Lu}'))) / nullif(len(ws), 0)::double, 0) >= 0.55"
 _SLUG = f"trim(regexp_replace(translate(lower(x), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '-')"
 SQL = {
-    "q51_line_predicates": _F + "SELECT doc_id, " + ", ".join(f"({_S[n]}) AS {n}" for n in P.BOOLEAN) + " FROM f",
-    "q52_line_labels": _F + "SELECT doc_id, " + ", ".join(f"{_S[n]} AS {n}" for n in P.LABELS) + " FROM f",
+    "q51_line_predicates": _F + "SELECT doc_id, pos, " + ", ".join(f"({_S[n]}) AS {n}" for n in P.BOOLEAN) + " FROM f",
+    "q52_line_labels": _F + "SELECT doc_id, pos, " + ", ".join(f"{_S[n]} AS {n}" for n in P.LABELS) + " FROM f",
     "q53_block_kinds": _F + rf""", k AS (SELECT doc_id, x, CASE WHEN len(list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')) BETWEEN 2 AND 6 THEN 'table' WHEN {_S['definition']} THEN 'definitions' WHEN {_S['ordered_item']} THEN 'ordered' WHEN {_S['bullet_item']} THEN 'bullet'
  WHEN len(regexp_extract_all(x, ';')) >= 2 THEN 'semicolons' WHEN {_S['index_entry']} THEN 'index' WHEN {_S['figure_caption']} THEN 'caption' WHEN {_S['reference_title']} THEN 'references' WHEN {_HEADING} THEN 'heading' ELSE 'paragraph' END AS kind FROM f)
 SELECT kind, count(*) AS n, min(doc_id) AS first_doc, sum(length(x))::bigint AS n_chars FROM k GROUP BY kind""",
     "q54_inline_lists": r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
 i AS (SELECT doc_id, pos, (doc_id + pos) % 3 AS kind, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g')), '[.,;:!?()]'), lambda s: trim(s)), lambda s: s <> '') AS items FROM l)
 SELECT doc_id, pos, len(items)::int AS n_items, CASE WHEN kind = 2 THEN len(items) >= 3 AND len(list_filter(items, lambda s: length(s) > 140)) = 0 ELSE len(items) >= 2 END AS is_list, md5(coalesce(array_to_string(items, '|'), '')) AS items FROM i""",
-    "q55_unique_ids": _F + f""", s AS (SELECT doc_id, source, left({_SLUG}, 12) AS slug FROM f JOIN documents USING (doc_id)), k AS (SELECT *, row_number() OVER (PARTITION BY source, slug ORDER BY doc_id) AS k FROM s)
-SELECT doc_id, source, CASE WHEN k > 1 THEN slug || '-' || k ELSE slug END AS id FROM k""",
-    "q56_package_ids": _F + """, h AS (SELECT doc_id, concat_ws('|', lower(coalesce(x, '')), source, lang) AS seed FROM f JOIN documents USING (doc_id)),
-u AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(seed)) AS h, sha1(encode(seed)) AS digest FROM h)
+    "q55_unique_ids": _F + rf""", s AS (SELECT doc_id, pos, coalesce(nullif({_SLUG}, ''), 'section') AS slug FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS k FROM s),
+t AS (SELECT doc_id, regexp_extract(slug, '{NUMBERED}', 1) AS slug, list(regexp_extract(slug, '{NUMBERED}', 2)::int) AS taken FROM k WHERE k = 1 AND regexp_matches(slug, '{NUMBERED}') GROUP BY ALL)
+SELECT doc_id, pos, CASE WHEN k = 1 THEN slug ELSE slug || '-' || list_filter(range(2, k + coalesce(len(taken), 0) + 1), lambda n: NOT coalesce(list_contains(taken, n::int), false))[k - 1] END AS id FROM k LEFT JOIN t USING (doc_id, slug)""",
+    "q56_package_ids": r"""WITH x AS (SELECT doc_id, source, lang, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r\n]+', ' ', 'g'))), lambda l: l <> '')[1] AS x FROM documents),
+u AS (SELECT doc_id, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode(concat_ws('|', lower(coalesce(x, '')), source, lang))) AS h, sha1(encode(coalesce(text, ''))) AS digest FROM x)
 SELECT doc_id, 'urn:uuid:' || substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || CASE (strpos('0123456789abcdef', substr(h, 17, 1)) - 1) % 4 WHEN 0 THEN '8' WHEN 1 THEN '9' WHEN 2 THEN 'a' ELSE 'b' END || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS urn, digest FROM u""",
     "q57_running_lines": r"""WITH l AS (SELECT doc_id, source, generate_subscripts(p, 1) AS pos, lower(trim(unnest(p), ' ' || chr(9) || chr(13))) AS line FROM (SELECT doc_id, source, string_split(text, chr(10)) AS p FROM documents)),
 k AS (SELECT *, count(*) OVER (PARTITION BY source, line) AS n, row_number() OVER (PARTITION BY source, line ORDER BY doc_id, pos) AS rn FROM l WHERE line <> '')

@@ -65,12 +65,12 @@ def q17_heading_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q27_title_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """For each page's h1 the benchmark item whose words overlap it most, over the smaller set of words; ties: the
-    smaller id.  Candidates share a word of five letters or more; words of more than a hundred items find none."""
+    smaller id.  Candidates share a word of five letters or more; a common word costs a row for each page and item that
+    have it, and the items are a fixed list."""
     heads = html.headings(load(spark, sf_dir, "pages")).where("level = 1").select("page_id", F.array_distinct(F.filter(F.transform(T.letters_only(F.col("text")), F.lower), lambda w: F.length(w) >= 3)).alias("t"))
     items = load(spark, sf_dir, "benchmark").select("item_id", F.array_distinct(F.filter(F.transform(T.letters_only(F.coalesce("text", F.lit(""))), F.lower), lambda w: F.length(w) >= 3)).alias("u"))
     by = items.select("item_id", F.explode("u").alias("w")).where(F.length("w") >= 5)
-    rare = by.groupBy("w").agg(F.count("*").alias("n")).where("n <= 100").select("w")
-    pairs = heads.select("page_id", F.explode("t").alias("w")).join(by.join(rare, "w"), "w").select("page_id", "item_id").distinct()
+    pairs = heads.select("page_id", F.explode("t").alias("w")).join(by, "w").select("page_id", "item_id").distinct()
     scored = pairs.join(heads, "page_id").join(items, "item_id").select("page_id", "item_id", F.round(F.size(F.array_intersect("t", "u")) / F.least(F.size("t"), F.size("u")), 6).alias("similarity"))
     best = scored.groupBy("page_id").agg(F.max(F.struct("similarity", (-F.col("item_id")).alias("i"))).alias("b"))
     return best.select("page_id", (-F.col("b.i")).alias("item_id"), F.col("b.similarity").alias("similarity"))
@@ -116,8 +116,8 @@ g AS (SELECT page_id, coalesce(n_h1, 0) AS n_h1, coalesce(n_suspicious, 0) AS n_
 SELECT *, CASE WHEN n_h1 = 0 THEN 'fail' WHEN n_h1 > 1 OR n_suspicious > 0 THEN 'pass_with_review' ELSE 'pass' END AS gate FROM g""",
     "q27_title_matches": _H + r""", t AS (SELECT page_id, list_distinct(list_filter(list_transform(regexp_extract_all(text, '\p{L}+'), lambda w: lower(w)), lambda w: length(w) >= 3)) AS t FROM h WHERE level = 1),
 u AS (SELECT item_id, list_distinct(list_filter(list_transform(regexp_extract_all(coalesce(text, ''), '\p{L}+'), lambda w: lower(w)), lambda w: length(w) >= 3)) AS u FROM benchmark),
-x AS (SELECT item_id, unnest(u) AS w FROM u), r AS (SELECT w FROM x WHERE length(w) >= 5 GROUP BY w HAVING count(*) <= 100),
-p AS (SELECT DISTINCT page_id, item_id FROM (SELECT page_id, unnest(t) AS w FROM t) JOIN x USING (w) JOIN r USING (w)),
+x AS (SELECT item_id, unnest(u) AS w FROM u),
+p AS (SELECT DISTINCT page_id, item_id FROM (SELECT page_id, unnest(t) AS w FROM t) JOIN x USING (w) WHERE length(w) >= 5),
 s AS (SELECT page_id, item_id, round(len(list_intersect(t, u)) / least(len(t), len(u))::double, 6) AS similarity FROM p JOIN t USING (page_id) JOIN u USING (item_id))
 SELECT page_id, item_id, similarity FROM s QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY similarity DESC, item_id) = 1""",
     "q46_heading_hierarchy": _H + r""", k AS (SELECT *, regexp_replace(lower(text), '[^\p{L}\p{N}]+', '', 'g') AS key FROM h), l AS (SELECT *, lag(key) OVER (PARTITION BY page_id ORDER BY ord) AS last FROM k WHERE key <> ''),

@@ -87,7 +87,7 @@ def q12_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q13_glued_words(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first two long words of every line glued and split again where both halves are best known.
+    """All neighbouring long words of every line glued and split again where both halves are best known.
 
     Cut points are exploded and joined to the lexicon on either half; the best has the greatest sum of zipfs, the
     leftmost first.  The vocabulary is the words of four letters and more that a language has ten times.
@@ -96,8 +96,8 @@ def q13_glued_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     lexicon = with_zipf(frequencies(docs)).where((F.col("n") >= 10) & (F.length("token") >= 4)).select("token", "zipf")
     lexicon = lexicon.groupBy("token").agg(F.max("zipf").alias("zipf"))
     lines = docs.select(F.explode(F.split("text", "\n")).alias("line"))
-    long_ = F.slice(F.filter(F.transform(T.letters_only(F.col("line")), F.lower), lambda w: F.length(w) >= 4), 1, 2)
-    glued = lines.select(F.array_join(long_, "").alias("glued"), F.size(long_).alias("k")).where("k = 2").select("glued").distinct()
+    long_ = lines.select(F.filter(F.transform(T.letters_only(F.col("line")), F.lower), lambda w: F.length(w) >= 4).alias("w")).where(F.size("w") >= 2)
+    glued = long_.select(F.explode(F.zip_with("w", F.slice("w", F.lit(2), F.size("w")), lambda a, b: F.concat(a, b))).alias("glued")).where("glued IS NOT NULL").distinct()
     cuts = glued.select("glued", F.explode(F.sequence(F.lit(4), F.greatest(F.length("glued") - 4, F.lit(4)))).alias("cut"))
     halves = cuts.select("glued", "cut", F.left("glued", F.col("cut")).alias("l"), F.expr("substr(glued, cut + 1)").alias("r"))
     left, right = lexicon.toDF("l", "zl"), lexicon.toDF("r", "zr")
@@ -126,7 +126,7 @@ SELECT lang, CASE WHEN r[1].n >= r[2].n + 2 THEN r[1].l ELSE 'mixed' END AS vote
 f AS (SELECT lang, token, count(*) AS n FROM tok GROUP BY ALL), t AS (SELECT lang, sum(n) AS total FROM f GROUP BY lang),
 lex AS (SELECT token, max(round(log10(n / total::double * 1e9), 6)) AS zipf FROM f JOIN t USING (lang) WHERE n >= 10 AND length(token) >= 4 GROUP BY token),
 i AS (SELECT unnest(string_split(text, chr(10))) AS line FROM d),
-g AS (SELECT DISTINCT array_to_string(l, '') AS glued FROM (SELECT list_filter(list_transform(regexp_extract_all(line, '\p{L}+'), lambda x: lower(x)), lambda x: length(x) >= 4)[1:2] AS l FROM i) WHERE len(l) = 2),
+g AS (SELECT DISTINCT unnest(list_transform(range(1, len(l)), lambda k: l[k] || l[k + 1])) AS glued FROM (SELECT list_filter(list_transform(regexp_extract_all(line, '\p{L}+'), lambda x: lower(x)), lambda x: length(x) >= 4) AS l FROM i)),
 c AS (SELECT glued, unnest(range(4, length(glued) - 3)) AS cut FROM g),
 s AS (SELECT glued, cut, a.zipf + b.zipf AS points FROM c JOIN lex a ON a.token = left(glued, cut) JOIN lex b ON b.token = substr(glued, cut + 1))
 SELECT glued, cut::int AS cut FROM s QUALIFY row_number() OVER (PARTITION BY glued ORDER BY points DESC, cut) = 1""",

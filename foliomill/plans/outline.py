@@ -67,16 +67,16 @@ def q21_outline_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q22_rows_in_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     """As-of join: each line's ship date falls in the order window that began last before it, per week of orders.
 
-    Sections are the distinct first order dates of each week; a range join would compare all pairs, so both sides are
-    put in one ordered sequence per priority and month instead and the last section carried forward.
+    Sections are the distinct first order dates of each week; a range join would compare all pairs, so both sides, by
+    then a row for each day and week of the calendar, are put in one ordered sequence and the last section is carried
+    forward.
     """
-    orders = load(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").alias("start"), F.date_trunc("month", "o_orderdate").alias("m")).distinct()
+    orders = load(spark, sf_dir, "orders").select(F.date_trunc("week", "o_orderdate").alias("start")).distinct()
     lines = load(spark, sf_dir, "lineitem").groupBy(F.to_date("l_shipdate").alias("day")).agg(F.count("*").alias("n"), F.sum("l_quantity").alias("quantity"))
     points = lines.select(F.col("day").cast("timestamp").alias("at"), F.lit(None).cast("timestamp").alias("start"), "n", "quantity")
     starts = orders.select(F.col("start").alias("at"), "start", F.lit(None).cast("long").alias("n"), F.lit(None).cast("double").alias("quantity")).distinct()
-    both = points.unionByName(starts).withColumn("year", F.year("at"))
-    w = Window.partitionBy("year").orderBy("at", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("section", F.last("start", ignorenulls=True).over(w)).where("n IS NOT NULL AND section IS NOT NULL AND year(section) = year")
+    w = Window.orderBy("at", F.col("n").isNotNull()).rowsBetween(Window.unboundedPreceding, 0)
+    found = points.unionByName(starts).withColumn("section", F.last("start", ignorenulls=True).over(w)).where("n IS NOT NULL AND section IS NOT NULL")
     return found.groupBy(F.date_format("section", "yyyy-MM-dd").alias("section")).agg(F.sum("n").alias("n_lines"), F.round(F.sum("quantity"), 2).alias("quantity"))
 
 
@@ -104,7 +104,7 @@ p AS (SELECT page_id, count(*) FILTER (level = 2) AS nested, count(*) FILTER (le
 k AS (SELECT b.* FROM b JOIN p USING (page_id) WHERE CASE WHEN nested >= 4 AND (top_body = 0 OR (top_body <= 4 AND top_plain = 0)) THEN level = 2 OR page < lo OR page > hi OR toc OR NOT box ELSE level = 1 OR nested = 0 END)
 SELECT page_id, page, level, title FROM k QUALIFY row_number() OVER (PARTITION BY page_id, page ORDER BY {_POINTS} DESC, ord) = 1""",
     "q22_rows_in_sections": """WITH s AS (SELECT DISTINCT date_trunc('week', o_orderdate)::timestamp AS start FROM orders), l AS (SELECT l_shipdate::date AS day, count(*) AS n, sum(l_quantity) AS quantity FROM lineitem GROUP BY 1),
-j AS (SELECT l.*, s.start FROM l ASOF JOIN s ON l.day::timestamp >= s.start WHERE year(s.start) = year(l.day))
+j AS (SELECT l.*, s.start FROM l ASOF JOIN s ON l.day::timestamp >= s.start)
 SELECT start::date::varchar AS section, sum(n)::bigint AS n_lines, round(sum(quantity), 2) AS quantity FROM j GROUP BY 1""",
     "q49_outline_tree": _E + """, t AS (SELECT *, CASE WHEN level > 1 THEN last_value(CASE WHEN level = 1 THEN ord END IGNORE NULLS) OVER (PARTITION BY page_id ORDER BY ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) END AS parent FROM e)
 SELECT page_id, count(*) FILTER (parent IS NULL) AS n_roots, count(parent) AS n_children, count(DISTINCT parent) AS n_parents, max(CASE WHEN parent IS NULL THEN 1 ELSE 2 END) AS depth FROM t GROUP BY page_id""",

@@ -1,7 +1,7 @@
 """Every query with SQL agrees with DuckDB on the same tables; the others run and give rows."""
 
 import pytest
-from conftest import rows_of
+from oracle import rows_of
 
 from foliomill import catalog
 
