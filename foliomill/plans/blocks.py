@@ -125,22 +125,22 @@ def q59_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {q.__name__: q for q in (q51_line_predicates, q52_line_labels, q53_block_kinds, q54_inline_lists, q55_unique_ids, q56_package_ids, q57_running_lines, q58_numbering, q59_metadata)}
 
 
-_F = r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, trim(regexp_replace(unnest(p), '[ \t\r\n]+', ' ', 'g')) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
+LINES = r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, trim(regexp_replace(unnest(p), '[ \t\r\n]+', ' ', 'g')) AS x FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
 f AS (SELECT *, list_filter(string_split(x, ' '), lambda w: w <> '') AS ws FROM l WHERE x <> '')
 """
 _S = P.SQL_FORMS
 _HEADING = r"length(x) <= 90 AND len(ws) <= 12 AND NOT regexp_matches(x, '[.!?;:,]$') AND coalesce(len(list_filter(ws, lambda w: regexp_matches(w, '^\p{Lu}'))) / nullif(len(ws), 0)::double, 0) >= 0.55"
 _SLUG = f"trim(regexp_replace(translate(lower(x), '{T.FOLD_FROM}', '{T.FOLD_TO}'), '[^a-z0-9]+', '-', 'g'), '-')"
 SQL = {
-    "q51_line_predicates": _F + "SELECT doc_id, pos, " + ", ".join(f"({_S[n]}) AS {n}" for n in P.BOOLEAN) + " FROM f",
-    "q52_line_labels": _F + "SELECT doc_id, pos, " + ", ".join(f"{_S[n]} AS {n}" for n in P.LABELS) + " FROM f",
-    "q53_block_kinds": _F + rf""", k AS (SELECT doc_id, x, CASE WHEN len(list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')) BETWEEN 2 AND 6 THEN 'table' WHEN {_S['definition']} THEN 'definitions' WHEN {_S['ordered_item']} THEN 'ordered' WHEN {_S['bullet_item']} THEN 'bullet'
+    "q51_line_predicates": LINES + "SELECT doc_id, pos, " + ", ".join(f"({_S[n]}) AS {n}" for n in P.BOOLEAN) + " FROM f",
+    "q52_line_labels": LINES + "SELECT doc_id, pos, " + ", ".join(f"{_S[n]} AS {n}" for n in P.LABELS) + " FROM f",
+    "q53_block_kinds": LINES + rf""", k AS (SELECT doc_id, x, CASE WHEN len(list_filter(list_transform(string_split(x, '|'), lambda c: trim(c)), lambda c: c <> '')) BETWEEN 2 AND 6 THEN 'table' WHEN {_S['definition']} THEN 'definitions' WHEN {_S['ordered_item']} THEN 'ordered' WHEN {_S['bullet_item']} THEN 'bullet'
  WHEN len(regexp_extract_all(x, ';')) >= 2 THEN 'semicolons' WHEN {_S['index_entry']} THEN 'index' WHEN {_S['figure_caption']} THEN 'caption' WHEN {_S['reference_title']} THEN 'references' WHEN {_HEADING} THEN 'heading' ELSE 'paragraph' END AS kind FROM f)
 SELECT kind, count(*) AS n, min(doc_id) AS first_doc, sum(length(x))::bigint AS n_chars FROM k GROUP BY kind""",
     "q54_inline_lists": r"""WITH l AS (SELECT doc_id, (generate_subscripts(p, 1) - 1)::int AS pos, unnest(p) AS line FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS p FROM documents)),
 i AS (SELECT doc_id, pos, (doc_id + pos) % 3 AS kind, list_filter(list_transform(regexp_split_to_array(trim(regexp_replace(line, '[ \t\r\n]+', ' ', 'g')), '[.,;:!?()]'), lambda s: trim(s)), lambda s: s <> '') AS items FROM l)
 SELECT doc_id, pos, len(items)::int AS n_items, CASE WHEN kind = 2 THEN len(items) >= 3 AND len(list_filter(items, lambda s: length(s) > 140)) = 0 ELSE len(items) >= 2 END AS is_list, md5(coalesce(array_to_string(items, '|'), '')) AS items FROM i""",
-    "q55_unique_ids": _F + rf""", s AS (SELECT doc_id, pos, coalesce(nullif({_SLUG}, ''), 'section') AS slug FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS k FROM s),
+    "q55_unique_ids": LINES + rf""", s AS (SELECT doc_id, pos, coalesce(nullif({_SLUG}, ''), 'section') AS slug FROM f), k AS (SELECT *, row_number() OVER (PARTITION BY doc_id, slug ORDER BY pos) AS k FROM s),
 t AS (SELECT doc_id, regexp_extract(slug, '{NUMBERED}', 1) AS slug, list(regexp_extract(slug, '{NUMBERED}', 2)::int) AS taken FROM k WHERE k = 1 AND regexp_matches(slug, '{NUMBERED}') GROUP BY ALL)
 SELECT doc_id, pos, CASE WHEN k = 1 THEN slug ELSE slug || '-' || list_filter(range(2, k + coalesce(len(taken), 0) + 1), lambda n: NOT coalesce(list_contains(taken, n::int), false))[k - 1] END AS id FROM k LEFT JOIN t USING (doc_id, slug)""",
     "q56_package_ids": r"""WITH x AS (SELECT doc_id, source, lang, text, list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda l: trim(regexp_replace(l, '[ \t\r\n]+', ' ', 'g'))), lambda l: l <> '')[1] AS x FROM documents),

@@ -4,7 +4,8 @@ import duckdb
 from oracle import rows_of
 
 from foliomill.functions import predicates as P
-from foliomill.plans import blocks
+from foliomill.functions import rules as R
+from foliomill.plans import blocks, titles
 
 WORDS = "alpha Beta gamma Delta epsilon zeta Eta theta iota kappa Lambda mu nu xi omicron".split()
 FRAMES = (
@@ -12,7 +13,11 @@ FRAMES = (
     "Kraków, 12.03.2021 {}", "Bibliography", "{} – {}; {} – {}; it means {}", "{}, 12; {} 14-16, {} 200", "Untitled", "{} {} {} {} {} {} {} {} {} {} {} {} {} {} end.", "https://www/{}", "http://{}.example.com/x",
     "page 12", "{} 3. {} 4. {}", "export_{}.pdf", "doi:{}", "References and {}", "Index", "Copyright {}", "2021-03-12 {}", "{} | {} | {}", "a{}###$$$", "Editor {}", "title", "One Two Three Four", "red; green; blue", 
 )
-LINES = [f.format(*WORDS) for f in FRAMES]
+RULED = (
+    "reklama", "Copyright 2020 by us", "co to jest", "12. Nf3 Nc6 13. Bb5 a6 1-0", "[12] Smith J. a book of things. https://example.org/x retrieved", "7 / Openings", "a b c d e f g h 1", "Strona 12", "1.2.3 Methods", "The end of",
+    "Rozdział 4 Plan", "ACME", "name@example.com", "FOT. Jan", "continued from before", "• first", "Name Value Level Long Header Total", "A very long line that ends like a sentence does and isn't a heading at all, or is it one after all then, who knows.",
+)
+LINES = [f.format(*WORDS) for f in FRAMES] + list(RULED)
 
 
 def tables(spark):
@@ -41,6 +46,15 @@ def test_lines_of_every_kind_agree_with_sql(spark, tmp_path):
     assert kinds == {"table", "definitions", "ordered", "bullet", "semicolons", "index", "caption", "references", "heading", "paragraph"}
 
 
+def test_rules_agree_with_sql(spark, tmp_path):
+    frame, c = tables(spark)
+    folder = written(spark, frame, tmp_path)
+    found, expected = titles.q82_line_rules(spark, folder).toPandas(), c.execute(titles.SQL["q82_line_rules"]).df()
+    assert rows_of(found) == rows_of(expected)
+    own = found[found.doc_id == 0]
+    assert [n for n in [*R.LINES, "junk"] if not own[n].any() or own[n].all()] == []
+
+
 def test_ids_are_unique_beside_slugs_that_look_numbered(spark, tmp_path):
     frame, _ = tables(spark)
     rows = blocks.q55_unique_ids(spark, written(spark, frame, tmp_path)).where("doc_id = 3").orderBy("pos").collect()
