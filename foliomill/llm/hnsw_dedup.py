@@ -1,14 +1,16 @@
 """Near-duplicate embeddings by hierarchical navigable small-world graphs, one per shard.
 
-Rows are dealt to a fixed number of shards.  A shard's vectors are inserted into a layered graph: a vector close to
+Rows are dealt to shards by a hash, as many as a bound of rows for each asks for.  A shard's vectors are inserted into a layered graph: a vector close to
 one already there joins that one's group instead, so dense groups don't crowd the links; others are linked to
 neighbours picked for their diversity.  Every vector then queries every shard by beam search over the groups' leaders;
 all members of the groups that could hold a link are compared in double precision.  A stated sample of rows is also
-compared with all rows, in blocks; while the graphs find too few of their links, beams are widened.  Searches of many
-vectors advance together, one hop at a time, so that the work is in matrix operations.
+compared with all rows, in blocks; while the graphs find too few of their links, beams are widened.  If the widest beam
+fails the audit too, every vector is compared with all leaders, which is exact.  Searches of many vectors advance
+together, one hop at a time, so that the work is in matrix operations.
 
-A query reports how many members it links to and one edge per group: members are linked to their leaders, so groups
-are connected, and edges stay few however dense a group is.
+A query reports how many members it links to and one edge per group: members join a leader only if they are linked to
+it for certain, by more than single precision can be wrong, so groups are connected, and edges stay few however dense a
+group is.
 """
 
 from __future__ import annotations
@@ -23,18 +25,21 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, connected_components, load
 
-#: Least cosine of a link; shards; neighbours per vector (twice that on the lowest layer); beam at insertion.
-LINK, SHARDS, DEGREE, BUILD_BEAM = 0.95, 6, 12, 48
+#: Least cosine of a link; least number of shards and most rows of one; neighbours per vector (twice that on the lowest
+#: layer); beam at insertion.
+LINK, SHARDS, SHARD_ROWS, DEGREE, BUILD_BEAM = 0.95, 6, 200_000, 12, 48
 #: First beam of the queries, the widest one, rows of the audit sample and the recall that it must show.
-BEAM, WIDEST, AUDIT_ROWS, RECALL = 32, 1024, 200, 0.995
+BEAM, WIDEST, AUDIT_ROWS, RECALL = 32, 1024, 2000, 0.995
+#: What a cosine in single precision may be off by.
+SLACK = 1e-5
 #: Vectors that search together, and vectors of one query block.
-TOGETHER, QUERY_BLOCK = 512, 1 << 16
+TOGETHER, QUERY_BLOCK = 512, 1 << 18
 
 
 class Graph:
     """Layers of a shard: `links[k]` has each leader's neighbours on layer k, -1 where there are fewer."""
 
-    def __init__(self, dim: int, degree: int = DEGREE, beam: int = BUILD_BEAM, join: float = LINK, seed: int = 0):
+    def __init__(self, dim: int, degree: int = DEGREE, beam: int = BUILD_BEAM, join: float = LINK + SLACK, seed: int = 0):
         self.degree, self.beam, self.join, self.rng = degree, beam, join, np.random.default_rng(seed)
         self.x = np.empty((0, dim), np.float32)  # leaders
         self.links: list[np.ndarray] = []
@@ -184,11 +189,10 @@ class Graph:
             links[nodes, : picked.shape[1]] = picked
 
 
-def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
+def unit(vectors: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Unit vectors in double precision, and which of the vectors have a direction: not null, zero or with a null or
-    non-finite component.  Vectors of another length than most can't be compared and count as having none."""
-    sizes = [len(v) if v is not None else 0 for v in vectors]
-    dim = max(set(sizes), key=lambda s: (s > 0, sizes.count(s), s), default=0)
+    non-finite component.  Vectors of another length than `dim` can't be compared and count as having none."""
+    dim = max((len(v) for v in vectors if v is not None), default=0) if dim is None else dim
     out = np.zeros((len(vectors), dim))
     for i, v in enumerate(vectors):
         if v is not None and len(v) == dim and None not in v:
@@ -201,9 +205,9 @@ def unit(vectors: list) -> tuple[np.ndarray, np.ndarray]:
     return out, ok
 
 
-def build(ids: np.ndarray, x: np.ndarray) -> bytes:
+def build(ids: np.ndarray, x: np.ndarray, link: float = LINK) -> bytes:
     """The graph of a shard with its members, grouped by leader, as bytes."""
-    g, leader, at = Graph(x.shape[1]), np.empty(len(x), np.int64), 0
+    g, leader, at = Graph(x.shape[1], join=link + SLACK), np.empty(len(x), np.int64), 0
     order = np.argsort(ids, kind="stable")
     ids, x = ids[order], x[order]
     small = x.astype(np.float32)
@@ -230,8 +234,9 @@ class Shard:
         self.graph.x, self.graph.entry = z["leaders"], int(z["entry"])
         self.graph.links = [z[f"links{k}"].astype(np.int64) for k in range(int(z["layers"]))]
 
-    def links(self, ids: np.ndarray, x: np.ndarray, beam: int, link: float = LINK):
-        """For each query how many members it links to, itself left out, and (query, leader) edges.
+    def links(self, ids: np.ndarray, x: np.ndarray, beam: int | None, link: float = LINK):
+        """For each query how many members it links to, itself left out, and (query, leader) edges.  Without a beam all
+        leaders are compared.
 
         A member of at least cosine `link` to the query is within the angles of link and group of the leader.
         """
@@ -241,8 +246,13 @@ class Shard:
             return counts, edges
         for at in range(0, len(x), TOGETHER):
             q, qi = x[at : at + TOGETHER], ids[at : at + TOGETHER]
-            todo, width = np.arange(len(q)), min(beam, len(self.graph.x))
+            todo, width = np.arange(len(q)), min(beam or 0, len(self.graph.x))
             found: list[tuple[np.ndarray, np.ndarray]] = []
+            if beam is None:
+                for k in range(0, len(self.graph.x), 1 << 16):
+                    r, c = np.nonzero(q.astype(np.float32) @ self.graph.x[k : k + (1 << 16)].T >= reach)
+                    found.append((r, c + k))
+                todo = todo[:0]
             while len(todo):  # a beam whose last leader is still within reach may have missed others
                 near, sims = self.graph.near(q[todo].astype(np.float32), width)
                 short = (sims[:, -1] >= reach) & (near[:, -1] >= 0) & (width < len(self.graph.x))
@@ -264,23 +274,29 @@ class Shard:
         return counts, edges
 
 
-def _unit_rows(batches):
-    for b in batches:
-        x, ok = unit(b.column(1).to_pylist())
-        yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() if k else None for v, k in zip(x, ok)], pa.binary())], names=["id", "unit"])
+def _unit_rows(dim: int):
+    def run(batches):
+        for b in batches:
+            x, ok = unit(b.column(1).to_pylist(), dim)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() if k else None for v, k in zip(x, ok)], pa.binary())], names=["id", "unit"])
+
+    return run
 
 
 def _matrix(column) -> np.ndarray:
     return np.array([np.frombuffer(v) for v in column])
 
 
-def _build(pdf):
-    import pandas as pd
+def _build(link: float):
+    def run(pdf):
+        import pandas as pd
+
+        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [build(pdf["id"].to_numpy(), _matrix(pdf["unit"]), link)]})
 
-    return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [build(pdf["id"].to_numpy(), _matrix(pdf["unit"]))]})
+    return run
 
 
-def _query(beam: int, link: float):
+def _query(beam: int | None, link: float):
     def run(key, graphs, rows):
         import pandas as pd
 
@@ -310,42 +326,43 @@ def _exact(sample_ids: np.ndarray, sample: np.ndarray, link: float):
     return run
 
 
-def link_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", link: float = LINK, shards: int = SHARDS, beam: int = BEAM) -> DataFrame:
+def link_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vector_col: str = "embedding", link: float = LINK, shards: int = SHARDS, beam: int | None = BEAM, widest: int = WIDEST) -> DataFrame:
     """One row per row: id, n_links, component_id, kept (id = component_id).
 
     Vectors that are null, zero or hold null or non-finite components link with nothing, like those whose length is
-    not their batch's.  Ids are taken as unique; rows that repeat one are compared with others but not with each
-    other.  A null id keeps its row, unlinked.  An empty table gives no rows.
+    not the commonest of the table (of equally common ones the longest).  Ids are taken as unique; rows that repeat one
+    are compared with others but not with each other.  A null id keeps its row, unlinked.  An empty table gives no
+    rows; other columns are ignored.
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "hnsw")
     base = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
-    rows = scratch.keep(base.mapInArrow(_unit_rows, "id long, unit binary"), "units")
+    lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").orderBy(F.desc("n"), F.desc("dim")).first()
+    rows = scratch.keep(base.mapInArrow(_unit_rows(lengths["dim"] if lengths else 0), "id long, unit binary"), "units")
     sound = rows.where("id is not null and unit is not null")
+    n = sound.count()
+    shards = max(shards, -(-n // SHARD_ROWS))
     dealt = sound.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = scratch.keep(dealt.groupBy("shard").applyInPandas(_build, "shard int, graph binary"), "graphs")
-    blocks = max(1, -(-sound.count() // QUERY_BLOCK))
+    graphs = scratch.keep(dealt.groupBy("shard").applyInPandas(_build(link), "shard int, graph binary"), "graphs")
+    blocks = max(1, -(-n // QUERY_BLOCK))
     in_blocks = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
     served = graphs.select("graph", F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
 
     def ask(queries: DataFrame, width: int) -> DataFrame:
         return served.groupBy("to", "block").cogroup(in_blocks(queries).groupBy("to", "block")).applyInPandas(_query(width, link), "id long, n long, heads array<long>")
 
-    # the audit: a bounded sample of rows, at least a few of them with links, against all rows
+    # the audit: a bounded random sample of rows against all rows; those that have links must find theirs
     sample = sound.orderBy(F.xxhash64("id", F.lit(2))).limit(AUDIT_ROWS).collect()
-    hinted = ask(sound.where(F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, blocks * QUERY_BLOCK // 4096))) == 0), beam).where("n > 0")
-    more = hinted.groupBy("id").agg(F.sum("n").alias("n")).orderBy(F.xxhash64("id")).limit(AUDIT_ROWS).select("id")
-    sample += sound.join(more, "id").collect()
-    if sample:
-        sample = list({r["id"]: r for r in sample}.values())
+    if sample and beam is not None:
         ids, x = np.array([r["id"] for r in sample], np.int64), _matrix([r["unit"] for r in sample])
-        true = {r["id"]: r["n"] for r in sound.mapInArrow(_exact(ids, x, link), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()}
-        picked = sound.join(F.broadcast(spark.createDataFrame([(int(i),) for i in ids], "id long")), "id", "left_semi")
-        while beam < WIDEST:
+        true = {r["id"]: r["n"] for r in sound.mapInArrow(_exact(ids, x, link), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+        picked = sound.join(F.broadcast(spark.createDataFrame([(int(i),) for i in true], "id long")), "id", "left_semi")
+        while true and beam is not None:
             found = {r["id"]: r["n"] for r in ask(picked, beam).groupBy("id").agg(F.sum("n").alias("n")).collect()}
-            if sum(min(found.get(i, 0), n) for i, n in true.items()) >= RECALL * sum(true.values()) and sum(found.get(i, 0) > 0 for i, n in true.items() if n) >= RECALL * sum(n > 0 for n in true.values()):
+            shares = [min(found.get(i, 0), k) / k for i, k in true.items()]
+            if sum(shares) >= RECALL * len(shares) and sum(min(found.get(i, 0), k) for i, k in true.items()) >= RECALL * sum(true.values()):
                 break
-            beam *= 2
+            beam = 2 * beam if beam < widest else None
     found = scratch.keep(ask(sound, beam), "links")
     edges = found.select(F.col("id").alias("a"), F.explode("heads").alias("b"))
     parts = connected_components(spark, edges, scratch)

@@ -59,6 +59,36 @@ def test_links_and_components(spark):
     assert found[None]["n_links"] == 0 and len(found) == len(rows) + len(odd)
 
 
+def turned(angle):
+    return [float(np.cos(angle)), float(np.sin(angle))]
+
+
+def test_links_are_decided_in_double_precision(spark):
+    """0 and 1 miss 0.95 by 5e-9, which single precision can't tell; 1 and 2 are linked."""
+    edge = float(np.arccos(0.95 - 5e-9))
+    rows = [(0, turned(0.0)), (1, turned(edge)), (2, turned(edge + 0.17))]
+    for beam in (32, None):
+        found = H.link_embeddings(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), beam=beam).orderBy("vec_id").collect()
+        assert [tuple(r) for r in found] == [(0, 0, 0, True), (1, 1, 1, True), (2, 1, 1, False)]
+
+
+def test_one_length_for_the_whole_table(spark):
+    rows = [(k, [1.0, 0.0, 0.0]) for k in range(3)] + [(3, [1.0, 0.0]), (4, [1.0, 0.0])]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    found = {r["vec_id"]: (r["n_links"], r["component_id"]) for r in H.link_embeddings(frame).collect()}
+    assert found == {0: (2, 0), 1: (2, 0), 2: (2, 0), 3: (0, 3), 4: (0, 4)}
+
+
+def test_a_failed_audit_ends_in_exact_blocks(spark, monkeypatch):
+    """Searches that find nothing at any beam; results are whole all the same."""
+    ids, x = clustered(300)
+    true, least = brute(ids, x)
+    frame = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<double>")
+    monkeypatch.setattr(H, "_query", lambda beam, link, f=H._query: f(beam, link) if beam is None else lambda key, graphs, rows: f(None, link)(key, graphs, rows).iloc[:0])
+    found = {r["vec_id"]: r for r in H.link_embeddings(frame).collect()}
+    assert [found[i]["n_links"] for i in ids.tolist()] == true.tolist() and [found[i]["component_id"] for i in ids.tolist()] == least
+
+
 def test_empty(spark):
     assert H.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
