@@ -32,7 +32,7 @@ def test_rules(spark):
         assert found[k]["verdict"] in ("allow", "block")
 
 
-def rank(hosts, edges, seeds, damping=U.DAMPING, rounds=U.ROUNDS):
+def rank(hosts, edges, seeds, damping=U.DAMPING, rounds=400):
     total = sum(seeds.values())
     start = {h: seeds.get(h, 0) / total for h in hosts}
     out = {}
@@ -57,10 +57,27 @@ def test_trust_and_distrust_spread(spark):
     edges = {("good.com", "friend.org"): 1, ("bad.net", "x.org"): 1, ("friend.org", "pal.org"): 1, ("farm.org", "bad.net"): 3}
     trust, distrust = rank(hosts, edges, {"good.com": 1}), rank(hosts, {(b, a): w for (a, b), w in edges.items()}, {"bad.net": 1})
     for h in hosts:
-        assert found[h]["trust"] == pytest.approx(trust[h]) and found[h]["distrust"] == pytest.approx(distrust[h])
+        assert found[h]["trust"] == pytest.approx(trust[h], abs=1e-4) and found[h]["distrust"] == pytest.approx(distrust[h], abs=1e-4)
     assert {h: found[h]["verdict"] for h in hosts} == {"good.com": "allow", "bad.net": "block", "friend.org": "allow", "pal.org": "allow", "farm.org": "block", "x.org": "allow"}
 
 
+def test_walks_reach_the_end_of_a_chain_and_pass_hosts_without_pages(spark):
+    """Every second host of a chain to a blocked host has no page; the host at its start is thirty links away."""
+    names = ["bad.net"] + [f"h{k}.org" for k in range(1, 31)]
+    pages = [(0, "http://bad.net/es/", None), (None, "http://h1.org/", '<a href="//bad.net/x">')]
+    pages += [(k, f"http://{names[k]}/", f"<a href='http://{names[k - 1]}/'>") for k in range(2, 31)]
+    frame = spark.createDataFrame([(*p, "x", 1.0) for p in pages], "page_id long, url string, html string, host string, score double")
+    found = {r["host"]: r for r in U.judge(frame).collect()}
+    assert set(found) == set(names) and all(found[h]["verdict"] == "block" and found[h]["distrust"] > 0 for h in names)
+    through = [(1, "http://good.com/", '<a href="http://none.org/">'), (2, "http://end.org/", '<a href="http://none.org/"><a href="http://bad.net/">'), (3, "http://bad.net/es/", None), (3, "http://bad.net/es/", None)]
+    got = U.judge(spark.createDataFrame(through, "page_id long, url string, html string"))
+    rows = {r["host"]: r for r in got.collect()}
+    hosts = {"good.com", "none.org", "end.org", "bad.net"}
+    edges = {("good.com", "none.org"): 1, ("end.org", "none.org"): 1, ("end.org", "bad.net"): 1}
+    distrust = rank(hosts, {(b, a): w for (a, b), w in edges.items()}, {"bad.net": 2})
+    assert got.count() == 4 and rows["end.org"]["distrust"] == pytest.approx(distrust["end.org"], abs=1e-4)
+
+
 def test_empty_and_query(spark, sf_dir):
     assert U.judge(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
     found = {r["page_id"]: r for r in U.op5_url_trust(spark, sf_dir).collect()}
