@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from .common import Scratch, bounded_sample, fold, in_small_batches, load
 
-#: Labelled rows of each class that the lexicon is learned from, and its largest size.
-SAMPLE_PER_CLASS, MAX_ENTRIES = 15_000, 20_000
+#: Labelled rows of each class that the lexicon is learned from, which also bounds its size.
+SAMPLE_PER_CLASS = 15_000
 #: Prefix lengths of words that are entries beside whole words, least toxic documents and least share of an entry, and
 #: the score from which a text is called toxic.
 PREFIXES, LEAST, SHARE, THRESHOLD = range(3, 9), 4, 0.95, 0.7
@@ -211,7 +211,7 @@ def _documents_with(model: np.ndarray, wanted: frozenset | None):
         restore, known, counts = Restorer(model), {}, Counter()
         for b in batches:
             for text in b.column(0).to_pylist():
-                found = {e for w in _restored_chunks(text, restore, known) for e in entries(w[:40])}
+                found = {e for w in _restored_chunks(text, restore, known) for e in entries(w)}
                 counts.update(found if wanted is None else found & wanted)
             if len(counts) > 4 * REMEMBERED:
                 yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], names=["entry", "n"])
@@ -228,7 +228,7 @@ def _entries_of(model: np.ndarray, wanted: frozenset):
             found, signatures = [], []
             for t in b.column(0).to_pylist():
                 words = _restored_chunks(t, restore, known)
-                found.append(sorted({e for w in words for e in entries(w[:40])} & wanted))
+                found.append(sorted({e for w in words for e in entries(w)} & wanted))
                 hashes = np.array([xxhash.xxh3_64_intdigest(w) for w in words] or [0], np.uint64)
                 signatures.append([int((hashes * k).min() >> np.uint64(1)) for k in MULTIPLIERS])
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.string())), pa.array(signatures, pa.list_(pa.int64()))], names=["entries", "signature"])
@@ -257,7 +257,7 @@ class Lexicon:
             texts = sample.where(F.col("toxic") == kind).select("text")
             return texts.mapInArrow(_documents_with(model, wanted), "entry string, n long").groupBy("entry").agg(F.sum("n").alias("n"))
 
-        toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST).orderBy(F.desc("n"), "entry").limit(10 * MAX_ENTRIES).collect()}
+        toxic = {r["entry"]: r["n"] for r in counted(1, None).where(F.col("n") >= LEAST).collect()}
         clean = {r["entry"]: r["n"] for r in counted(0, frozenset(toxic)).collect()}
         weight = rates[1][0] / rates[0][0]  # clean rows that a sampled clean row stands for, against toxic ones
         base = size[1] / (size[1] + size[0] * weight)
@@ -274,8 +274,7 @@ class Lexicon:
         for r in held:
             for e in r["entries"]:
                 of.setdefault(e, []).append(r["signature"])
-        alone = {e: p for e, p in shares.items() if independent(of.get(e, [])) >= SUPPORT}
-        return cls(dict(sorted(alone.items(), key=lambda x: (-toxic[x[0]], x[0]))[:MAX_ENTRIES]), REST)
+        return cls({e: p for e, p in sorted(shares.items()) if independent(of.get(e, [])) >= SUPPORT}, REST)
 
 
 def longest(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float]:
@@ -288,15 +287,13 @@ def longest(counts: dict[str, int], shares: dict[str, float]) -> dict[str, float
     return {e: p for e, p in shares.items() if e[0] == "=" or covered.get(e, 0) < 0.95 * counts[e]}
 
 
-def independent(signatures: list[list[int]], most: int = 40) -> float:
+def independent(signatures: list[list[int]]) -> float:
     """How many independent documents these are worth: copies and near copies, whose words agree, count as one."""
     n = len(signatures)
     if n < 2:
         return float(n)
-    some = np.array(sorted(signatures)[:: -(-n // most)])
-    alike = (some[:, None, :] == some[None, :, :]).mean(axis=2)
-    np.fill_diagonal(alike, 0)
-    return n / (1 + (n - 1) * alike.sum() / (len(some) * (len(some) - 1))) if len(some) > 1 else 1.0
+    pairs = sum(k * (k - 1) for column in zip(*signatures) for k in Counter(column).values())  # that agree in a place
+    return n / (1 + pairs / (len(signatures[0]) * n))
 
 
 class Scorer:
@@ -376,6 +373,8 @@ def score_toxicity(docs: DataFrame, model: np.ndarray, lexicon: Lexicon, id_col:
     """One row per row: id, held_out, score, predicted.
 
     Null and empty texts get the score of a text without any entry; without usable labels every text gets one score.
+    Texts of any length are read whole.  Repeated rows are returned each, a null id isn't held out, an empty table gives
+    no rows; other columns are ignored.
     """
     in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(fold(id_col, 3) == 1, F.lit(False)).alias("held_out"))
