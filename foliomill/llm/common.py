@@ -15,10 +15,12 @@ def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir.  Only where the session names none (local tests) is one made."""
+    """The folder in spark.checkpoint.dir.  Only where a local session names none (tests) is one made."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found:
         return found.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     made = "file://" + tempfile.mkdtemp(prefix="foliomill-")
     spark.conf.set("spark.checkpoint.dir", made)
     return made
@@ -91,8 +93,10 @@ def fold(id_col: str, parts: int) -> F.Column:
 
 def bounded_sample(rows: DataFrame, by: str, bound: int, id_col: str = "doc_id", max_values: int = 512) -> tuple[DataFrame, dict]:
     """About `bound` rows of each value of `by` (all, where there are fewer), picked by a hash of the id, and of each
-    value its rate and how many rows have it.  The `max_values` most frequent values are sampled.  No row moves for this."""
-    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).orderBy(F.desc("n"), by).limit(max_values).collect()}
+    value its rate and how many rows have it.  More than `max_values` values are an error.  No row moves for this."""
+    counts = {r[by]: r["n"] for r in rows.groupBy(by).agg(F.count("*").alias("n")).limit(max_values + 1).collect()}
+    if len(counts) > max_values:
+        raise ValueError(f"more than {max_values} values of {by}")
     rates = {k: (min(1.0, bound / n), n) for k, n in counts.items()}
     pick = F.lit(False)
     for value, (rate, _) in rates.items():

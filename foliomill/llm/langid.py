@@ -2,31 +2,34 @@
 
 A word that the model knows is scored by its log frequency in each language.  An unseen word is scored by its longest
 character n-grams that the model knows: those of order 5, or else 4, down to single characters.  A text's scores are
-the sums over its words and a prior.  The model is fitted on a bounded sample of labelled rows and has a bounded size.
+the sums over its words and a prior.  The model is fitted on a bounded sample of labelled rows and holds of each language
+its most frequent words and n-grams.
 """
 
 from __future__ import annotations
 
-import re
 from collections import Counter
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import regex
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import bounded_sample, fold, in_small_batches, load
+from .common import Scratch, bounded_sample, fold, in_small_batches, load
 
-#: Labelled rows of each language that the model is fitted on; words and n-grams of each order that it
-#: holds, the most frequent ones, of those that occur twice.
-SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 4_000, 80_000, 25_000
+#: Labelled rows of each language that the model is fitted on; words, and n-grams of each order, that it holds of each
+#: language, the most frequent ones.
+SAMPLE_PER_LANGUAGE, MAX_WORDS, MAX_GRAMS = 4_000, 20_000, 8_000
 ORDER, ADDED = 5, 0.5
+#: Words' worth of evidence that a score, not a prediction, is sure by at most: words of a text depend on one another.
+EVIDENCE = 30.0
 #: Chunks of text that a worker remembers.
 REMEMBERED = 300_000
 UNDETERMINED = "und"
 #: Signs that words carry at their ends.
 EDGES = ".,;:!?\"'()[]*%#$&"
-LETTERS = re.compile(r"[^\W\d_]+")
+LETTERS = regex.compile(r"\p{L}+")
 
 
 def grams(word: str, order: int) -> list[str]:
@@ -45,7 +48,6 @@ def _counted(batches):
                 for w in LETTERS.findall(chunk):
                     words[w] += n
             for w, n in words.items():
-                w = w[:64]  # an endless run of letters isn't a word worth storing; scoring still reads all of it
                 by_kind[0][w] += n
                 for k in range(1, ORDER + 1):
                     for g in grams(w, k):
@@ -76,22 +78,19 @@ class Model:
         if not languages:
             return cls([], np.empty(0), {}, np.empty((0, 0)))
         counts = sample.select("lang", "text").mapInArrow(_counted, "lang string, kind int, item string, n long").groupBy("lang", "kind", "item").agg(F.sum("n").alias("n"))
-        counts = counts.persist()
+        counts = Scratch(sample.sparkSession, "langid").keep(counts, "counts")
         totals = {(r["lang"], r["kind"]): r["n"] for r in counts.groupBy("lang", "kind").agg(F.sum("n").alias("n")).collect()}
-        share = F.lit(0.0)
-        for (lang, kind), n in totals.items():
-            share = F.when((F.col("lang") == lang) & (F.col("kind") == kind), F.col("n") / F.lit(float(n))).otherwise(share)
+        ranked = counts.withColumn("rank", F.row_number().over(Window.partitionBy("lang", "kind").orderBy(F.desc("n"), "item")))
+        known = ranked.where(F.col("rank") <= F.when(F.col("kind") == 0, MAX_WORDS).otherwise(MAX_GRAMS)).select("kind", "item").distinct()
         per_language = [F.sum(F.when(F.col("lang") == lang, F.col("n")).otherwise(0)).alias(f"n{k}") for k, lang in enumerate(languages)]
         keys, logs = [], []
         for kind in range(ORDER + 1):
-            most = MAX_GRAMS if kind else MAX_WORDS
-            found = counts.where(F.col("kind") == kind).withColumn("share", share).groupBy("item").agg(F.max("share").alias("top"), F.sum("n").alias("n"), *per_language)
-            rows = found.where("n > 1").orderBy(F.desc("top"), "item").limit(most).drop("top", "n").toArrow()
+            rows = counts.where(F.col("kind") == kind).join(known, ["kind", "item"], "left_semi").groupBy("item").agg(*per_language).toArrow()
+            most = rows.num_rows
             keys += [f"{kind}{item}" for item in rows["item"].to_pylist()]
             size = np.array([totals.get((lang, kind), 0) + ADDED * most for lang in languages])
             n = np.array([rows[f"n{k}"].to_numpy() for k in range(len(languages))], float).T
             logs.append(np.log((n + ADDED) / size))
-        counts.unpersist()
         n_docs = np.array([rates[lang][1] for lang in languages], float)
         prior = np.log(n_docs / n_docs.sum())
         return cls(languages, prior, {k: i for i, k in enumerate(keys)}, np.concatenate(logs))
@@ -144,8 +143,8 @@ class Scorer(dict):
             rows = list(map(self.__getitem__, chunks[i : i + (1 << 16)]))
             total = total + self.scores[rows].sum(axis=0)
         n = total[-1]
-        logs = total[:-1] * (min(n, 30.0) / n if n else 0.0) + self.model.prior  # long texts aren't surer than 30 words
-        best = int(np.argmax(logs))  # of equal scores the first language in order
+        best = int(np.argmax(total[:-1] + self.model.prior))  # of equal scores the first language in order
+        logs = total[:-1] * (min(n, EVIDENCE) / n if n else 0.0) + self.model.prior
         return self.model.languages[best], float(1 / np.exp(logs - logs[best]).sum())
 
 
@@ -162,8 +161,9 @@ def _predicted(model: Model):
 def identify(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row: id, held_out, lang_pred, score.
 
-    Null texts and those without a letter are `und` with score 0, and so is everything if the model saw no language.
-    A null id isn't held out.
+    Null texts and those without a letter (category L) are `und` with score 0, and so is everything if the model saw no
+    language.  Texts of any length are read whole; of equally likely languages the first in order is taken.  A null id
+    isn't held out; repeated rows are returned each; an empty table gives no rows; other columns are ignored.
     """
     in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.coalesce(fold(id_col, 4) == 2, F.lit(False)).alias("held_out"))

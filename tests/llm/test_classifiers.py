@@ -32,10 +32,65 @@ def test_language_odd_rows(docs, empty):
     assert kept.schema == docs.schema and kept.count() == docs.count() - 3
 
 
+def test_numerals_are_not_letters_and_long_words_are_learned(spark):
+    long = "ab" * 60
+    rows = [(k, f"{long} the house", "en") for k in range(8)] + [(k, "das haus und der", "de") for k in range(8, 16)]
+    model = langid.Model.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    assert "0" + long in model.rows
+    scorer = langid.Scorer(model)
+    assert {scorer.predict(t) for t in ("\u00b2", "\u2462 12", "\u00bd \u2167", "_", "")} == {("und", 0.0)}
+    assert scorer.predict("haus " * 3 + "the " * 2)[0] == scorer.predict("haus " * 300 + "the " * 200)[0]
+
+
+def brute_language(rows, held):
+    """Word-first back-off by plain counting, over all learnable rows: no sample, no bound, no cache."""
+    import math
+    import zlib
+    from collections import Counter
+
+    learn = [(t, lang) for i, t, lang in rows if lang is not None and t is not None and (i is None or zlib.crc32(str(i).encode()) % 4 != 2) and i is not None]
+    langs = sorted({lang for _, lang in learn})
+    letters = lambda t: "".join(c if c.isalpha() else " " for c in t.lower()).split()
+    padded = lambda w, k: [w[i : i + 1] for i in range(len(w))] if k == 1 else [f"_{w}_"[i : i + k] for i in range(len(w) + 3 - k)]
+    counts = [{lang: Counter() for lang in langs} for _ in range(6)]
+    for t, lang in learn:
+        for w in letters(t):
+            counts[0][lang][w] += 1
+            for k in range(1, 6):
+                counts[k][lang].update(padded(w, k))
+    size = [len(set().union(*c.values())) for c in counts]
+    totals = [{lang: sum(c[lang].values()) for lang in langs} for c in counts]
+    log = lambda k, x, lang: math.log((counts[k][lang][x] + 0.5) / (totals[k][lang] + 0.5 * size[k]))
+    prior = {lang: math.log(sum(x == lang for _, x in learn) / len(learn)) for lang in langs}
+    out = {}
+    for i, t, _ in rows:
+        if not t or not letters(t):
+            out[i] = "und"
+            continue
+        score = dict(prior)
+        for w in letters(t):
+            for k in range(0, 6):
+                order = [0, 5, 4, 3, 2, 1][k]
+                known = [x for x in ([w] if not order else padded(w, order)) if any(counts[order][lang][x] for lang in langs)]
+                if known:
+                    for lang in langs:
+                        score[lang] += sum(log(order, x, lang) for x in known) / len(known)
+                    break
+        out[i] = max(langs, key=lambda lang: score[lang])
+    return out
+
+
+def test_query_agrees_with_brute_force(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"], r["lang"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    found = {r["doc_id"]: r["lang_pred"] for r in langid.op6_language_id(spark, sf_dir).collect()}
+    expected = brute_language(rows, None)
+    assert len(found) == len(rows) and sum(found[i] != expected[i] for i in found) <= 0.005 * len(rows)
+
+
 def test_unseen_words_back_off_to_shorter_grams(docs):
     model = langid.Model.fit(docs)
     assert (model.word("the") == model.table[model.rows["0the"]]).all()
-    assert "0brownish" not in model.rows and model.word("brownish") is not None
+    assert "0brownish" not in model.rows and "0quick" in model.rows and model.word("brownish") is not None
     assert model.word("龍") is None
 
 
