@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import blocks, boilerplate, cleanup, epub, headings, lexicon, links, normalise, outline, packages, quality, structure, titles, toc
+from .plans import blocks, boilerplate, cleanup, epub, headings, lexicon, links, normalise, outline, packages, quality, references, structure, titles, toc
 from .streaming import jobs
 
 FLAGSHIP = "q01_boilerplate_lines"
-MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, normalise, jobs, titles, toc)
+MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, normalise, jobs, titles, toc, references)
 
 
 def queries() -> dict:
