@@ -13,8 +13,8 @@ At most 4 differing bits over segments A, B and C (pigeonhole) leave these keys,
 
 Keys have 30 bits or more.  Every pair within 4 bits meets under some key, and each is verified.
 
-Only distinct fingerprints are joined.  The least one under a key is linked to the others that verify, which is linear
-and settles dense groups.  Keys that still hold several components are compared pair by pair where they are small; if
+Only distinct fingerprints are joined.  The one under a key that shares most keys with others is linked to those that
+verify, which is linear and settles dense groups.  Keys that still hold several components are compared pair by pair where they are small; if
 they are larger, they are split into finer keys, of which a linked pair shares one, and so on.
 """
 
@@ -22,7 +22,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from functools import lru_cache
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -36,8 +36,8 @@ from .common import Scratch, connected_components, in_small_batches, load, text_
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
-#: Nodes under one key up to which its pairs are compared, how often larger keys are split, or pivots of a round there.
-CROWD, SPLITS, PIVOTS = 24, 4, 4
+#: Nodes under one key up to which its pairs are compared, and how often larger keys are split.
+CROWD, SPLITS = 24, 4
 #: Widths of the segments A, B and C.
 SEGMENTS = (23, 23, 18)
 #: For similarities: segments of 23 of the 256 bits, one for each table of keys; odd numbers that mix hashes.
@@ -164,55 +164,66 @@ def merged(of: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFram
     return scratch.keep(of.unionByName(lone).join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
 
 
-def linked(keys: DataFrame, check: Callable[[DataFrame], DataFrame], scratch: Scratch, split: Callable[[DataFrame, int], DataFrame] | None = None, ready: Callable[[DataFrame], None] = lambda groups: None) -> DataFrame:
-    """(node, component) of nodes that links join; links are the pairs under one of `keys` (key, node) that `check` keeps.
+def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | None = None, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, split: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
+    """(node, component) of nodes that links join; links are the pairs under one of `keys` (key, node) that are near and
+    that `verify` keeps.
 
-    check: of pairs (a, b), a < b, those that are links, or links that join the same nodes.  ready: is shown all rows
-    that check will ever be asked about.  Each key costs a pair for each of its nodes, with a pivot, and CROWD pairs for
+    near: SQL over node and the columns of of_node (node, ...), and over the same of the other side, which end in _2.
+    verify: of near pairs (a, b, turn), a < b, those that are links, or links that join the same nodes; turn is how many
+    nodes the pivot shares keys with, and the node that is compared with it.
+    Each key costs a pair for each of its nodes, with the node that shares most keys with others, and CROWD pairs for
     each node where its nodes are then of several components.  Larger keys of several components go on in rounds.
-    With `split`, which of rows (key, node, component) and the number of the round makes such rows with finer keys, one
-    of which the two nodes of a link have in common, no link is lost; what is larger still after SPLITS rounds is
-    compared across components there.  Without it each round takes PIVOTS new pivots for each key, from its smallest
-    components, compares them with all its nodes and takes them out, until no key is left or no round finds a link.
+    With `split`, which of rows (key, node, ...) and the number of the round makes such rows with finer keys, one of
+    which the two nodes of a link have in common, no link is lost; what is larger still after SPLITS rounds is compared
+    across components there.  Without it each round compares a key's nodes with one more pivot, from its smallest
+    components, and takes that out, until no key is left or no round finds a link.
     """
-    of, pool, level = None, keys.select("key", "node", F.col("node").alias("component"), F.lit(0).alias("size")), 0
+    cols = [c for c in of_node.columns if c != "node"] if of_node is not None else []
+    heads = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    pool = scratch.keep(keys.join(heads, "key"), "pool")
+    rank = pool.groupBy("node").agg(F.sum("n").alias("rank"))
+    wide = pool.join(rank, "node") if of_node is None else pool.join(rank.join(of_node, "node"), "node")
+    groups = scratch.keep(wide.withColumn("component", F.col("node")), "groups")
+    scratch.drop(pool)
+    of, level = None, 0
     while True:
-        turns = [F.min(F.struct("size", F.xxhash64("node", F.lit(PIVOTS * level + k)).alias("turn"), "node", "component")) for k in range(PIVOTS if level else 1)]
-        heads = pool.groupBy("key").agg(F.count("*").alias("n"), F.array_distinct(F.array(*turns)).alias("heads"), F.min("component").alias("lo"), F.max("component").alias("hi"))
-        heads = heads.where("n > 1 and lo <> hi").select("key", "n", F.col("heads.node").alias("pivots"), F.col("heads.component").alias("of_pivots"))
-        groups = scratch.keep(pool.drop("size").join(heads, "key"), "groups")
-        if not level:
-            ready(groups)
-        stars = groups.select("node", "component", F.explode(F.arrays_zip("pivots", "of_pivots")).alias("to")).where("component <> to.of_pivots")
-        before, of = of, merged(of, check(stars.select(F.least("node", "to.pivots").alias("a"), F.greatest("node", "to.pivots").alias("b")).distinct()), scratch)
-        left = groups.where(~F.array_contains("pivots", F.col("node"))).select("key", "node", "n")
-        labelled = left.join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = labelled.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = scratch.keep(labelled.join(several, "key"), "rest")
+        best = F.max(F.struct("rank", "node", "component", *cols)).alias("best")
+        heads = groups.groupBy("key").agg(F.count("*").alias("n"), best, F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1 and lo <> hi")
+        turn = (F.col("best.rank") if not level else F.lit(0)).cast("long").alias("turn")
+        heads = scratch.keep(heads.select("key", "n", turn, *(F.col("best." + c).alias(c + "_2") for c in ["node", "component", *cols])), "heads")
+        open_ = groups.drop("n", "rank").join(heads, "key")
+        stars = open_.where("component <> component_2").where(near).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), F.struct("turn", "node").alias("turn"))
+        before, of = of, merged(of, verify(stars.groupBy("a", "b").agg(F.max("turn").alias("turn"))), scratch)
+        left = open_.where("node <> node_2").select("key", "node", "n", *cols).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        rest = scratch.keep(left.join(several, "key"), "rest")
+        scratch.drop(groups)
+        scratch.drop(heads)
         last = split is not None and level == SPLITS
         few = rest if last else rest.where(F.col("n") <= CROWD)
-        second = few.select("key", F.col("node").alias("node_2"), F.col("component").alias("component_2"))
-        pairs = few.join(second, "key").where("node < node_2 and component <> component_2")
-        of = merged(of, check(pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()), scratch)
-        many = rest.where(F.col("n") > CROWD).select("key", "node")
+        second = few.select("key", *(F.col(c).alias(c + "_2") for c in ["node", "component", *cols]))
+        pairs = few.join(second, "key").where("node < node_2 and component <> component_2").where(near)
+        pairs = pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+        of = merged(of, verify(pairs.withColumn("turn", F.struct(F.lit(0).cast("long").alias("turn"), F.col("b").alias("node")))), scratch)
+        many = rest.where(F.col("n") > CROWD).drop("n", "component")
         if last or (level and split is None and of is before) or many.isEmpty():
             return of
-        sizes = of.groupBy("component").agg(F.count("*").cast("int").alias("size"))
+        sizes = of.groupBy("component").agg(F.count("*").alias("size"))
         many = many.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "component", "left")
-        many = many.select("key", "node", "component", F.coalesce("size", F.lit(1)).alias("size"))
-        pool, level = scratch.keep(split(many, level) if split else many, "pool"), level + 1
+        many = many.select("key", "node", "component", *cols, F.struct(-F.coalesce("size", F.lit(1)), F.xxhash64("node", F.lit(level))).alias("rank"))
+        groups, level = scratch.keep(split(many, level) if split else many, "groups"), level + 1
+        scratch.drop(rest)
 
 
 def linking(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) that join the same nodes as all verified pairs do: each node is verified against the least
-    of its candidates first, and then only pairs whose ends these links leave apart."""
-    pairs = scratch.keep(pairs, "pairs")
-    tried = pairs.groupBy("b").agg(F.min("a").alias("a")).select("a", "b")
-    least = scratch.keep(verify(tried), "least")
-    of = scratch.keep(connected_components(pairs.sparkSession, least, scratch), "joined")
+    """Verified links (a, b) that join the same nodes as all verified pairs (a, b, turn) do: each node is verified against
+    its most central pivot first, and then only pairs whose ends these links leave apart."""
+    first = pairs.groupBy("turn.node").agg(F.max(F.struct("turn.turn", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
+    links = scratch.keep(verify(first), "first")
+    of = scratch.keep(connected_components(pairs.sparkSession, links, scratch), "joined")
     apart = pairs.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    rest = scratch.keep(apart.select("a", "b").join(tried, ["a", "b"], "left_anti"), "apart")
-    return least if rest.isEmpty() else scratch.keep(least.unionByName(verify(rest)), "verified")
+    rest = scratch.keep(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), "apart")
+    return links if rest.isEmpty() else scratch.keep(links.unionByName(verify(rest)), "verified")
 
 
 def bit_parts(level: int, parts: int = BITS + 1) -> list[int]:
@@ -229,10 +240,10 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -
 
     def split(rows: DataFrame, level: int) -> DataFrame:
         finer = [F.xxhash64(F.col("key"), F.lit(k), F.col("node").bitwiseAND(F.lit(m))) for k, m in enumerate(bit_parts(level))]
-        return rows.select(F.explode(F.array(*finer)).alias("key"), "node", "component", "size")
+        return rows.select(F.explode(F.array(*finer)).alias("key"), "node", "component", "rank")
 
     keys = fps.select(F.col("fp").alias("node")).mapInArrow(_keyed, "key long, node long")
-    roots = linked(keys, lambda pairs: pairs.where(f"bit_count(a ^ b) <= {bits}"), scratch, split)
+    roots = linked(keys, f"bit_count(node ^ node_2) <= {bits}", scratch, split=split)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 
@@ -336,7 +347,7 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     At 0.8 two 64-bit fingerprints differ in some 10 bits, beyond what the exact keys can find.  So sets have four
     fingerprints of other mixings, 256 bits; Golay keys of eleven segments, each beside a shingle that the sets' order
     picks, propose pairs (of similarity 0.8: 99.9 in 100, of 0.9: all but one in 100,000), those that differ in more
-    bits than such pairs ever do are left out, and the rest is decided by the sets themselves.  Equal sets are linked
+    bits than one in 30,000 such pairs does are left out, and the rest is decided by the sets themselves.  Equal sets are linked
     first.  Null and empty texts are alike, texts of any length are read whole, and other cases are as in near_copies.
     """
     return similar_rows(docs, id_col, text_col, words, similarity, seed).select(F.col("id").alias(id_col), "component_id")
@@ -353,32 +364,34 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     in_small_batches(spark)
     scratch = Scratch(spark, "similar")
     differ = math.acos(2 * similarity / (1 + similarity)) / math.pi  # share of bits, from the cosine of equal-sized sets
-    most = round(256 * differ + 6 * (256 * differ * (1 - differ)) ** 0.5)
+    most = round(256 * differ + 4 * (256 * differ * (1 - differ)) ** 0.5)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest(text_col).alias("digest"))
     prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, digest long, node long, " + ", ".join(c + " long" for c in WIDE + ANCHORS)), "prints")
     nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ["digest", *WIDE, *ANCHORS])), "nodes")
 
-    sets: list[DataFrame] = []
+    made: list[DataFrame] = []  # the sets of nodes that were near another, made once for each node
 
-    def ready(groups: DataFrame) -> None:
-        """Makes the sets of all nodes that share a key with another again, once for each."""
-        texts = scratch.keep(nodes.join(groups.select("node").distinct(), "node", "left_semi").select("digest"), "texts")
-        found = rows.join(texts, "digest", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, shingles array<long>")
-        sets.append(scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"))
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        """Pairs by the Jaccard similarity of their sets."""
-        both = pairs.join(sets[0].toDF("a", "set_a"), "a").join(sets[0].toDF("b", "set_b"), "b")
+    def jaccard(pairs: DataFrame) -> DataFrame:
+        """Pairs whose sets have the similarity."""
+        sets = reduce(DataFrame.unionByName, made)
+        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
         shared = F.size(F.array_intersect("set_a", "set_b"))
         return both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select(*pairs.columns)
 
-    def check(pairs: DataFrame) -> DataFrame:
-        of = lambda end: nodes.select(F.col("node").alias(end), *(F.col(c).alias(f"{c}_{end}") for c in WIDE))
-        near = " + ".join(f"bit_count({c}_a ^ {c}_b)" for c in WIDE) + f" <= {most}"
-        return linking(pairs.join(of("a"), "a").join(of("b"), "b").where(near).select("a", "b"), verify, scratch)
-
+    def verify(pairs: DataFrame) -> DataFrame:
+        pairs = scratch.keep(pairs, "pairs")
+        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        for sets in made:
+            ends = ends.join(sets.select("node"), "node", "left_anti")
+        texts = scratch.keep(nodes.join(ends, "node", "left_semi").select("digest"), "texts")
+        if not made or not texts.isEmpty():
+            found = rows.join(texts, "digest", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, shingles array<long>")
+            made.append(scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"))
+        return linking(pairs, jaccard, scratch)
+
+    near = " + ".join(f"bit_count({c} ^ {c}_2)" for c in WIDE) + f" <= {most}"
     keys = nodes.select("node", *WIDE, *ANCHORS).mapInArrow(_wide_keyed, "key long, node long")
-    roots = linked(keys, check, scratch, ready=ready)
+    roots = linked(keys, near, scratch, nodes.select("node", *WIDE), verify)
     rooted = scratch.keep(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(rooted.join(ids, "root").select("node", "root", "component_id"), "named")
