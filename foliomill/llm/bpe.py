@@ -240,7 +240,11 @@ def decode_ids(encoded: DataFrame, path: str | None = None, id_col: str = "doc_i
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ids of every text and the text decoded from them, as digests, in one pass."""
+    """Ids of every text and the text decoded from them, as digests, in one pass.
+
+    One row per row, null ids and repeated ones too; null is the empty text, which has no ids; texts of any length are
+    read whole; an empty table gives no rows; other columns are ignored.
+    """
     schema = "id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
     rows = _rows(load(spark, sf_dir, "documents"), "doc_id", "text")
     return rows.mapInArrow(_digests(public_path("byte_bpe_50k.json")), schema).withColumnRenamed("id", "doc_id")

@@ -207,8 +207,8 @@ def _segments(segment_ids: int):
 def write_token_files(docs: DataFrame, folder: str, path: str | None = None, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, block: int = BLOCK, segment_ids: int = SEGMENT_IDS) -> None:
     """Writes the ids of every text, each followed by end_id, in ascending order of id.
 
-    Null text is the empty one; null ids come first; rows with equal ids follow one another.  An empty table gives a
-    code book and segments without rows.
+    Null text is the empty one; null ids come first; rows with equal ids follow one another.  Texts of any length are
+    read whole.  An empty table gives a code book and segments without rows; other columns are ignored.
     """
     spark = docs.sparkSession
     in_small_batches(spark)

@@ -188,7 +188,8 @@ def pack(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_
     """One row per piece: id, piece, start, length, ids_crc32, sequence_id, offset.
 
     A document is its text's ids (null: empty) and the end id.  Longer ones than `capacity` are cut; the first piece
-    is the shorter one.  Repeated rows and null ids are packed like any other; an empty table gives no rows.
+    is the shorter one.  Repeated rows and null ids are packed like any other; texts of any length are read whole; an
+    empty table gives no rows; other columns are ignored.
     """
     spark = docs.sparkSession
     in_small_batches(spark)

@@ -132,7 +132,8 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
     """One row per row: id, n_tokens, n_words, n_unknown.
 
     Words are what white space separates.  A word that greedy longest match can't cut up wholly is unknown and counts
-    as one token.  Null and empty texts have no words; repeated rows and null ids are counted like any other.
+    as one token.  Null and empty texts have no words; repeated rows and null ids are counted like any other; texts and
+    words of any length are read whole; an empty table gives no rows; other columns are ignored.
     """
     in_small_batches(docs.sparkSession)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))

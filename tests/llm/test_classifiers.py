@@ -126,6 +126,17 @@ def test_toxicity(spark, docs, empty):
     assert kept.schema == texts.schema and kept.count() == 200
 
 
+def test_toxicity_query_on_held_out_rows(spark):
+    """The query at production parameters: labelled documents of the fold that it didn't learn from."""
+    folder = "/root/testdata/sf0.01"
+    truth = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{folder}/labels.parquet").where("toxic is not null").collect()}
+    found = toxicity.op3_toxicity(spark, folder).collect()
+    assert len(found) == spark.read.parquet(f"{folder}/documents.parquet").count() and all(0 <= r["score"] <= 1 for r in found)
+    held = [(truth[r["doc_id"]], r["predicted"]) for r in found if r["held_out"] and r["doc_id"] in truth]
+    toxic, clean = [p for t, p in held if t == 1], [p for t, p in held if t == 0]
+    assert len(toxic) >= 10 and sum(toxic) >= 0.75 * len(toxic) and sum(clean) <= 0.01 * len(clean)  # some labels are noise
+
+
 def test_toxicity_without_labels(spark, docs, empty):
     nothing = spark.createDataFrame([], "doc_id long, toxic int")
     model, lexicon = toxicity.fit(docs, nothing)

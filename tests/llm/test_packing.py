@@ -36,9 +36,9 @@ def test_near_the_lower_bound():
     assert sum(t for _, t in plan) <= 1.02 * lengths.sum() / 1024
 
 
-def test_pieces_of_a_table(docs, empty):
+def check(docs, packed):
     path = public_path("byte_bpe_50k.json")
-    found = P.pack(docs).collect()
+    found = packed.collect()
     expected = Counter()
     for r in docs.collect():
         ids = np.array([*by_library(path, r["text"] or ""), 2], "<u4")
@@ -56,4 +56,14 @@ def test_pieces_of_a_table(docs, empty):
             assert offset == at
             at += length
         assert at <= 1024
+    return len(bins), sum(r["length"] for r in found)
+
+
+def test_pieces_of_a_table(docs, empty):
+    check(docs, P.pack(docs))
     assert P.pack(empty).count() == 0
+
+
+def test_query(spark, sf_dir):
+    n, total = check(spark.read.parquet(f"{sf_dir}/documents.parquet"), P.op2_best_fit_packing(spark, sf_dir))
+    assert n <= 1.02 * total / 1024 + 1

@@ -37,6 +37,25 @@ def test_golay_code_is_perfect():
     assert set(mask.sum(axis=1)) <= {1, 6}
 
 
+def test_all_ways_to_spread_four_errors_share_a_key():
+    rng = np.random.default_rng(9)
+    for a in range(5):
+        for b in range(5 - a):
+            for c in range(5 - a - b):
+                x = rng.integers(0, 1 << 63, 400, dtype=np.uint64)
+                y = x.copy()
+                for i in range(len(y)):
+                    for at, n, width in ((0, a, 23), (23, b, 23), (46, c, 18)):
+                        for bit in rng.choice(width, n, replace=False):
+                            y[i] ^= np.uint64(1) << np.uint64(at + int(bit))
+                shared = [set() for _ in x]
+                r, k = S.fuzzy_keys(x.view(np.int64))
+                for i, key in zip(r.tolist(), k.tolist()):
+                    shared[i].add(key)
+                r, k = S.fuzzy_keys(y.view(np.int64))
+                assert {i for i, key in zip(r.tolist(), k.tolist()) if key in shared[i]} == set(range(len(x))), (a, b, c)
+
+
 @pytest.mark.parametrize("errors", range(5))
 def test_pairs_within_four_bits_share_a_key(errors):
     rng = np.random.default_rng(errors)
@@ -67,6 +86,15 @@ def test_fingerprints_and_components(docs):
     assert sorted((str(r["doc_id"]), str(r["component_id"])) for r in found) == sorted((str(i), str(least[r])) for (i, _), r in zip(rows, root))
 
 
+def test_query(spark, sf_dir):
+    rows = [(r["doc_id"], r["text"]) for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    prints = [plain(t) for _, t in rows]
+    root = components(prints)
+    least = {r: min(i for (i, _), x in zip(rows, root) if x == r) for r in set(root)}
+    found = {r["doc_id"]: (r["fingerprint"], r["component_id"]) for r in S.op9_simhash_dedup(spark, sf_dir).collect()}
+    assert found == {i: (f"{p:016x}", least[r]) for (i, _), p, r in zip(rows, prints, root)}
+
+
 def test_crowded_keys_give_the_same_components(spark, monkeypatch):
     """Dense groups and lone ones around them, with the pivots of crowded keys and without."""
     rng = np.random.default_rng(3)
