@@ -98,7 +98,7 @@ ENTRY = r"^\[?R([0-9]+)\]?[.:]? (.+?)\. (.*?) ?((?:https?://|www\.)[^ ]+)?$"
 def q76_reference_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Entries made of the passages, `[R7] Title. Description link`, read back into their parts."""
     w = T.letters_only(F.coalesce("text", F.lit("")))
-    rows = load(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("[R"), F.col("item_id").cast("string"), F.lit("] "), F.array_join(F.slice(w, 1, 4), " "), F.lit(". "), F.array_join(F.slice(w, 5, 6), " "), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit(" https://www.example.com/r"), F.col("item_id").cast("string"))).otherwise(F.lit(""))).alias("x"))
+    rows = load(spark, sf_dir, "benchmark").select("item_id", F.concat(F.lit("[R"), F.col("item_id").cast("string"), F.lit("] "), F.array_join(F.slice(w, 1, 4), " "), F.lit(". "), F.array_join(F.slice(w, F.lit(5), F.greatest(F.size(w), F.lit(1))), " "), F.when(F.col("item_id") % 3 != 0, F.concat(F.lit(" https://www.example.com/r"), F.col("item_id").cast("string"))).otherwise(F.lit(""))).alias("x"))
     part = lambda k: F.regexp_extract("x", ENTRY, k)
     out = rows.select("item_id", F.try_to_number(part(1), F.lit("999999999")).cast("long").alias("ref"), part(2).alias("title"), F.btrim(part(3)).alias("description"), part(4).alias("link"))
     return out.withColumn("review", F.col("link") == "")
@@ -193,7 +193,7 @@ n AS (SELECT *, CASE WHEN kind = 'p' AND lag(kind) OVER (PARTITION BY doc_id ORD
 m AS (SELECT doc_id, part, kind, count(*) AS n_lines, sum(length(line)) AS n_chars FROM g GROUP BY ALL)
 SELECT kind, count(*) AS n_parts, sum(n_lines)::bigint AS n_lines, sum(n_chars)::bigint AS n_chars, count(DISTINCT doc_id) AS n_docs FROM m GROUP BY kind""",
     "q76_reference_entries": r"""WITH w AS (SELECT item_id, regexp_extract_all(coalesce(text, ''), '\p{L}+') AS w FROM benchmark),
-x AS (SELECT item_id, '[R' || item_id || '] ' || coalesce(array_to_string(w[1:4], ' '), '') || '. ' || coalesce(array_to_string(w[5:10], ' '), '') || CASE WHEN item_id % 3 <> 0 THEN ' https://www.example.com/r' || item_id ELSE '' END AS x FROM w),
+x AS (SELECT item_id, '[R' || item_id || '] ' || coalesce(array_to_string(w[1:4], ' '), '') || '. ' || coalesce(array_to_string(w[5:], ' '), '') || CASE WHEN item_id % 3 <> 0 THEN ' https://www.example.com/r' || item_id ELSE '' END AS x FROM w),
 p AS (SELECT item_id, regexp_extract(x, '^\[?R([0-9]+)\]?[.:]? (.+?)\. (.*?) ?((?:https?://|www\.)[^ ]+)?$', ['ref', 'title', 'description', 'link']) AS e FROM x)
 SELECT item_id, try_cast(e.ref AS bigint) AS ref, e.title AS title, trim(e.description) AS description, e.link AS link, e.link = '' AS review FROM p""",
     "q77_gates": r"""WITH h AS (SELECT page_id, len(regexp_extract_all(coalesce(html, ''), '<h1>[^<]*')) AS h1, len(regexp_extract_all(coalesce(html, ''), '<title>[^<]*')) AS titles, length(coalesce(html, '')) AS size, len(regexp_extract_all(coalesce(html, ''), '[*%#$]{3}')) AS junk,

@@ -78,7 +78,7 @@ def q62_chapter_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def boxes(part: DataFrame) -> DataFrame:
     k = F.col("p_partkey")
-    return part.select(k.alias("box"), (k % 40).cast("int").alias("page"), (k * 37 % 500).cast("int").alias("x0"), (k * 91 % 700).cast("int").alias("y0"), (F.lit(20) + F.col("p_size") * 2).alias("w"), (F.lit(20) + F.col("p_size")).alias("h"))
+    return part.select(k.alias("box"), F.floor(k / 50).cast("int").alias("page"), (k * 37 % 160).cast("int").alias("x0"), (k * 91 % 170).cast("int").alias("y0"), (F.lit(20) + F.col("p_size") * 2).alias("w"), (F.lit(20) + F.col("p_size")).alias("h"))
 
 
 def q63_overlapping_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -191,7 +191,7 @@ c AS (SELECT page_id, chapter, page AS start, greatest(page, coalesce(next - 1,
  UNION ALL SELECT page_id, 0, 0, coalesce(first - 1, last), CASE WHEN first IS NULL THEN 'Content' ELSE 'Front Matter' END FROM z LEFT JOIN (SELECT page_id, min(page) AS first FROM t GROUP BY page_id) USING (page_id) WHERE first IS NULL OR first > 0),
 p AS (SELECT page_id, chapter, title, unnest(range(start, stop + 1)) AS page FROM c), n AS (SELECT page_id, page, count(*) AS n FROM e GROUP BY ALL)
 SELECT page_id, chapter, title, count(*) AS n_pages, sum(coalesce(n, 0))::bigint AS n_entries FROM p LEFT JOIN n USING (page_id, page) GROUP BY ALL""",
-    "q63_overlapping_boxes": """WITH b AS (SELECT p_partkey AS box, (p_partkey % 40)::int AS page, p_partkey * 37 % 500 AS x0, p_partkey * 91 % 700 AS y0, 20 + p_size * 2 AS w, 20 + p_size AS h FROM part),
+    "q63_overlapping_boxes": """WITH b AS (SELECT p_partkey AS box, (p_partkey // 50)::int AS page, p_partkey * 37 % 160 AS x0, p_partkey * 91 % 170 AS y0, 20 + p_size * 2 AS w, 20 + p_size AS h FROM part),
 o AS (SELECT a.page, a.box, c.box AS box2, least(a.x0 + a.w, c.x0 + c.w) - greatest(a.x0, c.x0) AS dx, least(a.y0 + a.h, c.y0 + c.h) - greatest(a.y0, c.y0) AS dy, greatest(a.w * a.h, c.w * c.h) AS most FROM b a JOIN b c ON a.page = c.page AND a.box < c.box)
 SELECT page, box, box2, round(dx * dy / most::double, 6) AS overlap FROM o WHERE dx > 0 AND dy > 0 AND dx * dy / most::double >= 0.5""",
     "q64_best_attempts": """WITH d AS (SELECT doc_id, length(coalesce(text, '')) AS n FROM documents), r AS (SELECT doc_id, attempt, n * k AS bytes FROM d, (VALUES ('primary', 10), ('fallback', 6), ('smallest', 3)) t(attempt, k)),
