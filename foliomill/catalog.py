@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from .plans import blocks, boilerplate, cleanup, epub, fragments, headings, lexicon, links, normalise, outline, packages, quality, references, releases, structure, titles, toc
+from .plans import blocks, boilerplate, cleanup, epub, exercises, fragments, headings, lexicon, links, normalise, outline, packages, quality, references, releases, structure, titles, toc
 from .streaming import jobs
 
 FLAGSHIP = "q01_boilerplate_lines"
-MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, normalise, jobs, titles, toc, references, releases, fragments)
+MODULES = (boilerplate, cleanup, lexicon, structure, blocks, headings, links, outline, packages, epub, quality, normalise, jobs, titles, toc, references, releases, fragments, exercises)
 
 
 def queries() -> dict:
