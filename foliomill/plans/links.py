@@ -79,21 +79,16 @@ def q25_link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q48_link_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Greedy one-to-one matching of those candidates, the best first and of equal scores the later heading and link.
 
-    Each page is matched by itself, over its own few candidates.
+    A fold over each page's own few candidates inside the row.
     """
-    rows = q25_link_candidates(spark, sf_dir)
-    schema = "page_id long, l int, h int, score double"
-    return rows.groupBy("page_id").applyInPandas(_greedy, schema)
+    each = q25_link_candidates(spark, sf_dir).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("score", "h", "l")), asc=False).alias("c"))
+    none = F.array().cast("array<struct<score: double, h: int, l: int>>")
 
+    def place(kept, c):
+        free = ~F.exists(kept, lambda k: (k["h"] == c["h"]) | (k["l"] == c["l"]))
+        return F.when(free, F.concat(kept, F.array(c))).otherwise(kept)
 
-def _greedy(pdf):
-    used_l, used_h, keep = set(), set(), []
-    for i, row in pdf.sort_values(["score", "h", "l"], ascending=False).iterrows():
-        if row["l"] not in used_l and row["h"] not in used_h:
-            used_l.add(row["l"])
-            used_h.add(row["h"])
-            keep.append(i)
-    return pdf.loc[keep, ["page_id", "l", "h", "score"]]
+    return each.select("page_id", F.explode(F.aggregate("c", none, place)).alias("k")).select("page_id", "k.l", "k.h", "k.score")
 
 
 def confidence(title: Column, ref: Column, n_links: Column, unresolved: Column, repaired: Column) -> Column:
@@ -132,6 +127,9 @@ e AS (SELECT doc_id, n[1]::int AS a, coalesce(n[2], n[1])::int AS b FROM m),
 c AS (SELECT DISTINCT doc_id, unnest(range(a, b + 1))::int AS ref FROM e WHERE b >= a AND b - a < 64)
 """
 _W = r"list_distinct(list_filter(list_transform(regexp_extract_all({x}, '\p{{L}}+'), lambda w: lower(w)), lambda w: length(w) >= 3))"
+_CANDIDATES = _L + f""", ht AS (SELECT page_id, ord AS h, {_W.format(x="regexp_replace(raw, '^<[a-z0-9]+>', '')")} AS ht FROM h WHERE starts_with(raw, '<title') OR starts_with(raw, '<h1')),
+lt AS (SELECT page_id, ord AS l, {_W.format(x='label')} AS lt FROM l),
+s AS (SELECT page_id, l, h, round(0.8 * (len(list_intersect(lt, ht)) / least(len(lt), len(ht))::double) + 0.2 / (1 + l)::double, 6) AS score FROM lt JOIN ht USING (page_id) WHERE len(lt) > 0 AND len(ht) > 0)"""
 SQL = {
     "q18_broken_links": _L + r""", p AS (SELECT DISTINCT regexp_replace(regexp_extract(url, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') AS path FROM pages),
 f AS (SELECT page_id, label, regexp_replace(regexp_extract(href, '^([^?#]*)', 1), '/+$', '') AS path FROM l WHERE starts_with(href, '/'))
@@ -141,10 +139,9 @@ SELECT path, count(*) AS n_links, count(DISTINCT page_id) AS n_pages, min(label)
     "q24_citation_coverage": _C + """, k AS (SELECT ref, count(*) AS n_docs FROM c GROUP BY ref), r AS (SELECT CASE WHEN item_id % 2 = 0 THEN item_id + 3 ELSE item_id END::int AS ref, count(*) AS n_records FROM benchmark GROUP BY 1)
 SELECT coalesce(k.ref, r.ref) AS ref, coalesce(n_docs, 0) AS n_docs, coalesce(n_records, 0) AS n_records,
  CASE WHEN n_docs IS NULL THEN 'unused' WHEN n_records IS NULL THEN 'missing' WHEN n_records > 1 THEN 'ambiguous' ELSE 'covered' END AS status FROM k FULL JOIN r ON k.ref = r.ref""",
-    "q25_link_candidates": _L + f""", ht AS (SELECT page_id, ord AS h, {_W.format(x="regexp_replace(raw, '^<[a-z0-9]+>', '')")} AS ht FROM h WHERE starts_with(raw, '<title') OR starts_with(raw, '<h1')),
-lt AS (SELECT page_id, ord AS l, {_W.format(x='label')} AS lt FROM l),
-s AS (SELECT page_id, l, h, round(0.8 * (len(list_intersect(lt, ht)) / least(len(lt), len(ht))::double) + 0.2 / (1 + l)::double, 6) AS score FROM lt JOIN ht USING (page_id) WHERE len(lt) > 0 AND len(ht) > 0)
-SELECT * FROM s WHERE score >= 0.22""",
+    "q25_link_candidates": _CANDIDATES + "SELECT * FROM s WHERE score >= 0.22",
+    "q48_link_matching": _CANDIDATES + """, g AS (SELECT page_id, list([{'score': score, 'h': h, 'l': l}] ORDER BY score DESC, h DESC, l DESC) AS c FROM s WHERE score >= 0.22 GROUP BY page_id),
+k AS (SELECT page_id, unnest(list_reduce(c, lambda a, b: CASE WHEN len(list_filter(a, lambda x: x.h = b[1].h OR x.l = b[1].l)) > 0 THEN a ELSE list_concat(a, b) END)) AS k FROM g) SELECT page_id, k.l AS l, k.h AS h, k.score AS score FROM k""",
     "q26_reference_confidence": _L + r""", n AS (SELECT page_id, count(*) AS n_links, count(*) FILTER (regexp_matches(label, '[,.]$')) AS repaired, count(*) FILTER (length(label) <= 2) AS unresolved FROM l GROUP BY page_id),
 r AS (SELECT page_id, url, trim(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)) AS title, coalesce(n_links, 0) AS n_links, coalesce(repaired, 0) AS repaired, coalesce(unresolved, 0) AS unresolved FROM pages LEFT JOIN n USING (page_id)),
 k AS (SELECT page_id, round(greatest(0.0, least(0.99, (CASE WHEN title <> '' THEN 0.2 ELSE 0 END + CASE WHEN page_id % 3 <> 0 THEN 0.1 ELSE 0 END + CASE WHEN n_links > 0 THEN 0.4 ELSE -0.2 END

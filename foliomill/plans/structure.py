@@ -55,20 +55,22 @@ def q38_turn_islands(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q42_sentence_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Long texts of four sentences or more packed greedily into chunks of at most 190 characters, in order.
 
-    A fold inside the row: each sentence joins the last chunk if it fits and opens a new one otherwise.
+    A fold over the sentences' lengths inside the row: each joins the last chunk if it fits and opens a new one
+    otherwise.
     """
     docs = load(spark, sf_dir, "documents").where(F.length("text") >= LONG)
     parts = F.filter(F.split(T.squeeze(F.col("text")), r"(?<=[.!?]) "), lambda s: s != "")
-    start = F.array().cast("array<string>")
+    rows = docs.select("doc_id", F.transform(parts, F.length).alias("sizes")).where(F.size("sizes") >= 4)
+    state = lambda n, last, longest: F.struct(n.cast("int").alias("n"), last.cast("int").alias("last"), longest.cast("int").alias("longest"))
 
-    def place(chunks, s):
-        last = F.element_at(chunks, -1)
-        fits = (F.size(chunks) > 0) & (F.length(last) + 1 + F.length(s) <= CHUNK)
-        return F.when(fits, F.concat(F.slice(chunks, 1, F.size(chunks) - 1), F.array(F.concat_ws(" ", last, s)))).otherwise(F.concat(chunks, F.array(s)))
+    def place(at, size):
+        joined = at["last"] + 1 + size
+        fits = (at["n"] > 0) & (joined <= CHUNK)
+        last = F.when(fits, joined).otherwise(size)
+        return state(F.when(fits, at["n"]).otherwise(at["n"] + 1), last, F.greatest(at["longest"], last))
 
-    packed = docs.select("doc_id", parts.alias("parts")).where(F.size("parts") >= 4)
-    packed = packed.select("doc_id", F.size("parts").alias("n_sentences"), F.aggregate("parts", start, place).alias("chunks"), "parts")
-    return packed.select("doc_id", "n_sentences", F.size("chunks").alias("n_chunks"), F.array_max(F.transform("chunks", F.length)).alias("longest"))
+    packed = rows.select("doc_id", F.size("sizes").alias("n_sentences"), F.aggregate("sizes", state(F.lit(0), F.lit(0), F.lit(0)), place).alias("at"))
+    return packed.select("doc_id", "n_sentences", F.col("at.n").alias("n_chunks"), F.col("at.longest").alias("longest"))
 
 
 def q45_contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,6 +96,9 @@ def q45_contained_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {q.__name__: q for q in (q02_paragraph_islands, q03_copy_groups, q37_document_stats, q38_turn_islands, q42_sentence_chunks, q45_contained_passages)}
 SQL = {
+    "q42_sentence_chunks": rf"""WITH p AS (SELECT doc_id, list_transform(list_filter(string_split(regexp_replace(trim(regexp_replace(text, '[ \t\r\n]+', ' ', 'g')), '([.!?]) ', '\1' || chr(1), 'g'), chr(1)), lambda s: s <> ''), lambda s: {{'n': 1, 'last': length(s), 'longest': length(s)}}) AS s FROM documents WHERE length(text) >= {LONG}),
+f AS (SELECT doc_id, len(s)::int AS n_sentences, list_reduce(s, lambda a, b: CASE WHEN a.last + 1 + b.last <= {CHUNK} THEN {{'n': a.n, 'last': a.last + 1 + b.last, 'longest': greatest(a.longest, a.last + 1 + b.last)}} ELSE {{'n': a.n + 1, 'last': b.last, 'longest': greatest(a.longest, b.last)}} END) AS k FROM p WHERE len(s) >= 4)
+SELECT doc_id, n_sentences, k.n AS n_chunks, k.longest::int AS longest FROM f""",
     "q02_paragraph_islands": r"""
 WITH l AS (SELECT doc_id, generate_subscripts(parts, 1) AS pos, trim(unnest(parts), ' ' || chr(9) || chr(13)) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents)),
 k AS (SELECT *, lag(line) OVER (PARTITION BY doc_id ORDER BY pos) AS before FROM l WHERE line <> ''),

@@ -35,7 +35,7 @@ def links(pages: DataFrame) -> DataFrame:
     return rows.select("page_id", "ord", F.regexp_extract("raw", r'^<a href="([^"]*)">', 1).alias("href"), F.btrim(F.regexp_extract("raw", r">(.*)$", 1)).alias("label"))
 
 
-@udtf(returnType="ord int, block string, level int, text string, dom_id string, href string, ancestors array<string>")
+@udtf(returnType="ord int, block string, level int, text string, dom_id string, href string, ancestors array<string>", useArrow=True)
 class Slots:
     """Blocks of a page in document order, with the id and link that came with each and the elements around it."""
 
@@ -87,7 +87,5 @@ class _Reader(HTMLParser):
 
 def slots(pages: DataFrame) -> DataFrame:
     """(page_id, ord, block, level, text, dom_id, href, ancestors) by the parser."""
-    spark = pages.sparkSession
-    spark.udtf.register("page_slots", Slots)
-    pages.select("page_id", "html").createOrReplaceTempView("foliomill_pages")
-    return spark.sql("SELECT p.page_id, s.* FROM foliomill_pages p, LATERAL page_slots(p.html) s")
+    found = pages.select("page_id", "html").lateralJoin(Slots(F.col("html").outer()))
+    return found.drop("html")

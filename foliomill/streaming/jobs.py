@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..session import shared_dir
 from ..sources.tables import load
 
 #: What an event makes of a job; hours after which an ended job expires.
@@ -74,7 +74,8 @@ def _update(key, frames, state: GroupState):
     seconds, event, status, n = state.get if state.exists else (-1, -1, "queued", 0)
     for pdf in frames:
         n += len(pdf)
-        last = pdf.sort_values(["seconds", "event_id"]).iloc[-1]
+        newest = pdf[pdf["seconds"] == pdf["seconds"].max()]
+        last = newest.loc[newest["event_id"].idxmax()]
         if (last["seconds"], last["event_id"]) > (seconds, event):
             seconds, event, status = int(last["seconds"]), int(last["event_id"]), str(last["status"])
     state.update((seconds, event, status, n))
@@ -89,8 +90,7 @@ def stream_states(events: DataFrame) -> DataFrame:
 
 def q41_streamed_jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All events through the stream, as far as they are there; the last state of each job.  As q39, but expiry."""
-    given = spark.conf.get("spark.checkpoint.dir", None)
-    folder = f"{given.rstrip('/') if given else 'file://' + tempfile.mkdtemp()}/jobs-{uuid.uuid4().hex[:12]}"
+    folder = f"{shared_dir(spark)}/jobs-{uuid.uuid4().hex[:12]}"
     schema = load(spark, sf_dir, "events").schema
     events = spark.readStream.schema(schema).option("pathGlobFilter", "*.parquet").parquet(f"{sf_dir}/events.parquet" if _is_folder(spark, f"{sf_dir}/events.parquet") else f"{sf_dir}/[e]vents.parquet")
     write = lambda batch, k: batch.withColumn("batch", F.lit(k)).write.mode("overwrite").parquet(f"{folder}/out/batch={k}-of")
