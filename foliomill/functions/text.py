@@ -90,8 +90,17 @@ def split_camel(x) -> Column:
     return F.regexp_replace(x, r"(\p{Ll})(\p{Lu})", "$1 $2")
 
 
+def has_email(x) -> Column:
+    """The pattern begins with an open class and is slow to fail, so the sign is looked for first."""
+    return F.contains(x, F.lit("@")) & x.rlike(EMAIL)
+
+
+def count_emails(x) -> Column:
+    return F.when(F.contains(x, F.lit("@")), count(x, EMAIL)).when(x.isNotNull(), F.lit(0).cast("long"))
+
+
 def strip_emails(x) -> Column:
-    return squeeze(F.regexp_replace(x, EMAIL, ""))
+    return squeeze(F.when(F.contains(x, F.lit("@")), F.regexp_replace(x, EMAIL, "")).otherwise(x))
 
 
 def capital_share(x) -> Column:

@@ -97,8 +97,8 @@ def q07_protected_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def q08_stripped_emails(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents with e-mail addresses, and their text without them."""
-    docs = load(spark, sf_dir, "documents").where(F.col("text").rlike(T.EMAIL))
-    return docs.select("doc_id", T.count(F.col("text"), T.EMAIL).alias("n_emails"), F.md5(T.strip_emails(F.col("text"))).alias("stripped"))
+    docs = load(spark, sf_dir, "documents").where(T.has_email(F.col("text")))
+    return docs.select("doc_id", T.count_emails(F.col("text")).alias("n_emails"), F.md5(T.strip_emails(F.col("text"))).alias("stripped"))
 
 
 def q14_camel_split(spark: SparkSession, sf_dir: str) -> DataFrame:

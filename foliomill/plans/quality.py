@@ -57,7 +57,7 @@ def graded(docs: DataFrame, labels: DataFrame) -> DataFrame:
     rows = cases(docs).join(labels.select("doc_id", "quality", "toxic"), "doc_id", "left").withColumn("strict", F.col("doc_id") % 4 != 0)
     t = F.coalesce(F.col("text"), F.lit(""))
     rule = lambda when, code: F.when(when, F.lit(code))
-    blockers = F.array_compact(F.array(rule(F.col("toxic") == 1, "toxic"), rule(t.rlike(T.EMAIL), "visible_address"), rule(F.length(t) < 20, "placeholder_title")))
+    blockers = F.array_compact(F.array(rule(F.col("toxic") == 1, "toxic"), rule(T.has_email(t), "visible_address"), rule(F.length(t) < 20, "placeholder_title")))
     warnings = F.array_compact(F.array(rule(F.col("quality") == 0, "low_quality"), rule(F.col("bytes") > OVERSIZED, "oversized"), rule(~F.col("lang").isin("en", "de"), "unexpected_language"), rule(~t.contains("\n"), "heading_manual_review")))
     spared = lambda xs, code: F.when(F.col("strict"), xs).otherwise(F.array_remove(xs, code))
     out = rows.select("doc_id", "class", "strict", spared(blockers, "placeholder_title").alias("blockers"), spared(warnings, "heading_manual_review").alias("warnings"))
@@ -87,7 +87,7 @@ def q32_status_maps(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def signals(text: Column) -> list[Column]:
-    return [T.count(text, r"[ ]+[,.;:!?]").alias("spaced"), T.count(text, r"\p{Ll}[.!?]\p{Lu}").alias("joined"), T.count(text, T.EMAIL).alias("emails"), F.length(text).cast("long").alias("chars")]
+    return [T.count(text, r"[ ]+[,.;:!?]").alias("spaced"), T.count(text, r"\p{Ll}[.!?]\p{Lu}").alias("joined"), T.count_emails(text).alias("emails"), F.length(text).cast("long").alias("chars")]
 
 
 def q33_signal_deltas(spark: SparkSession, sf_dir: str) -> DataFrame:
