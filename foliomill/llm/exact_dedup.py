@@ -81,15 +81,6 @@ def exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     )
 
 
-def keep_by_id(docs: DataFrame, kept: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """Rows of docs whose id is in `kept`, in docs' own columns.  A row that repeats id and all is returned once."""
-    ids = kept.select(F.col(id_col).alias("__id")).distinct()
-    found = docs.join(ids, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi")
-    repeated = docs.groupBy(F.col(id_col).alias("__id")).count().where("count > 1").select("__id")
-    once = found.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_anti")
-    return once.unionByName(found.join(repeated, F.col(id_col).eqNullSafe(F.col("__id")), "left_semi").dropDuplicates())
-
-
 def keep_rows(docs: DataFrame, kept: DataFrame, digest: Column, id_col: str = "doc_id") -> DataFrame:
     """Rows of docs whose id and text digest are together in `kept` (id, digest), in docs' own columns.  `digest` makes
     it of docs.  Of rows that repeat both, one is returned."""

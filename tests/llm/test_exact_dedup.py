@@ -1,6 +1,8 @@
 import hashlib
 from collections import defaultdict
 
+from pyspark.sql import functions as F
+
 from foliomill.llm import exact_dedup as E
 
 
@@ -34,8 +36,8 @@ def test_misra_gries_keeps_what_is_frequent():
     assert len(m.counts) <= 3 and {"a", "b"} <= set(m.counts)
 
 
-def test_keeping_by_id_returns_repeated_rows_once(docs):
+def test_keeping_rows_returns_repeated_rows_once(docs):
     kept = E.exact_copies(docs).where("kept")
-    out = E.keep_by_id(docs, kept)
+    out = E.keep_rows(docs, kept.select("doc_id", "text_sha256"), F.sha2(F.coalesce("text", F.lit("")), 256))
     assert out.columns == docs.columns
     assert sorted(str(r["doc_id"]) for r in out.collect()) == sorted(str(r["doc_id"]) for r in kept.collect())

@@ -5,7 +5,7 @@ import zlib
 from collections import Counter
 
 import corpus_pipeline as C
-from foliomill.llm import entry, exact_dedup
+from foliomill.llm import entry
 from foliomill.llm.tokens import by_library, public_path
 
 
@@ -91,10 +91,6 @@ def test_stages(spark, sf_dir):
     assert pieces == {i: len(by_library(public_path("byte_bpe_50k.json"), t or "")) + 1 for i, t in left.items()}
 
 
-def test_keeping_by_id(docs):
-    assert exact_dedup.keep_by_id(docs, docs.select("doc_id").limit(0)).count() == 0
-
-
 def test_odd_rows(spark, docs, empty, tmp_path):
     for frame in (docs, empty):
         folder = f"file://{tmp_path}/{frame is docs}"
