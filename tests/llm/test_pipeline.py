@@ -44,7 +44,7 @@ def languages(rows):
         if words:
             best = max(names, key=lambda lang: score[lang] + prior[lang])
             sure = {lang: score[lang] * (min(n, 30) / n if n else 0) + prior[lang] for lang in names}
-            if 1 / sum(math.exp(v - sure[best]) for v in sure.values()) >= 0.5:
+            if 1 / sum(math.exp(v - sure[best]) for v in sure.values()) >= C.SURE:
                 kept.add(i)
     return kept
 
