@@ -150,6 +150,11 @@ def _keyed(batches):
             yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(rows + at))], names=["key", "node"])
 
 
+def spread(nodes: DataFrame) -> DataFrame:
+    """Dealt to as many tasks as a shuffle has: a row is small and has many keys, so few tasks read many rows."""
+    return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
+
+
 def merged(of: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
     """(node, component) of nodes that `of` or links (a, b) join."""
     spark = links.sparkSession
@@ -242,7 +247,7 @@ def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -
         finer = [F.xxhash64(F.col("key"), F.lit(k), F.col("node").bitwiseAND(F.lit(m))) for k, m in enumerate(bit_parts(level))]
         return rows.select(F.explode(F.array(*finer)).alias("key"), "node", "component", "rank")
 
-    keys = fps.select(F.col("fp").alias("node")).mapInArrow(_keyed, "key long, node long")
+    keys = spread(fps.select(F.col("fp").alias("node"))).mapInArrow(_keyed, "key long, node long")
     roots = linked(keys, f"bit_count(node ^ node_2) <= {bits}", scratch, split=split)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
@@ -380,7 +385,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = scratch.keep(pairs, "pairs")
-        ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
         for sets in made:
             ends = ends.join(sets.select("node"), "node", "left_anti")
         texts = scratch.keep(nodes.join(ends, "node", "left_semi").select("digest"), "texts")
@@ -390,7 +395,7 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         return linking(pairs, jaccard, scratch)
 
     near = " + ".join(f"bit_count({c} ^ {c}_2)" for c in WIDE) + f" <= {most}"
-    keys = nodes.select("node", *WIDE, *ANCHORS).mapInArrow(_wide_keyed, "key long, node long")
+    keys = spread(nodes.select("node", *WIDE, *ANCHORS)).mapInArrow(_wide_keyed, "key long, node long")
     roots = linked(keys, near, scratch, nodes.select("node", *WIDE), verify)
     rooted = scratch.keep(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
