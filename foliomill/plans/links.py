@@ -81,7 +81,11 @@ def q48_link_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     A fold over each page's own few candidates inside the row.
     """
-    each = q25_link_candidates(spark, sf_dir).groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("score", "h", "l")), asc=False).alias("c"))
+    return matched(q25_link_candidates(spark, sf_dir))
+
+
+def matched(candidates: DataFrame) -> DataFrame:
+    each = candidates.groupBy("page_id").agg(F.sort_array(F.collect_list(F.struct("score", "h", "l")), asc=False).alias("c"))
     none = F.array().cast("array<struct<score: double, h: int, l: int>>")
 
     def place(kept, c):

@@ -1,6 +1,5 @@
 """Functions and operators on small inputs made for each case."""
 
-import pandas as pd
 from pyspark.sql import functions as F
 
 from foliomill.functions import status as S
@@ -73,9 +72,9 @@ def test_citation_ranges(spark):
     assert sorted((r["doc_id"], r["ref"]) for r in links.citations(docs).collect()) == [(1, 1), (1, 2), (1, 3)]
 
 
-def test_greedy_matching_takes_each_once():
-    rows = pd.DataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.3)], columns=["page_id", "l", "h", "score"])
-    assert sorted(map(tuple, links._greedy(rows)[["l", "h"]].to_numpy().tolist())) == [(0, 0), (1, 1)]
+def test_greedy_matching_takes_each_once(spark):
+    rows = spark.createDataFrame([(1, 0, 0, 0.9), (1, 0, 1, 0.8), (1, 1, 0, 0.85), (1, 1, 1, 0.3), (2, 0, 0, 0.5), (2, 0, 1, 0.5)], "page_id long, l int, h int, score double")
+    assert sorted((r["page_id"], r["l"], r["h"]) for r in links.matched(rows).collect()) == [(1, 0, 0), (1, 1, 1), (2, 0, 1)]
 
 
 def test_outline_prefers_nested_under_containers(spark):
