@@ -201,7 +201,7 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         before, of = of, merged(of, verify(stars.groupBy("a", "b").agg(F.max("turn").alias("turn"))), scratch)
         left = open_.where("node <> node_2").select("key", "node", "n", *cols).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = scratch.keep(left.join(several, "key"), "rest")
+        rest = scratch.keep(left.join(several, "key", "left_semi"), "rest")
         scratch.drop(groups)
         scratch.drop(heads)
         last = split is not None and level == SPLITS
