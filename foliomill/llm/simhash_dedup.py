@@ -199,25 +199,28 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         open_ = groups.drop("n", "rank").join(heads, "key")
         stars = open_.where("component <> component_2").where(near).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), F.struct("turn", "node").alias("turn"))
         before, of = of, merged(of, verify(stars.groupBy("a", "b").agg(F.max("turn").alias("turn"))), scratch)
-        left = open_.where("node <> node_2").select("key", "node", "n", *cols).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = left.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        rest = scratch.keep(left.join(several, "key", "left_semi"), "rest")
+        left = open_.where("node <> node_2").select("key", "node", "n", *cols).join(of, "node", "left")
+        left = scratch.keep(left.withColumn("component", F.coalesce("component", "node")), "left")
         scratch.drop(groups)
         scratch.drop(heads)
         last = split is not None and level == SPLITS
-        few = rest if last else rest.where(F.col("n") <= CROWD)
+        few = left if last else left.where(F.col("n") <= CROWD)
         second = few.select("key", *(F.col(c).alias(c + "_2") for c in ["node", "component", *cols]))
         pairs = few.join(second, "key").where("node < node_2 and component <> component_2").where(near)
         pairs = pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
         of = merged(of, verify(pairs.withColumn("turn", F.struct(F.lit(0).cast("long").alias("turn"), F.col("b").alias("node")))), scratch)
-        many = rest.where(F.col("n") > CROWD).drop("n", "component")
-        if last or (level and split is None and of is before) or many.isEmpty():
+        if last or (level and split is None and of is before):
+            return of
+        many = left.where(F.col("n") > CROWD).select("key", "node", *cols).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        several = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
+        many = scratch.keep(many.join(several, "key", "left_semi"), "many")
+        scratch.drop(left)
+        if many.isEmpty():
             return of
         sizes = of.groupBy("component").agg(F.count("*").alias("size"))
-        many = many.join(of, "node", "left").withColumn("component", F.coalesce("component", "node")).join(sizes, "component", "left")
+        many = many.join(sizes, "component", "left")
         many = many.select("key", "node", "component", *cols, F.struct(-F.coalesce("size", F.lit(1)), F.xxhash64("node", F.lit(level))).alias("rank"))
         groups, level = scratch.keep(split(many, level) if split else many, "groups"), level + 1
-        scratch.drop(rest)
 
 
 def linking(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
