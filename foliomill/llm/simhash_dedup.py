@@ -199,7 +199,7 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         open_ = groups.drop("n", "rank").join(heads, "key")
         stars = open_.where("component <> component_2").where(near).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), F.struct("turn", "node").alias("turn"))
         before, of = of, merged(of, verify(stars.groupBy("a", "b").agg(F.max("turn").alias("turn"))), scratch)
-        left = open_.where("node <> node_2").select("key", "node", "n", *cols).join(of, "node", "left")
+        left = open_.where("node <> node_2 and n > 2").select("key", "node", "n", *cols).join(of, "node", "left")
         left = scratch.keep(left.withColumn("component", F.coalesce("component", "node")), "left")
         scratch.drop(groups)
         scratch.drop(heads)
