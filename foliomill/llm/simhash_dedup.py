@@ -208,10 +208,13 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         second = few.select("key", *(F.col(c).alias(c + "_2") for c in ["node", "component", *cols]))
         pairs = few.join(second, "key").where("node < node_2 and component <> component_2").where(near)
         pairs = pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
+        labels = of
         of = merged(of, verify(pairs.withColumn("turn", F.struct(F.lit(0).cast("long").alias("turn"), F.col("b").alias("node")))), scratch)
         if last or (level and split is None and of is before):
             return of
-        many = left.where(F.col("n") > CROWD).select("key", "node", *cols).join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        many = left.where(F.col("n") > CROWD).drop("n")
+        if of is not labels:
+            many = many.drop("component").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
         many = scratch.keep(many.join(several, "key", "left_semi"), "many")
         scratch.drop(left)
