@@ -59,6 +59,11 @@ def in_small_batches(spark: SparkSession, rows: int = 256) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(8 << 20))
 
 
+def in_large_batches(spark: SparkSession) -> None:
+    """Arrow batches of rows of a few numbers."""
+    in_small_batches(spark, 1 << 16)
+
+
 def connected_components(spark: SparkSession, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """Columns (node, component) from links (a, b): component is the smallest node reachable.
 

@@ -13,9 +13,10 @@ At most 4 differing bits over segments A, B and C (pigeonhole) leave these keys,
 
 Keys have 30 bits or more.  Every pair within 4 bits meets under some key, and each is verified.
 
-Only distinct fingerprints are joined.  The one under a key that shares most keys with others is linked to those that
-verify, which is linear and settles dense groups.  Keys that still hold several components are compared pair by pair where they are small; if
-they are larger, they are split into finer keys, of which a linked pair shares one, and so on.
+Only distinct fingerprints are compared.  Rows (key, node) are dealt by key, and the task that has all nodes of a key finds
+their components, in blocks of bit counts; pairs are never made as rows.  A task gives one row for each node that it linked.
+Nodes are compared with those that their component hasn't reached yet, which is linear in dense groups.  Crowded keys of
+several components are first split into finer keys, of which a linked pair shares one.  Nothing is left out.
 """
 
 from __future__ import annotations
@@ -31,13 +32,17 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, in_small_batches, load, text_or_empty
+from .common import Scratch, connected_components, in_large_batches, in_small_batches, load, text_or_empty
 
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
-#: Nodes under one key up to which its pairs are compared, and how often larger keys are split.
-CROWD, SPLITS = 24, 4
+#: Nodes that are compared at once; more under one key are split, at most this often.
+CROWD, SPLITS = 512, 4
+#: Nodes under one key up to which `linked` compares its pairs.
+FEW = 24
+#: Rows of keys that a task reads, on average.
+KEY_ROWS = 1 << 21
 #: Widths of the segments A, B and C.
 SEGMENTS = (23, 23, 18)
 #: For similarities: segments of 23 of the 256 bits, one for each table of keys; odd numbers that mix hashes.
@@ -176,7 +181,7 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
     near: SQL over node and the columns of of_node (node, ...), and over the same of the other side, which end in _2.
     verify: of near pairs (a, b, turn), a < b, those that are links, or links that join the same nodes; turn is how many
     nodes the pivot shares keys with, and the node that is compared with it.
-    Each key costs a pair for each of its nodes, with the node that shares most keys with others, and CROWD pairs for
+    Each key costs a pair for each of its nodes, with the node that shares most keys with others, and FEW pairs for
     each node where its nodes are then of several components.  Larger keys of several components go on in rounds.
     With `split`, which of rows (key, node, ...) and the number of the round makes such rows with finer keys, one of
     which the two nodes of a link have in common, no link is lost; what is larger still after SPLITS rounds is compared
@@ -204,7 +209,7 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         scratch.drop(groups)
         scratch.drop(heads)
         last = split is not None and level == SPLITS
-        few = left if last else left.where(F.col("n") <= CROWD)
+        few = left if last else left.where(F.col("n") <= FEW)
         second = few.select("key", *(F.col(c).alias(c + "_2") for c in ["node", "component", *cols]))
         pairs = few.join(second, "key").where("node < node_2 and component <> component_2").where(near)
         pairs = pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
@@ -212,7 +217,7 @@ def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | No
         of = merged(of, verify(pairs.withColumn("turn", F.struct(F.lit(0).cast("long").alias("turn"), F.col("b").alias("node")))), scratch)
         if last or (level and split is None and of is before):
             return of
-        many = left.where(F.col("n") > CROWD).drop("n")
+        many = left.where(F.col("n") > FEW).drop("n")
         if of is not labels:
             many = many.drop("component").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
         several = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
@@ -244,17 +249,113 @@ def bit_parts(level: int, parts: int = BITS + 1) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
+def bit_components(x: np.ndarray, most: int) -> np.ndarray:
+    """For each row of (n, k) words the first row that steps of at most `most` bits lead to.
+
+    Each row is compared once with the rows that no component has reached by then.
+    """
+    root, left = np.full(len(x), -1, np.int64), np.arange(len(x))
+    while len(left):
+        start, front, left = left[0], left[:1], left[1:]
+        root[start] = start
+        while len(front) and len(left):
+            hit, step, at = np.zeros(len(left), bool), 1, 0
+            while at < len(front):
+                rest = np.flatnonzero(~hit)
+                if not len(rest):
+                    break
+                step = max(1, (1 << 18) // len(rest))
+                apart = sum(np.bitwise_count(x[front[at : at + step], k, None] ^ x[left[rest], k]).astype(np.int16) for k in range(x.shape[1]))
+                hit[rest[(apart <= most).any(axis=0)]] = True
+                at += step
+            front, left = left[hit], left[~hit]
+            root[front] = start
+    return root
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) as (node, least node reachable), without those that are the least themselves."""
+    nodes, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    a, b, label = at[: len(a)], at[len(a) :], np.arange(len(nodes))
+    while len(a):
+        low, high = np.minimum(label[a], label[b]), np.maximum(label[a], label[b])
+        np.minimum.at(label, high, low)
+        while (label[label] != label).any():
+            label = label[label]
+        apart = label[a] != label[b]
+        a, b = a[apart], b[apart]
+    moved = np.flatnonzero(label != np.arange(len(nodes)))
+    return nodes[moved], nodes[label[moved]]
+
+
+def key_links(keys: np.ndarray, nodes: np.ndarray, x: np.ndarray, most: int, crowd: int, splits: int = 0, level: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Links (a, b) that join the same nodes as all pairs under one key whose words x differ in at most `most` bits.
+
+    Keys are first settled by the bits to their first node; what that leaves apart is compared, and while `splits` allow
+    it, crowds are split by parts of the bits, one of which a pair has in common (for one word and at most BITS bits).
+    """
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    starts = np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+    sizes = np.diff(starts, append=len(keys))
+    order, sizes = order[np.repeat(sizes > 1, sizes)], sizes[sizes > 1]
+    if not len(sizes):
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    nodes, x, starts = nodes[order], x[order], np.cumsum(sizes) - sizes
+    head = np.repeat(starts, sizes)
+    near = np.bitwise_count(x ^ x[head]).sum(axis=1, dtype=np.int64) <= most
+    a, b = [nodes[near]], [nodes[head[near]]]
+    for g in np.flatnonzero((np.add.reduceat(~near, starts) > 0) & (sizes > 2)).tolist():
+        at = slice(int(starts[g]), int(starts[g] + sizes[g]))
+        if sizes[g] > crowd and level < splits:
+            for mask in bit_parts(level):
+                finer = key_links(x[at, 0].view(np.int64) & np.int64(mask), nodes[at], x[at], most, crowd, splits, level + 1)
+                a.append(finer[0])
+                b.append(finer[1])
+        else:
+            a.append(nodes[at])
+            b.append(nodes[at][bit_components(x[at], most)])
+    return np.concatenate(a), np.concatenate(b)
+
+
+def gathered(batches) -> list[np.ndarray] | None:
+    """The long columns of all batches."""
+    parts = [[c.to_numpy(zero_copy_only=False) for c in b.columns] for b in batches if b.num_rows]
+    return [np.concatenate(c) for c in zip(*parts)] if parts else None
+
+
+def _linked(most: int, crowd: int, splits: int):
+    def run(batches):
+        columns = gathered(batches)
+        if columns is not None:
+            x = np.stack(columns[2:] or columns[1:2], axis=1).view(np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in forest(*key_links(columns[0], columns[1], x, most, crowd, splits))], names=["a", "b"])
+
+    return run
+
+
+def in_parts(spark: SparkSession, rows: int, each: int) -> int:
+    """Tasks for so many rows: as many as a shuffle has, or more, so that none reads many more than `each`."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows // each))
+
+
+def key_components(keys: DataFrame, rows: int, most: int, scratch: Scratch, splits: int = 0) -> DataFrame:
+    """(node, component) of nodes joined by pairs under one of about `rows` keys (key, node, words...) that differ in at
+    most `most` bits; without words the node is the word."""
+    spark = keys.sparkSession
+    links = keys.repartition(in_parts(spark, rows, KEY_ROWS), "key").mapInArrow(_linked(most, CROWD, splits), "a long, b long")
+    in_large_batches(spark)
+    found = scratch.keep(links, "links")
+    in_small_batches(spark)
+    return connected_components(spark, found, scratch)
+
+
 def fingerprint_components(fps: DataFrame, scratch: Scratch, bits: int = BITS) -> DataFrame:
     """(fp, root) for distinct fingerprints: root is the least fingerprint reachable by steps of at most `bits` <= 4 bits."""
     if bits > BITS:
         raise ValueError("the keys find pairs of at most 4 differing bits")
-
-    def split(rows: DataFrame, level: int) -> DataFrame:
-        finer = [F.xxhash64(F.col("key"), F.lit(k), F.col("node").bitwiseAND(F.lit(m))) for k, m in enumerate(bit_parts(level))]
-        return rows.select(F.explode(F.array(*finer)).alias("key"), "node", "component", "rank")
-
     keys = spread(fps.select(F.col("fp").alias("node"))).mapInArrow(_keyed, "key long, node long")
-    roots = linked(keys, f"bit_count(node ^ node_2) <= {bits}", scratch, split=split)
+    roots = key_components(keys, 117 * fps.count(), bits, scratch, SPLITS)
     return fps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", F.coalesce("component", "fp").alias("root"))
 
 

@@ -174,3 +174,40 @@ def test_similar_copies_are_those_by_brute_force(spark):
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     found = {r["doc_id"]: r["component_id"] for r in S.similar_copies(frame).collect()}
     assert found == {k: least[r] for k, r in enumerate(root)}
+
+
+@pytest.mark.parametrize("crowd", (4, 10_000))
+def test_a_crowded_key_is_settled_whole(crowd):
+    """One key of a star, of a chain whose ends are far apart and of lone words: nodes are linked as by all pairs, and
+    with few rows."""
+    rng = np.random.default_rng(4)
+    star = [int(rng.integers(1 << 62))]
+    star += [star[0] ^ sum(1 << int(b) for b in rng.choice(64, 4, replace=False)) for _ in range(80)]
+    chain = [int(rng.integers(1 << 62))]
+    for _ in range(15):
+        chain.append(chain[-1] ^ sum(1 << (4 * (len(chain) - 1) + k) for k in range(4)))
+    fps = np.unique(np.array([*star, *chain, *rng.integers(0, 1 << 62, 60).tolist()], np.uint64)).view(np.int64)
+    links = S.forest(*S.key_links(np.zeros(len(fps), np.int64), fps, fps.view(np.uint64)[:, None], 4, crowd, S.SPLITS))
+    root = components(fps.tolist())
+    least = {}
+    for f, r in zip(fps.tolist(), root):
+        least[r] = min(f, least.get(r, f))
+    assert dict(zip(*(x.tolist() for x in links))) == {f: least[r] for f, r in zip(fps.tolist(), root) if f != least[r]}
+    assert len(links[0]) < len(fps)
+
+
+def test_no_join_is_made_under_a_key(spark):
+    """Rows of crowded keys meet in a task: no join of keys or of their labels, whose rows grow with the group's square."""
+    rng = np.random.default_rng(6)
+    base = int(rng.integers(1 << 62))
+    fps = {base ^ sum(1 << int(b) for b in rng.choice(62, 5, replace=False)) for _ in range(300)}
+    from foliomill.llm.common import Scratch
+
+    kept = []
+    scratch = Scratch(spark, "t")
+    keep = scratch.keep
+    scratch.keep = lambda df, name, codec="zstd": kept.append(name) or keep(df, name, codec)
+    root = components(sorted(fps))
+    found = {r["fp"]: r["root"] for r in S.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), scratch).collect()}
+    assert len(set(found.values())) == len(set(root))
+    assert not {"pool", "groups", "heads", "left", "many"} & set(kept)
