@@ -22,8 +22,7 @@ several components are first split into finer keys, of which a linked pair share
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
-from functools import lru_cache, reduce
+from functools import lru_cache
 from itertools import combinations
 
 import numpy as np
@@ -37,12 +36,11 @@ from .common import Scratch, connected_components, in_large_batches, in_small_ba
 WORDS, SEED, BITS = 4, 42, 4
 #: Fixed value: a generator polynomial of the binary Golay code, x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GOLAY = 0b110001110101
-#: Nodes that are compared at once; more under one key are split, at most this often.
+#: Nodes that are compared at once; more under one key are split, at most this often, and more
+#: sets are dealt in blocks.
 CROWD, SPLITS = 512, 4
-#: Nodes under one key up to which `linked` compares its pairs.
-FEW = 24
-#: Rows of keys that a task reads, on average.
-KEY_ROWS = 1 << 21
+#: Rows of keys and shingles that a task reads, on average; and the most shingles of a block of sets.
+KEY_ROWS, SET_ROWS, BLOCK = 1 << 21, 1 << 21, 1 << 22
 #: Widths of the segments A, B and C.
 SEGMENTS = (23, 23, 18)
 #: For similarities: segments of 23 of the 256 bits, one for each table of keys; odd numbers that mix hashes.
@@ -160,88 +158,6 @@ def spread(nodes: DataFrame) -> DataFrame:
     return nodes.repartition(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node")
 
 
-def merged(of: DataFrame | None, links: DataFrame, scratch: Scratch) -> DataFrame:
-    """(node, component) of nodes that `of` or links (a, b) join."""
-    spark = links.sparkSession
-    if of is None:
-        return scratch.keep(connected_components(spark, links, scratch), "components")
-    ends = links.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left")
-    bridges = scratch.keep(ends.select(F.coalesce("of_a", "a").alias("a"), F.coalesce("of_b", "b").alias("b")).where("a <> b").distinct(), "bridges")
-    if bridges.isEmpty():
-        return of
-    roots = scratch.keep(connected_components(spark, bridges, scratch).toDF("component", "root"), "roots")
-    lone = roots.select(F.col("component").alias("node"), "component").join(of, "node", "left_anti")
-    return scratch.keep(of.unionByName(lone).join(roots, "component", "left").select("node", F.coalesce("root", "component").alias("component")), "components")
-
-
-def linked(keys: DataFrame, near: str, scratch: Scratch, of_node: DataFrame | None = None, verify: Callable[[DataFrame], DataFrame] = lambda pairs: pairs, split: Callable[[DataFrame, int], DataFrame] | None = None) -> DataFrame:
-    """(node, component) of nodes that links join; links are the pairs under one of `keys` (key, node) that are near and
-    that `verify` keeps.
-
-    near: SQL over node and the columns of of_node (node, ...), and over the same of the other side, which end in _2.
-    verify: of near pairs (a, b, turn), a < b, those that are links, or links that join the same nodes; turn is how many
-    nodes the pivot shares keys with, and the node that is compared with it.
-    Each key costs a pair for each of its nodes, with the node that shares most keys with others, and FEW pairs for
-    each node where its nodes are then of several components.  Larger keys of several components go on in rounds.
-    With `split`, which of rows (key, node, ...) and the number of the round makes such rows with finer keys, one of
-    which the two nodes of a link have in common, no link is lost; what is larger still after SPLITS rounds is compared
-    across components there.  Without it each round compares a key's nodes with one more pivot, from its smallest
-    components, and takes that out, until no key is left or no round finds a link.
-    """
-    cols = [c for c in of_node.columns if c != "node"] if of_node is not None else []
-    heads = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    pool = scratch.keep(keys.join(heads, "key"), "pool")
-    rank = pool.groupBy("node").agg(F.sum("n").alias("rank"))
-    wide = pool.join(rank, "node") if of_node is None else pool.join(rank.join(of_node, "node"), "node")
-    groups = scratch.keep(wide.withColumn("component", F.col("node")), "groups")
-    scratch.drop(pool)
-    of, level = None, 0
-    while True:
-        best = F.max(F.struct("rank", "node", "component", *cols)).alias("best")
-        heads = groups.groupBy("key").agg(F.count("*").alias("n"), best, F.min("component").alias("lo"), F.max("component").alias("hi")).where("n > 1 and lo <> hi")
-        turn = (F.col("best.rank") if not level else F.lit(0)).cast("long").alias("turn")
-        heads = scratch.keep(heads.select("key", "n", turn, *(F.col("best." + c).alias(c + "_2") for c in ["node", "component", *cols])), "heads")
-        open_ = groups.drop("n", "rank").join(heads, "key")
-        stars = open_.where("component <> component_2").where(near).select(F.least("node", "node_2").alias("a"), F.greatest("node", "node_2").alias("b"), F.struct("turn", "node").alias("turn"))
-        before, of = of, merged(of, verify(stars.groupBy("a", "b").agg(F.max("turn").alias("turn"))), scratch)
-        left = open_.where("node <> node_2 and n > 2").select("key", "node", "n", *cols).join(of, "node", "left")
-        left = scratch.keep(left.withColumn("component", F.coalesce("component", "node")), "left")
-        scratch.drop(groups)
-        scratch.drop(heads)
-        last = split is not None and level == SPLITS
-        few = left if last else left.where(F.col("n") <= FEW)
-        second = few.select("key", *(F.col(c).alias(c + "_2") for c in ["node", "component", *cols]))
-        pairs = few.join(second, "key").where("node < node_2 and component <> component_2").where(near)
-        pairs = pairs.select(F.col("node").alias("a"), F.col("node_2").alias("b")).distinct()
-        labels = of
-        of = merged(of, verify(pairs.withColumn("turn", F.struct(F.lit(0).cast("long").alias("turn"), F.col("b").alias("node")))), scratch)
-        if last or (level and split is None and of is before):
-            return of
-        many = left.where(F.col("n") > FEW).drop("n")
-        if of is not labels:
-            many = many.drop("component").join(of, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        several = many.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("key")
-        many = scratch.keep(many.join(several, "key", "left_semi"), "many")
-        scratch.drop(left)
-        if many.isEmpty():
-            return of
-        sizes = of.groupBy("component").agg(F.count("*").alias("size"))
-        many = many.join(sizes, "component", "left")
-        many = many.select("key", "node", "component", *cols, F.struct(-F.coalesce("size", F.lit(1)), F.xxhash64("node", F.lit(level))).alias("rank"))
-        groups, level = scratch.keep(split(many, level) if split else many, "groups"), level + 1
-
-
-def linking(pairs: DataFrame, verify: Callable[[DataFrame], DataFrame], scratch: Scratch) -> DataFrame:
-    """Verified links (a, b) that join the same nodes as all verified pairs (a, b, turn) do: each node is verified against
-    its most central pivot first, and then only pairs whose ends these links leave apart."""
-    first = pairs.groupBy("turn.node").agg(F.max(F.struct("turn.turn", "a", "b")).alias("p")).select("p.a", "p.b").distinct()
-    links = scratch.keep(verify(first), "first")
-    of = scratch.keep(connected_components(pairs.sparkSession, links, scratch), "joined")
-    apart = pairs.join(of.toDF("a", "of_a"), "a", "left").join(of.toDF("b", "of_b"), "b", "left").where(F.coalesce("of_a", "a") != F.coalesce("of_b", "b"))
-    rest = scratch.keep(apart.select("a", "b").join(first, ["a", "b"], "left_anti"), "apart")
-    return links if rest.isEmpty() else scratch.keep(links.unionByName(verify(rest)), "verified")
-
-
 def bit_parts(level: int, parts: int = BITS + 1) -> list[int]:
     """Masks that share out the 64 bits; two fingerprints within BITS bits agree under one of them."""
     order = np.random.default_rng(level).permutation(64).tolist()
@@ -439,17 +355,132 @@ def _sets(words: int, seed: int):
         for b in batches:
             sets = [shingle_set(t, words, seed) for t in b.column(0).to_pylist()]
             nodes = pa.array(np.array([d for _, d in sets], np.uint64).view(np.int64))
-            yield pa.RecordBatch.from_arrays([nodes, pa.array([s.view(np.int64) for s, _ in sets], pa.list_(pa.int64()))], names=["node", "shingles"])
+            yield pa.RecordBatch.from_arrays([nodes, b.column(1), pa.array([s.tobytes() for s, _ in sets], pa.binary())], names=["node", "part", "shingles"])
 
     return run
 
 
+def set_components(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set of distinct hashes the first one that steps of this Jaccard similarity or more lead to.
+
+    Each set is compared once, by itself, with the sets that no component has reached by then.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    ids = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    ends = np.cumsum(sizes)
+    own = [ids[e - n : e] for e, n in zip(ends.tolist(), sizes.tolist())]
+    flags = np.zeros(int(ids.max(initial=-1)) + 1, bool)
+    root, left = np.full(len(sets), -1, np.int64), np.arange(len(sets))
+    flat, stops = ids, ends
+    while len(left):
+        start, front = left[0], [left[0]]
+        gone = left == start
+        root[start] = start
+        while front:
+            if gone.sum() * 4 >= len(left):
+                left = left[~gone]
+                flat = np.concatenate([own[i] for i in left.tolist()] or [ids[:0]])
+                stops, gone = np.cumsum(sizes[left]), np.zeros(len(left), bool)
+            if not len(left):
+                break
+            f = front.pop()
+            flags[own[f]] = True
+            counts = np.concatenate([[0], np.cumsum(flags[flat])])
+            flags[own[f]] = False
+            shared = counts[stops] - counts[stops - sizes[left]]
+            hit = ~gone & (shared / np.maximum(sizes[f] + sizes[left] - shared, 1) >= similarity)
+            root[left[hit]] = start
+            front += left[hit].tolist()
+            gone |= hit
+        if gone.any():
+            left = left[~gone]
+            flat = np.concatenate([own[i] for i in left.tolist()] or [ids[:0]])
+            stops = np.cumsum(sizes[left])
+    return root
+
+
+def _similar(similarity: float):
+    """(a, b) that join what the sets of each part of (part, node, shingles) do."""
+
+    def run(batches):
+        parts, nodes, sets = [], [], []
+        for b in batches:
+            parts += b.column(0).to_pylist()
+            nodes += b.column(1).to_pylist()
+            sets += [np.frombuffer(s, np.uint64) for s in b.column(2).to_pylist()]
+        order = np.argsort(np.array(parts, np.int64), kind="stable")
+        cuts = np.flatnonzero(np.diff(np.array(parts, np.int64)[order])) + 1
+        nodes, a, b = np.array(nodes, np.int64), [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for of in np.split(order, cuts) if len(order) else []:
+            found = set_components([sets[i] for i in of.tolist()], similarity)
+            a.append(nodes[of])
+            b.append(nodes[of[found]])
+        a, b = forest(np.concatenate(a), np.concatenate(b))
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], names=["a", "b"])
+
+    return run
+
+
+def _starred(similarity: float):
+    """Whether each set of (part, node, shingles, pivot, its shingles, ...) has the similarity to the pivot's."""
+
+    def run(batches):
+        for b in batches:
+            near = []
+            for s, p in zip(b.column(2).to_pylist(), b.column(4).to_pylist()):
+                s, p = np.frombuffer(s, np.uint64), np.frombuffer(p, np.uint64)
+                shared = len(np.intersect1d(s, p, assume_unique=True))
+                near.append(shared / max(len(s) + len(p) - shared, 1) >= similarity)
+            yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(4)), pa.array(near, pa.bool_())], names=["part", "node", "shingles", "pivot", "main"])
+
+    return run
+
+
+def set_links(sets: DataFrame, similarity: float, scratch: Scratch) -> DataFrame:
+    """Links (a, b) that join the same nodes as all pairs of one part of (node, part, shingles) whose sets have this
+    Jaccard similarity.
+
+    The sets of a part meet in one task.  Those of a large part are first compared with one of them, and unless that
+    joins all, dealt in blocks, of which each two meet in a task; two blocks of sets that it joined needn't.  So every
+    pair that may still join something is compared, however large a part is: the time of a large part grows with its
+    square, the rows with its number of blocks.
+    """
+    spark = sets.sparkSession
+    weight = (F.length("shingles") / 8).cast("long")
+    sizes = scratch.keep(sets.groupBy("part").agg(F.count("*").alias("n"), F.sum(weight).alias("w")), "sizes")
+    total = sizes.agg(F.sum("w")).first()[0] or 0
+    crowded = sizes.where((F.col("n") > CROWD) | (F.col("w") > BLOCK))
+    many = crowded.agg(F.count("*").alias("n"), F.sum("w").alias("w")).first()
+    similar = lambda rows, w: rows.repartition(in_parts(spark, w, SET_ROWS), "part").mapInArrow(_similar(similarity), "a long, b long")
+    if not many["n"]:
+        return similar(sets.select("part", "node", "shingles"), total)
+    small = sets.join(crowded.select("part"), "part", "left_anti").select("part", "node", "shingles")
+    large = sets.join(crowded.select("part"), "part", "left_semi").select("part", "node", "shingles")
+    pivots = large.groupBy("part").agg(F.min(F.struct(F.xxhash64("node").alias("by"), "node")).alias("first")).select("part", F.col("first.node").alias("pivot"))
+    pivots = pivots.join(large.select(F.col("node").alias("pivot"), F.col("shingles").alias("pivot_shingles")), "pivot").select("part", "pivot", "pivot_shingles")
+    starred = large.join(pivots, "part").select("part", "node", "shingles", "pivot", "pivot_shingles")
+    starred = scratch.keep(starred.mapInArrow(_starred(similarity), "part long, node long, shingles binary, pivot long, main boolean"), "starred")
+    stars = starred.where("main").select(F.col("node").alias("a"), F.col("pivot").alias("b"))
+    block = F.least(F.greatest(F.col("w") / 8, CROWD * F.col("w") / F.col("n")), F.lit(BLOCK))
+    counts = starred.groupBy("part").agg(F.count("*").alias("n"), F.sum(weight).alias("w"), F.sum(F.when(F.col("main"), weight).otherwise(0)).alias("w_main"), F.count_if("main").alias("n_main"))
+    counts = counts.where("n_main < n").select(
+        "part", F.greatest(F.lit(1), F.ceil((F.col("w") - F.col("w_main")) / block)).cast("int").alias("rest"), F.ceil(F.col("w_main") / block).cast("int").alias("mains")
+    )
+    dealt = starred.join(counts, "part")
+    at = F.when(F.col("main"), F.col("rest") + F.pmod(F.xxhash64("node", F.lit(1)), F.greatest("mains", F.lit(1)))).otherwise(F.pmod(F.xxhash64("node", F.lit(1)), F.col("rest"))).cast("int")
+    others = F.sequence(F.lit(0), F.when(F.col("main"), F.col("rest")).otherwise(F.col("rest") + F.col("mains")) - 1)
+    dealt = dealt.withColumn("at", at).withColumn("other", F.explode(others)).where("at <> other or rest + mains = 1")
+    dealt = dealt.select(F.xxhash64("part", F.least("at", "other"), F.greatest("at", "other")).alias("part"), "node", "shingles")
+    return similar(small, total).unionByName(stars).unionByName(similar(dealt, 16 * many["w"]))
+
+
 def _wide_keyed(batches):
     for b in batches:
         found = np.stack([b.column(k).to_numpy(zero_copy_only=False) for k in range(1, 5 + TABLES)], axis=1)
         for at in range(0, len(found), 4096):
             rows, keys = anchored_keys(found[at : at + 4096, :4], np.ascontiguousarray(found[at : at + 4096, 4:]))
-            yield pa.RecordBatch.from_arrays([pa.array(keys), b.column(0).take(pa.array(rows + at))], names=["key", "node"])
+            of = pa.array(rows + at)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), *(b.column(k).take(of) for k in range(5))], names=["key", "node", *WIDE])
 
 
 def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 5, similarity: float = 0.8, seed: int = SEED) -> DataFrame:
@@ -459,8 +490,8 @@ def similar_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     At 0.8 two 64-bit fingerprints differ in some 10 bits, beyond what the exact keys can find.  So sets have four
     fingerprints of other mixings, 256 bits; Golay keys of eleven segments, each beside a shingle that the sets' order
     picks, propose pairs (of similarity 0.8: 99.9 in 100, of 0.9: all but one in 100,000), those that differ in more
-    bits than one in 30,000 such pairs does are left out, and the rest is decided by the sets themselves.  Equal sets are linked
-    first.  Null and empty texts are alike, texts of any length are read whole, and other cases are as in near_copies.
+    bits than one in 30,000 such pairs does are left out.  Texts that the rest joins, however many, are compared all with
+    all by their sets, which alone decide (see set_links).  Equal sets are linked first.  Null and empty texts are alike, texts of any length are read whole, and other cases are as in near_copies.
     """
     return similar_rows(docs, id_col, text_col, words, similarity, seed).select(F.col("id").alias(id_col), "component_id")
 
@@ -480,30 +511,13 @@ def similar_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), digest(text_col).alias("digest"))
     prints = scratch.keep(rows.mapInArrow(_wide(words, seed), "id long, digest long, node long, " + ", ".join(c + " long" for c in WIDE + ANCHORS)), "prints")
     nodes = scratch.keep(prints.groupBy("node").agg(F.min("id").alias("least"), *(F.min(c).alias(c) for c in ["digest", *WIDE, *ANCHORS])), "nodes")
-
-    made: list[DataFrame] = []  # the sets of nodes that were near another, made once for each node
-
-    def jaccard(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sets have the similarity."""
-        sets = reduce(DataFrame.unionByName, made)
-        both = pairs.join(sets.toDF("a", "set_a"), "a").join(sets.toDF("b", "set_b"), "b")
-        shared = F.size(F.array_intersect("set_a", "set_b"))
-        return both.where(shared / (F.size("set_a") + F.size("set_b") - shared) >= similarity).select(*pairs.columns)
-
-    def verify(pairs: DataFrame) -> DataFrame:
-        pairs = scratch.keep(pairs, "pairs")
-        ends = pairs.select(F.col("a").alias("node")).distinct().union(pairs.select("b").distinct()).distinct()
-        for sets in made:
-            ends = ends.join(sets.select("node"), "node", "left_anti")
-        texts = scratch.keep(nodes.join(ends, "node", "left_semi").select("digest"), "texts")
-        if not made or not texts.isEmpty():
-            found = rows.join(texts, "digest", "left_semi").select("text").mapInArrow(_sets(words, seed), "node long, shingles array<long>")
-            made.append(scratch.keep(found.groupBy("node").agg(F.first("shingles").alias("shingles")), "sets"))
-        return linking(pairs, jaccard, scratch)
-
-    near = " + ".join(f"bit_count({c} ^ {c}_2)" for c in WIDE) + f" <= {most}"
-    keys = spread(nodes.select("node", *WIDE, *ANCHORS)).mapInArrow(_wide_keyed, "key long, node long")
-    roots = linked(keys, near, scratch, nodes.select("node", *WIDE), verify)
+    keys = spread(nodes.select("node", *WIDE, *ANCHORS)).mapInArrow(_wide_keyed, ", ".join(c + " long" for c in ["key", "node", *WIDE]))
+    parts = key_components(keys, 60 * nodes.count(), most, scratch)
+    texts = scratch.keep(parts.join(nodes.select("node", "digest"), "node").select("digest", F.col("component").alias("part")), "texts")
+    found = rows.join(texts, "digest").select("text", "part").mapInArrow(_sets(words, seed), "node long, part long, shingles binary")
+    sets = scratch.keep(found.groupBy("node").agg(F.first("part").alias("part"), F.first("shingles").alias("shingles")), "sets")
+    links = scratch.keep(set_links(sets, similarity, scratch), "similar")
+    roots = connected_components(spark, links, scratch)
     rooted = scratch.keep(nodes.join(roots, "node", "left").select("node", "least", F.coalesce("component", "node").alias("root")), "rooted")
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     named = scratch.keep(rooted.join(ids, "root").select("node", "root", "component_id"), "named")

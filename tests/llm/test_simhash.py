@@ -211,3 +211,33 @@ def test_no_join_is_made_under_a_key(spark):
     found = {r["fp"]: r["root"] for r in S.fingerprint_components(spark.createDataFrame([(f,) for f in fps], "fp long"), scratch).collect()}
     assert len(set(found.values())) == len(set(root))
     assert not {"pool", "groups", "heads", "left", "many"} & set(kept)
+
+
+def test_pairs_at_the_edge_of_a_large_group_are_linked(spark):
+    """Four hundred texts around one, of similarities below 0.8, and five of them with a twin: no pivot is near the
+    twins, which share crowded keys only."""
+    import random
+
+    rng = random.Random(21)
+    base = [f"w{k}" for k in range(200)]
+    texts = []
+    for k in range(400):
+        words = list(base)
+        for j, at in enumerate((rng.randint(8, 45), rng.randint(55, 95), rng.randint(105, 145), rng.randint(155, 190))):
+            words[at] = f"x{k}-{j}-{rng.randint(0, 10**6)}"
+        texts.append(words)
+    for k in range(0, 400, 80):
+        words = list(texts[k])
+        words[2] = f"y{k}"
+        texts.append(words)
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in texts]
+    root = list(range(len(texts)))
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]):
+                root = [root[j] if r == root[i] else r for r in root]
+    least = {r: min(k for k, x in enumerate(root) if x == r) for r in root}
+    frame = spark.createDataFrame([(k, " ".join(w)) for k, w in enumerate(texts)], "doc_id long, text string")
+    found = {r["doc_id"]: r["component_id"] for r in S.similar_copies(frame).collect()}
+    assert found == {k: least[r] for k, r in enumerate(root)}
+    assert all(found[400 + k] == found[80 * k] for k in range(5)) and len(set(root)) > 100
