@@ -32,10 +32,10 @@ class Scratch:
     def __init__(self, spark: SparkSession, name: str):
         self.spark, self.root, self.n = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex[:12]}", 0
 
-    def keep(self, df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
+    def keep(self, df: DataFrame, name: str, codec: str = "zstd", **options) -> DataFrame:
         self.n += 1
         path = f"{self.root}/{self.n:03d}-{name}"
-        df.write.option("compression", codec).parquet(path)
+        df.write.options(compression=codec, **options).parquet(path)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.scratch_path = path
         return out

@@ -8,6 +8,10 @@ compared with all rows, in blocks; while the graphs find too few of their links,
 fails the audit too, every vector is compared with all leaders, which is exact.  Searches of many vectors advance
 together, one hop at a time, so that the work is in matrix operations.
 
+A task holds one shard at a time and a few hundred of the rows that query it: graphs are written in small pieces, which
+are sorted before the rows that query them, and both are read as a stream.  Vectors given in single precision stay so
+until they're compared.
+
 A query reports how many members it links to and one edge per group: members join a leader only if they are linked to
 it for certain, by more than single precision can be wrong, so groups are connected, and edges stay few however dense a
 group is.
@@ -15,7 +19,6 @@ group is.
 
 from __future__ import annotations
 
-import io
 import math
 
 import numpy as np
@@ -23,17 +26,21 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Scratch, connected_components, load
+from .common import Scratch, connected_components, in_small_batches, load
 
 #: Least cosine of a link; least number of shards and most rows of one; neighbours per vector (twice that on the lowest
 #: layer); beam at insertion.
 LINK, SHARDS, SHARD_ROWS, DEGREE, BUILD_BEAM = 0.95, 6, 200_000, 12, 48
+#: Most numbers in the vectors of a shard: long vectors need more shards.
+SHARD_NUMBERS = 1 << 24
 #: First beam of the queries, the widest one, rows of the audit sample and the recall that it must show.
 BEAM, WIDEST, AUDIT_ROWS, RECALL = 32, 1024, 2000, 0.995
 #: What a cosine in single precision may be off by.
 SLACK = 1e-5
 #: Vectors that search together, and vectors of one query block.
 TOGETHER, QUERY_BLOCK = 512, 1 << 18
+#: Bytes that tell which leaders a search has seen; bytes of a piece of a graph, and of a row group of pieces.
+SEEN, PIECE, PIECES = 1 << 26, 1 << 16, 8 << 20
 
 
 class Graph:
@@ -48,6 +55,10 @@ class Graph:
     def search(self, queries: np.ndarray, entries: np.ndarray, beam: int, layer: int) -> tuple[np.ndarray, np.ndarray]:
         """(ids, cosines) of the best `beam` leaders found for each query, best first, -1 where there are fewer."""
         n, links, x = len(queries), self.links[layer], self.x
+        most = max(1, SEEN // len(x))
+        if n > most:
+            parts = [self.search(queries[k : k + most], entries[k : k + most], beam, layer) for k in range(0, n, most)]
+            return tuple(np.concatenate(a) for a in zip(*parts))
         ids = np.full((n, beam), -1, np.int64)
         sims = np.full((n, beam), -np.inf, np.float32)
         done = np.zeros((n, beam), bool)
@@ -116,9 +127,9 @@ class Graph:
         levels = np.floor(-np.log(self.rng.random(len(new))) / math.log(self.degree)).astype(int)
         top = int(levels.max())
         for k, links in enumerate(self.links):
-            self.links[k] = np.concatenate([links, np.full((len(new), links.shape[1]), -1, np.int64)])
+            self.links[k] = np.concatenate([links, np.full((len(new), links.shape[1]), -1, np.int32)])
         while len(self.links) <= top:
-            self.links.append(np.full((len(self.x), self.degree * (1 + (not self.links))), -1, np.int64))
+            self.links.append(np.full((len(self.x), self.degree * (1 + (not self.links))), -1, np.int32))
         for k in range(top + 1):
             at = np.nonzero(levels >= k)[0]
             if k == 0:
@@ -176,12 +187,13 @@ class Graph:
                 links[node, : len(both)] = both
             else:
                 full.append((node, both))
-        if full:
-            width = max(len(b) for _, b in full)
-            ids = np.full((len(full), width), -1, np.int64)
-            for k, (_, b) in enumerate(full):
-                ids[k, : len(b)] = b
-            nodes = np.array([node for node, _ in full])
+        for k in range(0, len(full), TOGETHER // 4):
+            some = full[k : k + TOGETHER // 4]
+            width = max(len(b) for _, b in some)
+            ids = np.full((len(some), width), -1, np.int64)
+            for j, (_, b) in enumerate(some):
+                ids[j, : len(b)] = b
+            nodes = np.array([node for node, _ in some])
             sims = np.where(ids >= 0, np.einsum("nkd,nd->nk", self.x[np.maximum(ids, 0)], self.x[nodes]), -np.inf)
             order = np.argsort(-sims, axis=1, kind="stable")
             picked = self.diverse(self.x[nodes], np.take_along_axis(ids, order, axis=1), np.take_along_axis(sims, order, axis=1), links.shape[1])
@@ -205,121 +217,225 @@ def unit(vectors: list, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]
     return out, ok
 
 
-def build(ids: np.ndarray, x: np.ndarray, link: float = LINK) -> bytes:
-    """The graph of a shard with its members, grouped by leader, as bytes."""
+def sizes(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """What `unit` divides each row by, the peak first; vectors in double precision are unit vectors already."""
+    peak, norm = np.ones(len(x)), np.ones(len(x))
+    if x.dtype == np.float32:
+        for k in range(0, len(x), 4096):
+            y = x[k : k + 4096].astype(np.float64)
+            peak[k : k + 4096] = np.abs(y).max(axis=1, initial=0)
+            norm[k : k + 4096] = np.linalg.norm(y / peak[k : k + 4096, None], axis=1)
+    return peak, norm
+
+
+def directions(x: np.ndarray) -> np.ndarray:
+    """Unit vectors in double precision of vectors that have a direction."""
+    peak, norm = sizes(x)
+    return x / peak[:, None] / norm[:, None]
+
+
+def build(ids: np.ndarray, x: np.ndarray, link: float = LINK) -> dict[str, np.ndarray]:
+    """The graph of a shard with its members, grouped by leader."""
     g, leader, at = Graph(x.shape[1], join=link + SLACK), np.empty(len(x), np.int64), 0
     order = np.argsort(ids, kind="stable")
-    ids, x = ids[order], x[order]
-    small = x.astype(np.float32)
     while at < len(x):
         n = min(TOGETHER, max(16, at // 4), len(x) - at)
-        leader[at : at + n] = g.insert(small[at : at + n])
+        leader[at : at + n] = g.insert(directions(x[order[at : at + n]]).astype(np.float32))
         at += n
+    ids = ids[order]
     by = np.argsort(leader, kind="stable")
     first = np.searchsorted(leader[by], np.arange(len(g.x) + 1))
     heads = np.full(len(g.x), 0, np.int64)
     heads[leader[::-1]] = ids[::-1]  # the first member of a group is its leader
-    buffer = io.BytesIO()
-    np.savez(buffer, ids=ids[by], x=x[by], first=first, heads=heads, leaders=g.x, entry=g.entry, layers=len(g.links), **{f"links{k}": v.astype(np.int32) for k, v in enumerate(g.links)})
-    return buffer.getvalue()
+    links = {f"links{k}": v for k, v in enumerate(g.links)}
+    return {"ids": ids[by], "x": x[order[by]], "first": first, "heads": heads, "leaders": g.x, "top": np.array([g.entry, len(g.links)]), **links}
 
 
 class Shard:
     """A built graph, ready to be queried."""
 
-    def __init__(self, data: bytes):
-        z = np.load(io.BytesIO(data))
+    def __init__(self, z: dict[str, np.ndarray]):
         self.ids, self.x, self.first, self.heads = z["ids"], z["x"], z["first"], z["heads"]
+        self.peak, self.norm = sizes(self.x)
         self.graph = Graph(self.x.shape[1])
-        self.graph.x, self.graph.entry = z["leaders"], int(z["entry"])
-        self.graph.links = [z[f"links{k}"].astype(np.int64) for k in range(int(z["layers"]))]
+        self.graph.x, self.graph.entry = z["leaders"], int(z["top"][0])
+        self.graph.links = [z[f"links{k}"] for k in range(int(z["top"][1]))]
 
     def links(self, ids: np.ndarray, x: np.ndarray, beam: int | None, link: float = LINK):
-        """For each query how many members it links to, itself left out, and (query, leader) edges.  Without a beam all
-        leaders are compared.
+        """For each query how many members it links to, itself left out, and edges: queries' ids and leaders' ids.
+        Without a beam all leaders are compared, as they are where the widest beam may have missed some.
 
         A member of at least cosine `link` to the query is within the angles of link and group of the leader.
         """
         reach = math.cos(min(math.pi, 2 * math.acos(link))) - 1e-4
-        counts, edges = np.zeros(len(x), np.int64), []
+        counts, edges = np.zeros(len(x), np.int64), [(np.empty(0, np.int64), np.empty(0, np.int64))]
         if not len(self.x):
-            return counts, edges
-        for at in range(0, len(x), TOGETHER):
-            q, qi = x[at : at + TOGETHER], ids[at : at + TOGETHER]
-            todo, width = np.arange(len(q)), min(beam or 0, len(self.graph.x))
-            found: list[tuple[np.ndarray, np.ndarray]] = []
-            if beam is None:
-                for k in range(0, len(self.graph.x), 1 << 16):
-                    r, c = np.nonzero(q.astype(np.float32) @ self.graph.x[k : k + (1 << 16)].T >= reach)
-                    found.append((r, c + k))
-                todo = todo[:0]
-            while len(todo):  # a beam whose last leader is still within reach may have missed others
-                near, sims = self.graph.near(q[todo].astype(np.float32), width)
-                short = (sims[:, -1] >= reach) & (near[:, -1] >= 0) & (width < len(self.graph.x))
-                r, c = np.nonzero((sims >= reach) & (near >= 0) & ~short[:, None])
-                found.append((todo[r], near[r, c]))
-                todo, width = todo[short], min(2 * width, len(self.graph.x))
-            rows, groups = (np.concatenate(a) for a in zip(*found))
+            return counts, edges[0]
+        leaders = self.graph.x
+
+        def verify(q, qi, rows, groups):
+            """Compares queries with the members of groups in double precision."""
             by = np.argsort(groups, kind="stable")
             rows, groups = rows[by], groups[by]
             cut = np.nonzero(np.diff(groups, prepend=-1))[0]
             for a, b in zip(cut, [*cut[1:], len(groups)]):
                 g, r = groups[a], rows[a:b]
                 lo, hi = self.first[g], self.first[g + 1]
+                some = np.zeros(len(r), bool)
                 for m in range(lo, hi, 4096):
-                    linked = q[r] @ self.x[m : min(hi, m + 4096)].T >= link
-                    linked &= qi[r][:, None] != self.ids[None, m : min(hi, m + 4096)]
+                    to = slice(m, min(hi, m + 4096))
+                    linked = q[r] @ (self.x[to] / self.peak[to, None] / self.norm[to, None]).T >= link
+                    linked &= qi[r][:, None] != self.ids[None, to]
                     counts[at + r] += linked.sum(axis=1)
-                    edges += [(int(i), int(self.heads[g])) for i in qi[r[linked.any(axis=1)]]]
-        return counts, edges
+                    some |= linked.any(axis=1)
+                if some.any():
+                    edges.append((qi[r[some]], np.full(some.sum(), self.heads[g])))
+
+        for at in range(0, len(x), TOGETHER):
+            q, qi = x[at : at + TOGETHER], ids[at : at + TOGETHER]
+            todo, width = np.arange(len(q)), min(beam or 0, len(leaders))
+            while beam is not None and len(todo):  # a beam whose last leader is still within reach may have missed others
+                near, sims = self.graph.near(q[todo].astype(np.float32), width)
+                short = (sims[:, -1] >= reach) & (near[:, -1] >= 0) & (width < len(leaders))
+                r, c = np.nonzero((sims >= reach) & (near >= 0) & ~short[:, None])
+                verify(q, qi, todo[r], near[r, c])
+                todo = todo[short]
+                if 2 * width > WIDEST:
+                    break
+                width = min(2 * width, len(leaders))
+            for k in range(0, len(leaders) if len(todo) else 0, 1 << 13):
+                r, c = np.nonzero(q[todo].astype(np.float32) @ leaders[k : k + (1 << 13)].T >= reach)
+                verify(q, qi, todo[r], c + k)
+        return counts, tuple(np.concatenate(a) for a in zip(*edges))
 
 
-def _unit_rows(dim: int):
+def _unit_rows(dim: int, single: bool):
+    """Vectors with a direction as bytes: unit vectors, or as they are where they're in single precision."""
+
     def run(batches):
         for b in batches:
-            x, ok = unit(b.column(1).to_pylist(), dim)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([v.tobytes() if k else None for v, k in zip(x, ok)], pa.binary())], names=["id", "unit"])
+            given = b.column(1).to_pylist()
+            x, ok = unit(given, dim)
+            kept = [(np.array(v, np.float32) if single else u).tobytes() if k else None for v, u, k in zip(given, x, ok)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(kept, pa.binary())], names=["id", "unit"])
 
     return run
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array([np.frombuffer(v) for v in column])
+def _matrix(column, single: bool) -> np.ndarray:
+    return np.frombuffer(b"".join(column), np.float32 if single else np.float64).reshape(len(column), -1)
 
 
-def _build(link: float):
-    def run(pdf):
-        import pandas as pd
+def pieces(arrays: dict[str, np.ndarray]):
+    """(name, type, length, width, bytes) of arrays, a few rows of one at a time; width 0 for a flat one."""
+    for name, a in arrays.items():
+        step = max(1, PIECE // (a.itemsize * math.prod(a.shape[1:])))
+        for k in range(0, len(a), step):
+            yield name, a.dtype.str, len(a), a.shape[1] if a.ndim > 1 else 0, a[k : k + step].tobytes()
+
+
+class Pieces:
+    """Arrays that are put together from their pieces, which come in order."""
 
-        return pd.DataFrame({"shard": [pdf["shard"].iloc[0]], "graph": [build(pdf["id"].to_numpy(), _matrix(pdf["unit"]), link)]})
+    def __init__(self):
+        self.arrays: dict[str, np.ndarray] = {}
+        self.at: dict[str, int] = {}
+
+    def add(self, name: str, kind: str, length: int, width: int, data: bytes) -> None:
+        if name not in self.arrays:
+            self.arrays[name], self.at[name] = np.empty((length, width) if width else length, kind), 0
+        piece = np.frombuffer(data, kind).reshape((-1, width) if width else -1)
+        self.arrays[name][self.at[name] : self.at[name] + len(piece)] = piece
+        self.at[name] += len(piece)
+
+
+GRAPHS = "shard int, seq int, name string, kind string, length long, width int, data binary"
+
+
+def _build(link: float, single: bool):
+    """Rows of (shard, id, unit), sorted by shard, to pieces of graphs."""
+
+    def graph(shard, parts):
+        ids, x = (np.concatenate(a) for a in zip(*parts))
+        parts.clear()
+        for k, p in enumerate(pieces(build(ids, x, link))):
+            yield pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip((shard, k, *p), (pa.int32(), pa.int32(), pa.string(), pa.string(), pa.int64(), pa.int32(), pa.binary()))], names=["shard", "seq", "name", "kind", "length", "width", "data"])
+
+    def run(batches):
+        shard, parts = None, []
+        for b in batches:
+            of = b.column(0).to_numpy()
+            cut = [0, *(np.nonzero(np.diff(of))[0] + 1).tolist(), len(of)]
+            for lo, hi in zip(cut, cut[1:]):
+                if hi == lo:
+                    continue
+                if parts and of[lo] != shard:
+                    yield from graph(shard, parts)
+                shard = int(of[lo])
+                parts.append((b.column(1).slice(lo, hi - lo).to_numpy().copy(), _matrix(b.column(2).slice(lo, hi - lo).to_pylist(), single)))
+        if parts:
+            yield from graph(shard, parts)
 
     return run
 
 
 def _query(beam: int | None, link: float):
-    def run(key, graphs, rows):
+    """Answers some rows (id, unit: their directions) that query a shard."""
+
+    def run(key, shard, rows):
         import pandas as pd
 
-        if not len(graphs) or not len(rows):
-            return pd.DataFrame({"id": pd.Series([], dtype="int64"), "n": pd.Series([], dtype="int64"), "heads": pd.Series([], dtype=object)})
         ids = rows["id"].to_numpy()
-        counts, edges = Shard(graphs["graph"].iloc[0]).links(ids, _matrix(rows["unit"]), beam, link)
-        heads: dict[int, list[int]] = {}
-        for i, h in edges:
-            if h != i:
-                heads.setdefault(i, []).append(h)
+        counts, (a, b) = shard.links(ids, np.stack(rows["unit"]), beam, link)
+        a, b = a[a != b], b[a != b]
+        by = np.lexsort((b, a))
+        a, b = a[by], b[by]
         some = counts > 0
-        return pd.DataFrame({"id": ids[some], "n": counts[some], "heads": pd.Series([sorted(set(heads.get(i, []))) for i in ids[some].tolist()], dtype=object)})
+        heads = [np.unique(b[lo:hi]) for lo, hi in zip(np.searchsorted(a, ids[some]), np.searchsorted(a, ids[some], "right"))]
+        return pd.DataFrame({"id": ids[some], "n": counts[some], "heads": pd.Series(heads, dtype=object)})
+
+    return run
+
+
+def _serve(query, single: bool):
+    """Pieces of graphs, each graph's followed by the rows that query it, to answers of `query`."""
+    schema = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("heads", pa.list_(pa.int64()))])
+
+    def run(batches):
+        import pandas as pd
+
+        key, graph, shard = None, Pieces(), None
+        for b in batches:
+            keys = list(zip(b.column(0).to_pylist(), b.column(1).to_pylist()))
+            heads = list(zip(*(b.column(k).to_pylist() for k in (3, 4, 5, 6))))
+            at = 0
+            while at < len(keys):
+                if keys[at] != key:
+                    key, graph, shard = keys[at], Pieces(), None
+                if heads[at][0] is not None:
+                    graph.add(*heads[at], b.column(7)[at].as_py())
+                    at += 1
+                    continue
+                end = at + 1
+                while end < min(len(keys), at + TOGETHER) and keys[end] == key:
+                    end += 1
+                if graph.arrays:
+                    shard = shard or Shard(graph.arrays)
+                    x = directions(_matrix(b.column(7).slice(at, end - at).to_pylist(), single))
+                    rows = pd.DataFrame({"id": b.column(8).slice(at, end - at).to_numpy(), "unit": list(x)})
+                    out = query(key, shard, rows)
+                    yield pa.RecordBatch.from_arrays([pa.array(out[f.name].tolist(), f.type) for f in schema], schema=schema)
+                at = end
 
     return run
 
 
-def _exact(sample_ids: np.ndarray, sample: np.ndarray, link: float):
+def _exact(sample_ids: np.ndarray, sample: np.ndarray, link: float, single: bool):
     def run(batches):
         total = np.zeros(len(sample_ids), np.int64)
         for b in batches:
-            ids, x = b.column(0).to_numpy(), _matrix(b.column(1).to_pylist())
-            if len(x):
+            if b.num_rows:
+                ids, x = b.column(0).to_numpy(), directions(_matrix(b.column(1).to_pylist(), single))
                 total += ((sample @ x.T >= link) & (sample_ids[:, None] != ids[None, :])).sum(axis=1)
         yield pa.RecordBatch.from_arrays([pa.array(sample_ids), pa.array(total)], names=["id", "n"])
 
@@ -336,26 +452,32 @@ def link_embeddings(embeddings: DataFrame, id_col: str = "vec_id", vector_col: s
     """
     spark = embeddings.sparkSession
     scratch = Scratch(spark, "hnsw")
+    in_small_batches(spark, 2 * TOGETHER)
     base = embeddings.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v"))
     lengths = base.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n")).where("dim > 0").orderBy(F.desc("n"), F.desc("dim")).first()
-    rows = scratch.keep(base.mapInArrow(_unit_rows(lengths["dim"] if lengths else 0), "id long, unit binary"), "units")
+    dim, single = lengths["dim"] if lengths else 0, base.schema["v"].dataType.elementType.typeName() == "float"
+    rows = scratch.keep(base.mapInArrow(_unit_rows(dim, single), "id long, unit binary"), "units")
     sound = rows.where("id is not null and unit is not null")
     n = sound.count()
-    shards = max(shards, -(-n // SHARD_ROWS))
+    shards = max(shards, -(-n // SHARD_ROWS), -(-n * dim // SHARD_NUMBERS))
     dealt = sound.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int"))
-    graphs = scratch.keep(dealt.groupBy("shard").applyInPandas(_build(link), "shard int, graph binary"), "graphs")
+    ordered = dealt.select("shard", "id", "unit").repartition("shard").sortWithinPartitions("shard")
+    graphs = scratch.keep(ordered.mapInArrow(_build(link, single), GRAPHS), "graphs", **{"parquet.block.size": PIECES})
     blocks = max(1, -(-n // QUERY_BLOCK))
     in_blocks = lambda df: df.select("*", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("to")).withColumn("block", F.pmod(F.xxhash64("id", F.lit(1)), F.lit(blocks)))
-    served = graphs.select("graph", F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"))
+    served = graphs.select(F.col("shard").alias("to"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))).alias("block"), "seq", "name", "kind", "length", "width", "data", F.lit(None).cast("long").alias("id"))
 
-    def ask(queries: DataFrame, width: int) -> DataFrame:
-        return served.groupBy("to", "block").cogroup(in_blocks(queries).groupBy("to", "block")).applyInPandas(_query(width, link), "id long, n long, heads array<long>")
+    def ask(queries: DataFrame, width: int | None) -> DataFrame:
+        none = [F.lit(None).cast(t).alias(c) for c, t in (("name", "string"), ("kind", "string"), ("length", "long"), ("width", "int"))]
+        asked = in_blocks(queries).select("to", "block", F.lit((1 << 31) - 1).alias("seq"), *none, F.col("unit").alias("data"), "id")  # after all pieces
+        both = served.unionByName(asked).repartition("to", "block").sortWithinPartitions("to", "block", "seq")
+        return both.mapInArrow(_serve(_query(width, link), single), "id long, n long, heads array<long>")
 
     # the audit: a bounded random sample of rows against all rows; those that have links must find theirs
     sample = sound.orderBy(F.xxhash64("id", F.lit(2))).limit(AUDIT_ROWS).collect()
     if sample and beam is not None:
-        ids, x = np.array([r["id"] for r in sample], np.int64), _matrix([r["unit"] for r in sample])
-        true = {r["id"]: r["n"] for r in sound.mapInArrow(_exact(ids, x, link), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
+        ids, x = np.array([r["id"] for r in sample], np.int64), directions(_matrix([r["unit"] for r in sample], single))
+        true = {r["id"]: r["n"] for r in sound.mapInArrow(_exact(ids, x, link, single), "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).where("n > 0").collect()}
         picked = sound.join(F.broadcast(spark.createDataFrame([(int(i),) for i in true], "id long")), "id", "left_semi")
         while true and beam is not None:
             found = {r["id"]: r["n"] for r in ask(picked, beam).groupBy("id").agg(F.sum("n").alias("n")).collect()}

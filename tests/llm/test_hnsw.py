@@ -89,6 +89,47 @@ def test_a_failed_audit_ends_in_exact_blocks(spark, monkeypatch):
     assert [found[i]["n_links"] for i in ids.tolist()] == true.tolist() and [found[i]["component_id"] for i in ids.tolist()] == least
 
 
+def test_tasks_hold_a_shard_in_pieces(spark, monkeypatch):
+    """No row holds a whole graph, and no search gets more than a few of the rows that query a shard."""
+    ids, x = clustered(3000)
+    x = x.astype(np.float32)
+    wide = x.astype(np.float64)
+    true, _ = brute(ids, wide / np.linalg.norm(wide, axis=1, keepdims=True))
+    kept = {}
+
+    def few(query):
+        def run(key, graphs, rows):
+            assert len(rows) <= 512
+            return query(key, graphs, rows)
+
+        return run
+
+    monkeypatch.setattr(H, "_query", lambda beam, link, f=H._query: few(f(beam, link)))
+    monkeypatch.setattr(H.Scratch, "keep", lambda self, df, name, *a, f=H.Scratch.keep, **b: kept.setdefault(name, f(self, df, name, *a, **b)) if name == "graphs" else f(self, df, name, *a, **b))
+    frame = spark.createDataFrame([(int(i), [float(v) for v in r]) for i, r in zip(ids, x)], "vec_id long, embedding array<float>")
+    found = {r["vec_id"]: r["n_links"] for r in H.link_embeddings(frame, shards=3).collect()}
+    counts = np.array([found[i] for i in ids.tolist()])
+    assert (counts <= true).all() and counts.sum() >= 0.99 * true.sum()
+    binary = [c for c, t in kept["graphs"].dtypes if t == "binary"]
+    assert max(r[0] for c in binary for r in kept["graphs"].selectExpr(f"length({c})").collect()) <= 1 << 16
+
+
+def test_crowded_leaders_are_compared_in_blocks(monkeypatch):
+    """All leaders are within reach of every query: beams stay bounded, and no link is lost."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(2500, 64))
+    x = np.sqrt(0.12) * x / np.linalg.norm(x, axis=1, keepdims=True)
+    x[:, 0] += np.sqrt(0.88)
+    x[1::9] = x[::9] + 0.01 * rng.normal(size=x[::9].shape)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    ids, widths = np.arange(len(x)), []
+    true, _ = brute(ids, x)
+    shard = H.Shard(H.build(ids, x))
+    monkeypatch.setattr(H.Graph, "near", lambda self, q, beam, f=H.Graph.near: widths.append(beam) or f(self, q, beam))
+    counts = shard.links(ids[:200], x[:200], 32)[0]
+    assert counts.tolist() == true[:200].tolist() and max(widths) <= H.WIDEST
+
+
 def test_empty(spark):
     assert H.link_embeddings(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 
