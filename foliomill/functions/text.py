@@ -17,6 +17,8 @@ PUNCTUATION = ",.;:!?"
 UNITS = ("kg", "cm", "mm", "km", "ml", "GB", "MB")
 #: Letters with diacritics and what they fold to.
 FOLD_FROM, FOLD_TO = "áàâäãåçéèêëíìîïñóòôöõúùûüýÿąćęńśźż", "aaaaaaceeeeiiiinooooouuuuyyacenszz"
+#: Letters whose capital is one letter although Java writes two.
+ONE_FROM, ONE_TO = "ßᾀᾁᾂᾃᾄᾅᾆᾇᾐᾑᾒᾓᾔᾕᾖᾗᾠᾡᾢᾣᾤᾥᾦᾧᾳῃῳ", "ẞᾈᾉᾊᾋᾌᾍᾎᾏᾘᾙᾚᾛᾜᾝᾞᾟᾨᾩᾪᾫᾬᾭᾮᾯᾼῌῼ"
 
 
 def trim_space(x) -> Column:
@@ -33,6 +35,12 @@ def words(x) -> Column:
     return F.filter(F.split(squeeze(x), " "), lambda w: w != "")
 
 
+def capitalise(x) -> Column:
+    """The first character as a capital, one for one as in SQL: one without a single capital stays."""
+    first, up = F.substring(x, 1, 1), F.upper(F.substring(x, 1, 1))
+    return F.concat(F.when(F.length(up) == 1, up).otherwise(F.translate(first, ONE_FROM, ONE_TO)), F.substr(x, F.lit(2)))
+
+
 def letters_only(x) -> Column:
     """Words of letters, as they are."""
     return F.regexp_extract_all(x, F.lit(r"\p{L}+"), 0)

@@ -29,8 +29,7 @@ def blocks(docs: DataFrame) -> DataFrame:
     one, a page's number or a title that breaks off; some paragraphs begin with an inline label.
     """
     x, k = F.col("x"), (F.col("doc_id") + F.col("pos")) % 12
-    first = F.regexp_extract("x", r"^((?:[^ ]+ ){0,2}[^ ]+)", 1)
-    first = F.concat(F.upper(F.substring(first, 1, 1)), F.substr(first, F.lit(2)))
+    first = T.capitalise(F.regexp_extract("x", r"^((?:[^ ]+ ){0,2}[^ ]+)", 1))
     head = lambda element, text: F.struct(F.lit(0).alias("at"), F.lit(element).alias("element"), text.alias("text"))
     heads = F.when(F.col("pos") == 0, head("h1", first)).when(k == 0, head("h2", first)).when(k == 1, head("h3", F.concat(F.lit("Figure 3 "), T.fold_diacritics(first)))).when(k == 2, head("p", F.regexp_replace(first, r"[.,;:!?]", "")))
     heads = heads.when(k == 3, head("h2", F.lit("Overview"))).when(k == 4, head("h3", F.concat(F.lit("1.2 "), first))).when(k == 6, head("h2", F.concat(F.lit("page "), F.col("pos").cast("string")))).when(k == 7, head("h3", F.concat(first, F.lit(" of the"))))
