@@ -3,8 +3,10 @@
 import duckdb
 import pytest
 from oracle import rows_of
+from pyspark.sql import functions as F
 
 from foliomill import catalog
+from foliomill.plans import lexicon
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
 
@@ -25,3 +27,25 @@ def test_headings_that_begin_with_a_letter_whose_capital_is_two(name, spark, tmp
     rows = [(k, "\n".join(lines[k:] + lines[:k]), f"s{k % 3}", "de") for k in range(len(lines))]
     found, expected = both(spark, tmp_path, name, rows)
     assert found == expected
+
+
+def joins(spark, sf_dir, name):
+    """Lines of the plan that join, where no table is small by itself."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    return [line for line in plan.split("\n") if "Join" in line]
+
+
+def test_cuts_of_glued_words_do_not_move(spark, sf_dir):
+    found = joins(spark, sf_dir, "q13_glued_words")
+    assert found and all("BroadcastHashJoin" in line for line in found)
+
+
+def test_cuts_rank_as_their_points_the_leftmost_first(spark):
+    sums = [(4.1 + 4.3, 7), (4.2 + 4.2, 5), (4.2 + 4.2, 9), (4.1 + 4.300001, 4), (0.1 + 0.2, 4), (0.3, 4), (0.15 + 0.15, 5), (-0.5, 6), (17.9, 1 << 20)]
+    rows = spark.createDataFrame([(p, c) for p, c in sums], "p double, cut int").select("p", "cut", lexicon.ranked(F.col("p"), F.col("cut")).alias("rank")).collect()
+    assert sorted(rows, key=lambda r: r["rank"]) == sorted(rows, key=lambda r: (r["p"], -r["cut"]))
+    assert all(lexicon.CUTS - 1 - r["rank"] % lexicon.CUTS == r["cut"] for r in rows)
