@@ -61,18 +61,17 @@ def q74_joined_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that were cut in two (every fifth of eight letters or more) joined again where the whole is better known
     than either half; of overlapping pairs the left one goes first.
 
-    Pairs come from one window per document; the lexicon is joined three times; in a run of overlapping pairs every
-    other one is taken, which is what going from left to right takes.
+    Pairs are made inside each document and looked up in the lexicon, which every task has, so that only those to join
+    move; in a run of overlapping pairs every other one is taken, which is what going from left to right takes.
     """
-    docs = load(spark, sf_dir, "documents").where("text is not null")
-    words = docs.select("doc_id", F.posexplode(F.transform(T.letters_only(F.col("text")), F.lower)).alias("pos", "word"))
-    lexicon = words.groupBy("word").agg(F.count("*").alias("n")).where("n >= 10")
-    cut = (F.length("word") >= 8) & (F.col("pos") % 5 == 0)
-    halves = F.when(cut, F.array(F.left("word", F.lit(4)), F.expr("substr(word, 5)"))).otherwise(F.array("word"))
-    tokens = words.select("doc_id", "pos", F.posexplode(halves).alias("k", "t"), cut.alias("cut"))
-    w = Window.partitionBy("doc_id").orderBy("pos", "k")
-    pairs = tokens.select("doc_id", "cut", "k", F.row_number().over(w).alias("i"), F.col("t").alias("l"), F.lead("t").over(w).alias("r")).where("r IS NOT NULL AND length(l) >= 2 AND length(r) >= 2").withColumn("m", F.concat("l", "r"))
-    known = lambda c, n: lexicon.select(F.col("word").alias(c), F.col("n").alias(n))
+    docs = load(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.transform(T.letters_only(F.col("text")), F.lower).alias("w"))
+    lexicon = docs.select(F.explode("w").alias("word")).groupBy("word").agg(F.count("*").alias("n")).where("n >= 10")
+    token = lambda t, cut, k: F.struct(t.alias("t"), F.lit(cut).alias("cut"), F.lit(k).alias("k"))
+    halves = lambda x, pos: F.when((F.length(x) >= 8) & (pos % 5 == 0), F.array(token(F.left(x, F.lit(4)), True, 0), token(F.substr(x, F.lit(5)), True, 1))).otherwise(F.array(token(x, False, 0)))
+    tokens = docs.select("doc_id", F.flatten(F.transform("w", halves)).alias("s"))
+    pairs = tokens.select("doc_id", F.posexplode(F.zip_with("s", F.slice("s", F.lit(2), F.size("s")), lambda a, b: F.struct(a["cut"].alias("cut"), a["k"].alias("k"), a["t"].alias("l"), b["t"].alias("r")))).alias("i", "p"))
+    pairs = pairs.select("doc_id", "i", "p.*").where("length(l) >= 2 AND length(r) >= 2").withColumn("m", F.concat("l", "r"))
+    known = lambda c, n: F.broadcast(lexicon.select(F.col("word").alias(c), F.col("n").alias(n)))
     scored = pairs.join(known("m", "nm"), "m").join(known("l", "nl"), "l", "left").join(known("r", "nr"), "r", "left")
     good = scored.where(F.col("nm") > F.greatest(F.coalesce("nl", F.lit(0)), F.coalesce("nr", F.lit(0))))
     v = Window.partitionBy("doc_id").orderBy("i")

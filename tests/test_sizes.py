@@ -49,3 +49,8 @@ def test_cuts_rank_as_their_points_the_leftmost_first(spark):
     rows = spark.createDataFrame([(p, c) for p, c in sums], "p double, cut int").select("p", "cut", lexicon.ranked(F.col("p"), F.col("cut")).alias("rank")).collect()
     assert sorted(rows, key=lambda r: r["rank"]) == sorted(rows, key=lambda r: (r["p"], -r["cut"]))
     assert all(lexicon.CUTS - 1 - r["rank"] % lexicon.CUTS == r["cut"] for r in rows)
+
+
+def test_words_to_join_are_found_where_they_are(spark, sf_dir):
+    found = joins(spark, sf_dir, "q74_joined_words")
+    assert found and all("BroadcastHashJoin" in line for line in found)
