@@ -13,7 +13,7 @@ from ..functions import rules as R
 from ..functions import text as T
 from ..sources.tables import load
 from . import cleanup, normalise, outline, toc
-from .lexicon import MARKERS, known_score, votes
+from .lexicon import MARKERS, known_score, lower_words, votes
 from .packages import manifest
 
 LINK = r"(https?://[^ <]*[^ <.,;:)])"
@@ -48,7 +48,8 @@ def q103_term_variants(spark: SparkSession, sf_dir: str, settings: CleanupSettin
     """Words that are a term's variant by a dictionary, its letters folded, and what is done about them: the score by how
     well the term is known, how it fits the text's language, and the place.
 
-    The dictionary is made of the words that the corpus uses often; a variant differs in its diacritics alone.
+    The dictionary is made of the words that the corpus uses often; a variant differs in its diacritics alone.  Every
+    task has the variants, so that of the words only those move.
     """
     docs = load(spark, sf_dir, "documents").where("text IS NOT NULL")
     words = docs.select("doc_id", F.explode(F.transform(T.letters_only(F.col("text")), F.lower)).alias("word")).where(F.length("word") >= settings.least_length)
@@ -56,10 +57,10 @@ def q103_term_variants(spark: SparkSession, sf_dir: str, settings: CleanupSettin
     folded = uses.withColumn("key", T.fold_diacritics(F.col("word")))
     terms = folded.where(F.col("n") >= settings.least_uses).groupBy("key").agg(F.max(F.struct("n", "word")).alias("t")).select("key", F.col("t.word").alias("term"), F.col("t.n").alias("uses"))
     variants = folded.where(F.col("n") < settings.least_uses).join(terms, "key").where("word <> term").select("word", "term", "uses")
-    v = docs.select("doc_id", cleanup.place_of(docs).alias("place"), *votes(F.col("text")))
+    v = docs.select("doc_id", cleanup.place_of(docs).alias("place"), lower_words(F.col("text")).alias("w")).select("doc_id", "place", *votes(F.col("w")))
     ranked = F.sort_array(F.array(*(F.col(m) for m in MARKERS)), asc=False)
     mixed = F.when(ranked[0] >= ranked[1] + 2, 0).otherwise(1)
-    found = words.join(variants, "word").groupBy("doc_id", "word", "term", "uses").agg(F.count("*").alias("n")).join(v.select("doc_id", "place", mixed.alias("mixed")), "doc_id")
+    found = words.join(F.broadcast(variants), "word").groupBy("doc_id", "word", "term", "uses").agg(F.count("*").alias("n")).join(v.select("doc_id", "place", mixed.alias("mixed")), "doc_id")
     lexical = known_score(F.log10("uses") + 3)
     fit = F.when(F.col("mixed") == 1, 0.78).otherwise(F.greatest(F.lit(0.45), lexical))
     dom = F.when(F.col("place") == "heading", 0.6).otherwise(1.0)

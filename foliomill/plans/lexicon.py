@@ -70,17 +70,21 @@ def q11_runtime_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.where(((F.col("n") >= OFTEN) & (F.col("n_headings") >= 1)) | (F.col("n_headings") >= IN_HEADINGS) | (F.col("n_acronyms") >= AS_ACRONYM) | ((F.col("n_capitalised") >= MIXED) & (F.col("n") >= 2 * OFTEN)))
 
 
-def votes(text: Column) -> list[Column]:
-    low = F.transform(T.letters_only(F.coalesce(text, F.lit(""))), F.lower)
+def votes(low: Column) -> list[Column]:
+    """Of a column of words in lower case, which is better a table's own: each vote reads it anew."""
     def among(words):
         return lambda w: w.isin(*words)
 
     return [F.size(F.filter(low, among(m))).alias(lang) for lang, m in MARKERS.items()]
 
 
+def lower_words(text: Column) -> Column:
+    return F.transform(T.letters_only(F.coalesce(text, F.lit(""))), F.lower)
+
+
 def q12_language_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language by marker words; mixed unless one leads by two; how often that agrees with the column."""
-    v = load(spark, sf_dir, "documents").select("doc_id", "lang", *votes(F.col("text")))
+    v = load(spark, sf_dir, "documents").select("doc_id", "lang", lower_words(F.col("text")).alias("w")).select("doc_id", "lang", *votes(F.col("w")))
     ranked = F.sort_array(F.array(*(F.struct(F.col(x).alias("n"), F.lit(x).alias("l")) for x in MARKERS)), asc=False)
     voted = v.select("doc_id", "lang", ranked.alias("r")).select("lang", F.when(F.col("r")[0]["n"] >= F.col("r")[1]["n"] + LEAD, F.col("r")[0]["l"]).otherwise("mixed").alias("voted"))
     return voted.groupBy("lang", "voted").agg(F.count("*").alias("n_docs"))

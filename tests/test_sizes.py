@@ -54,3 +54,7 @@ def test_cuts_rank_as_their_points_the_leftmost_first(spark):
 def test_words_to_join_are_found_where_they_are(spark, sf_dir):
     found = joins(spark, sf_dir, "q74_joined_words")
     assert found and all("BroadcastHashJoin" in line for line in found)
+
+
+def test_variants_are_found_where_they_are(spark, sf_dir):
+    assert any("BroadcastHashJoin [word" in line for line in joins(spark, sf_dir, "q103_term_variants"))
