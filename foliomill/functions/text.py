@@ -27,8 +27,8 @@ def trim_space(x) -> Column:
 
 
 def squeeze(x) -> Column:
-    """White space as single spaces, none at the ends."""
-    return F.btrim(F.regexp_replace(x, r"[ \t\r\n]+", " "))
+    """White space as single spaces, none at the ends.  Single spaces are left alone, which are most of it."""
+    return F.btrim(F.regexp_replace(x, r"[ \t\r\n](?:(?<! )[ \t\r\n]*|[ \t\r\n]+)", " "))
 
 
 def words(x) -> Column:
@@ -76,12 +76,12 @@ def close_up_punctuation(x) -> Column:
 
 def space_sentences(x) -> Column:
     """A space after a sentence's end that runs into the next capital."""
-    return F.regexp_replace(x, r"(\p{Ll})([.!?])(\p{Lu})", "$1$2 $3")
+    return F.regexp_replace(x, r"[.!?](?<=\p{Ll}.)(?=\p{Lu})", "$0 ")
 
 
 def close_up_percent(x) -> Column:
     """`12 %` as `12%`, and a decimal split from its fraction, `3, 5%`, as `3,5%`."""
-    return F.regexp_replace(F.regexp_replace(x, r"([0-9])([,.]) ([0-9]+) ?%", "$1$2$3%"), r"([0-9]) +%", "$1%")
+    return F.regexp_replace(x, r"([0-9])(?:([,.]) ([0-9]+) ?| +)%", "$1$2$3%")
 
 
 def close_up_units(x) -> Column:

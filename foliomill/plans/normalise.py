@@ -21,13 +21,13 @@ DOMAINS = ("com", "org", "net", "edu", "pl", "de")
 
 def normalize(x) -> Column:
     """Entities resolved, soft hyphens gone, all white space single, links compacted, brackets and punctuation closed
-    up, sentences spaced, percentages and units closed up."""
+    up, sentences spaced, percentages and units closed up.  Nothing after the first squeeze puts spaces together."""
     for entity, char in ENTITIES:
         x = F.replace(x, F.lit(entity), F.lit(char))
-    x = F.regexp_replace(F.replace(F.replace(x, F.lit(SOFT_HYPHEN), F.lit("")), F.lit(NBSP), F.lit(" ")), r"[\r\n\t]", " ")
+    x = F.replace(F.replace(x, F.lit(SOFT_HYPHEN), F.lit("")), F.lit(NBSP), F.lit(" "))
     x = compact_links(T.squeeze(x))
-    x = F.regexp_replace(F.regexp_replace(x, r"\( +", "("), r" +\)", ")")
-    return T.squeeze(T.close_up_units(T.close_up_percent(T.space_sentences(T.close_up_punctuation(x)))))
+    x = F.regexp_replace(F.regexp_replace(x, r"\( +", "("), r" +([,.;:!?)])", "$1")
+    return T.close_up_units(T.close_up_percent(T.space_sentences(x)))
 
 
 def compact_links(x) -> Column:

@@ -6,6 +6,7 @@ from oracle import rows_of
 from pyspark.sql import functions as F
 
 from foliomill import catalog
+from foliomill.functions import text as T
 from foliomill.plans import lexicon
 
 QUERIES, SQL = catalog.queries(), catalog.oracle_sql()
@@ -58,3 +59,14 @@ def test_words_to_join_are_found_where_they_are(spark, sf_dir):
 
 def test_variants_are_found_where_they_are(spark, sf_dir):
     assert any("BroadcastHashJoin [word" in line for line in joins(spark, sf_dir, "q103_term_variants"))
+
+
+def test_normalising_reads_a_text_few_times(spark, sf_dir):
+    plan = QUERIES["q72_normalised_texts"](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_replace(") <= 11
+
+
+def test_percentages_and_white_space_in_one_pass(spark):
+    x, cases = F.col("x"), {" a \t\n b\n\nc  ": "a b c", "\n": "", "1, 2, 3 % of 12   % and 4. 55%": "1, 2,3% of 12% and 4.55%", "so.Él und No.b": "so. Él und No.b"}
+    rows = spark.createDataFrame([(k,) for k in cases], "x string")
+    assert {r["x"]: r["y"] for r in rows.select("x", T.space_sentences(T.close_up_percent(T.squeeze(x))).alias("y")).collect()} == cases
