@@ -21,7 +21,7 @@ def both(spark, folder, name, rows):
     return rows_of(QUERIES[name](spark, str(folder)).toPandas()), rows_of(c.execute(SQL[name]).df())
 
 
-@pytest.mark.parametrize("name", ["q104_front_matter", "q97_articles"])
+@pytest.mark.parametrize("name", ["q104_front_matter", "q87_contents_entries", "q97_articles"])
 def test_headings_that_begin_with_a_letter_whose_capital_is_two(name, spark, tmp_path):
     lines = [f"{first} {'ab'[k:]}{'x' * n}" for k, first in enumerate(("ß", "ßeit", "ŉ b", "ᾳ bc", "ﬁne", "éa")) for n in range(5)]
     lines = [f"{line}\na line of words behind it, of some length {n}" for n, line in enumerate(lines)]
